@@ -9,7 +9,7 @@ whole to every executor.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from typing import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,18 +25,42 @@ def north_codes_generated() -> list[str]:
     return [f"E1200000{i}" for i in range(1, 4)]
 
 
-@dataclass
 class Geography:
-    """The lookup tables of one geography release."""
-
-    postcodes: DataFrame        # pcds, ladcd
-    wards: DataFrame            # ward grain, 2023: LAD23CD, LAD23NM, RGN23CD, RGN23NM
-    wards21: DataFrame          # ward grain, 2021: LAD21CD, LAD21NM, RGN21CD, RGN21NM
-    itl: DataFrame              # LAD23CD, ITL221CD, ITL221NM, finer than LA
-    lad_boundary: DataFrame     # LAD23CD, LAD23NM, geometry
-    lad_boundary21: DataFrame   # LAD21CD, LAD21NM, geometry
-    itl2_boundary: DataFrame    # ITL221CD, ITL221NM, geometry
-    coordinates: DataFrame | None = None   # pcds, oslaua, lat, long
+    """The lookup tables of one geography release.
+
+    Each table is given as a DataFrame or as a zero-argument function returning one; a
+    function is called (once) only when a query needs that table, so building a query never
+    analyses lookups it does not use.
+
+    postcodes       pcds, ladcd
+    wards           ward grain, 2023: LAD23CD, LAD23NM, RGN23CD, RGN23NM
+    wards21         ward grain, 2021: LAD21CD, LAD21NM, RGN21CD, RGN21NM
+    itl             LAD23CD, ITL221CD, ITL221NM, finer than LA
+    lad_boundary    LAD23CD, LAD23NM, geometry
+    lad_boundary21  LAD21CD, LAD21NM, geometry
+    itl2_boundary   ITL221CD, ITL221NM, geometry
+    coordinates     pcds, oslaua, lat, long
+    """
+
+    TABLES = ("postcodes", "wards", "wards21", "itl", "lad_boundary", "lad_boundary21",
+              "itl2_boundary", "coordinates")
+
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]) -> None:
+        unknown = set(tables) - set(self.TABLES)
+        if unknown:
+            raise TypeError(f"unknown lookup tables: {sorted(unknown)}")
+        self._sources = tables
+        self._built: dict[str, DataFrame] = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self.TABLES:
+            raise AttributeError(name)
+        if name not in self._built:
+            src = self._sources.get(name)
+            if src is None:
+                raise AttributeError(f"lookup table {name!r} was not given")
+            self._built[name] = src if isinstance(src, DataFrame) else src()
+        return self._built[name]
 
     # ---- key-grain views -----------------------------------------------------------
     def postcode_to_la(self) -> DataFrame:

@@ -146,8 +146,8 @@ def order_by_key(df: DataFrame, key: str) -> DataFrame:
     return df.orderBy(F.asc_nulls_last(key))
 
 
-def la_headlines(companies: DataFrame, geo: Geography, north: bool = False) -> DataFrame:
-    """LA-code totals with the 2021 region and boundary names (inner joins).
+def la_headline_frame(companies: DataFrame, geo: Geography, north: bool = False) -> DataFrame:
+    """A25 joined to the 2021 region lookup and the 2021 boundaries (inner joins, by code).
 
     Aggregated before the joins (as the reference does), so the joins see one row per LA.
     The region lookup is reduced to LA grain first (T2), which is what the reference's later
@@ -162,4 +162,10 @@ def la_headlines(companies: DataFrame, geo: Geography, north: bool = False) -> D
     if north:
         from ..operators.lookups import north_codes_generated
         g = g.filter(F.col(S.RGN21CD).isin(*north_codes_generated()))
+    return g
+
+
+def la_headlines(companies: DataFrame, geo: Geography, north: bool = False) -> DataFrame:
+    """The LA headline table in its published column order (P13), by LA code."""
+    g = la_headline_frame(companies, geo, north)
     return g.orderBy(S.LACODE).select(*S.HEADLINE_COLUMNS)

@@ -98,8 +98,9 @@ _SQL_BASIS = {
 }
 
 
-def area_sql(q: AreaQuery) -> str:
-    """The area query in SQL, written at row level (join first, aggregate after)."""
+def area_sql(q: AreaQuery, rollup: bool = False) -> str:
+    """The area query in SQL, written at row level (join first, aggregate after).
+    ``rollup`` adds the total row labelled 'Total' (R1)."""
     src, cols, funding_strict, default_count = _SQL_BASIS[q.basis]
     key = LEVELS[q.level]
     ctes = [src]
@@ -140,6 +141,9 @@ def area_sql(q: AreaQuery) -> str:
         return O.with_ctes(ctes, f"SELECT {', '.join(vals)} FROM {frm}{joins}{wh}")
     kexpr = {"LAcode": "t.LAcode", "ITL221NM": "i.ITL221NM", "RGN21NM": "r21.RGN21NM"}.get(
         key, f"t.{key}")
+    if rollup:
+        return O.with_ctes(ctes, f"SELECT CASE WHEN GROUPING({kexpr}) = 1 THEN 'Total' ELSE {kexpr} END "
+                                 f"AS {key}, {', '.join(vals)} FROM {frm}{joins}{wh} GROUP BY ROLLUP ({kexpr})")
     return O.with_ctes(ctes, f"SELECT {kexpr} AS {key}, {', '.join(vals)} FROM {frm}{joins}{wh} "
                              f"GROUP BY {kexpr} ORDER BY {key} NULLS LAST")
 
@@ -162,13 +166,14 @@ def _with_extra_cte(ctes: list[str], extra: dict[str, str], body: str) -> str:
     return base.rstrip("\n") + (",\n" + more if more else "") + "\n" + body
 
 
-def _area_body(name: str) -> str:
+def _area_body(name: str | AreaQuery) -> str:
     """The SELECT of an area query without its WITH clause (for use as a CTE)."""
-    return "SELECT " + area_sql(AREA[name]).split("\nSELECT ", 1)[1]
+    q = AREA[name] if isinstance(name, str) else name
+    return "SELECT " + area_sql(q).split("\nSELECT ", 1)[1]
 
 
-def _area_ctes(name: str) -> list[str]:
-    q = AREA[name]
+def _area_ctes(name: str | AreaQuery) -> list[str]:
+    q = AREA[name] if isinstance(name, str) else name
     src = _SQL_BASIS[q.basis][0]
     out = [src]
     if q.level == "itl2":

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators.lookups import Geography
-from .area import LEVELS, AreaQuery, area_table, la_headlines
+from .area import LEVELS, AreaQuery, area_table, la_headline_frame
 
 
 def zero_fill(df: DataFrame) -> DataFrame:
@@ -50,7 +50,5 @@ def area_layer(companies: DataFrame, geo: Geography, q: AreaQuery) -> DataFrame:
 
 def headline_layer(companies: DataFrame, geo: Geography, north: bool = False) -> DataFrame:
     """GVA per job of the LA headline table with its 2021 boundary geometry."""
-    h = la_headlines(companies, geo, north=north)
-    b = geo.lad_boundary21.select(S.LAD21NM, S.GEOMETRY)
-    return (h.select(S.LAD21NM, S.RGN21NM, S.GVA_JOB).join(b, on=S.LAD21NM, how="inner")
-            .distinct())
+    g = la_headline_frame(companies, geo, north=north)
+    return g.select(S.LAD21NM, S.RGN21NM, S.GVA_JOB, S.GEOMETRY).distinct()

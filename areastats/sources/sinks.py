@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions.measures import round_half_up
 
 BOM = "﻿"
 
@@ -38,8 +39,8 @@ def write_csv(df: DataFrame, path: str) -> str:
 
 
 def format_spreadsheet_number(c, digits: int = 0):
-    """How a spreadsheet shows a number: `` 3,212 ``; zero as `` -   ``."""
-    rounded = F.round(c, digits)
+    """How a spreadsheet shows a number: `` 3,212 ``; zero as `` -   ``. Rounded half up."""
+    rounded = round_half_up(c.cast("double"), digits)
     return (F.when(rounded == 0, F.lit(" -   "))
             .otherwise(F.concat(F.lit(" "), F.format_number(rounded, digits), F.lit(" "))))
 
