@@ -24,12 +24,14 @@ def project_company_columns(companies: DataFrame, extra: list[str] = ()) -> Data
 
 
 def with_list_counts(companies: DataFrame) -> DataFrame:
-    """No_sites, No_LAs (length rule) and their difference."""
-    d = (F.col(S.NO_SITES) - F.col(S.NO_LAS))
-    return (companies
-            .withColumn(S.NO_LAS, count_by_length(S.LA_CODES))
-            .withColumn(S.NO_SITES, count_items(S.POSTCODES))
-            .withColumn(S.DIFFERENCE, F.when(d != 0, d).when(d == 0, F.lit(0).cast("bigint"))))
+    """No_sites, No_LAs (length rule) and their difference (one projection)."""
+    las = count_by_length(S.LA_CODES)
+    sites = count_items(S.POSTCODES)
+    d = sites - las
+    keep = [c for c in companies.columns if c not in (S.NO_LAS, S.NO_SITES, S.DIFFERENCE)]
+    return companies.select(
+        *keep, las.alias(S.NO_LAS), sites.alias(S.NO_SITES),
+        F.when(d != 0, d).when(d == 0, F.lit(0).cast("bigint")).alias(S.DIFFERENCE))
 
 
 def null_to_zero_measures(companies: DataFrame) -> DataFrame:
@@ -49,18 +51,24 @@ def gva_per_job_row(companies: DataFrame) -> DataFrame:
 
 
 def apportion(companies: DataFrame, divisor: str, names: dict[str, str]) -> DataFrame:
-    """The five measures split evenly over ``divisor`` places.
+    """The five measures split evenly over ``divisor`` places (one projection).
 
-    Funding is NULL->0 first and Dealroom is scaled to pounds before the split, as in the
-    reference. A zero divisor gives NULL, not infinity (D1).
+    Funding is NULL->0 first (P10) and Dealroom is scaled to pounds (P11) before the split,
+    as in the reference. A zero divisor gives NULL, not infinity (D1).
     """
-    c = null_to_zero_measures(companies).withColumn(DEALROOM, scale_millions(S.DEALROOM_M))
     n = F.col(divisor)
-    return (c.withColumn(names["turnover"], safe_ratio(F.col(S.TURNOVER), n))
-             .withColumn(names["gva"], safe_ratio(F.col(S.GVA), n))
-             .withColumn(names["employees"], safe_ratio(F.col(S.EMPLOYEES), n))
-             .withColumn(names["innovate"], safe_ratio(F.col(S.INNOVATE), n))
-             .withColumn(names["dealroom"], safe_ratio(F.col(DEALROOM), n)))
+    innovate = F.coalesce(F.col(S.INNOVATE), F.lit(0.0))
+    dealroom = scale_millions(F.coalesce(F.col(S.DEALROOM_M), F.lit(0.0)))
+    replaced = {S.INNOVATE: innovate.alias(S.INNOVATE),
+                S.DEALROOM_M: F.coalesce(F.col(S.DEALROOM_M), F.lit(0.0)).alias(S.DEALROOM_M)}
+    base = [replaced.get(c, F.col(c)) for c in companies.columns]
+    return companies.select(
+        *base, dealroom.alias(DEALROOM),
+        safe_ratio(F.col(S.TURNOVER), n).alias(names["turnover"]),
+        safe_ratio(F.col(S.GVA), n).alias(names["gva"]),
+        safe_ratio(F.col(S.EMPLOYEES), n).alias(names["employees"]),
+        safe_ratio(innovate, n).alias(names["innovate"]),
+        safe_ratio(dealroom, n).alias(names["dealroom"]))
 
 
 def apportion_per_site(companies: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ def area_table(companies: DataFrame, geo: Geography | None, q: AreaQuery) -> Dat
 
 
 def area_rollup(companies: DataFrame, geo: Geography | None, q: AreaQuery,
-                total_label: str = "Total") -> DataFrame:
+                total_label: str = "Total", matched_only: bool = False) -> DataFrame:
     """The area table plus a total row, in one aggregation (``rollup``).
 
     ``grouping()`` tells the total row from the unmatched (NULL) area; the total is labelled
@@ -134,6 +134,8 @@ def area_rollup(companies: DataFrame, geo: Geography | None, q: AreaQuery,
     measures, count_name = _metric_measures(q, basis)
     key = LEVELS[q.level]
     states = area_states(companies, geo, q)
+    if matched_only:
+        states = states.filter(F.col(key).isNotNull())
     rolled = states.rollup(key).agg(*merge_state(measures, _N),
                                     F.grouping(key).alias("_total"))
     out = _finalize(rolled.withColumn(key, F.when(F.col("_total") == 1, F.lit(total_label))

@@ -19,11 +19,19 @@ from .area import LEVELS, AreaQuery, area_rollup, area_states, area_table
 def with_total_row(companies: DataFrame, geo: Geography, q: AreaQuery,
                    include_unmatched: bool = True) -> DataFrame:
     """The area table plus a ``Total`` row (with or without the unmatched area)."""
-    if include_unmatched:
-        return area_rollup(companies, geo, q)
-    key = LEVELS[q.level]
-    t = area_rollup(companies, geo, q)
-    return t.filter(F.col(key).isNotNull())
+    return area_rollup(companies, geo, q, matched_only=not include_unmatched)
+
+
+def add_total_row(table: DataFrame, key: str, measures: list[str],
+                  total_label: str = "Total") -> DataFrame:
+    """R1 on an area table that is already aggregated: ``rollup`` over the key with exact
+    sums; ``grouping()`` separates the total from a NULL area."""
+    types = dict(table.dtypes)
+    aggs = [(F.sum(m) if types[m] in ("bigint", "int") else
+             from_units(F.sum(to_units(F.col(m).cast("double"))))).alias(m) for m in measures]
+    rolled = table.rollup(key).agg(*aggs, F.grouping(key).alias("_total"))
+    label = F.when(F.col("_total") == 1, F.lit(total_label)).otherwise(F.col(key)).alias(key)
+    return rolled.select(label, *measures)
 
 
 def drop_unmatched_area(table: DataFrame, key: str) -> DataFrame:

@@ -66,12 +66,23 @@ def _money(c: Column) -> Column:
     return c.cast("decimal(18,2)")
 
 
+# (application id, table directory) -> folder holding the derived company table
+_COMPANY_TABLES: dict[tuple[str, str], str] = {}
+
+
 @dataclass
 class Fixtures:
-    """All fixture views for one scale-factor directory."""
+    """All fixture views for one scale-factor directory.
+
+    ``materialize=True`` (the default) writes the derived company table once per Spark
+    application to the shared folder and reads it from there afterwards -- the counterpart
+    of the reference reading its company file -- which also cuts the lineage back to the
+    line items, so a lost executor never forces the per-order aggregation to be redone.
+    """
 
     spark: SparkSession
     sf_dir: str
+    materialize: bool = True
 
     def __post_init__(self) -> None:
         self._tables: dict[str, DataFrame] = {}
@@ -101,6 +112,19 @@ class Fixtures:
 
     def company(self) -> DataFrame:
         """The company table in the reference's input layout (list columns as text)."""
+        if not self.materialize:
+            return self.company_plan()
+        key = (self.spark.sparkContext.applicationId, self.sf_dir.rstrip("/"))
+        path = _COMPANY_TABLES.get(key)
+        if path is None:
+            from ..session import scratch_path
+            path = scratch_path(self.spark, "company")
+            self.company_plan().write.parquet(path)
+            _COMPANY_TABLES[key] = path
+        return self.spark.read.schema(S.COMPANY_SCHEMA).parquet(path)
+
+    def company_plan(self) -> DataFrame:
+        """The company table derived from orders and line items (lazy)."""
         # Lists do not shrink in a partial aggregation, so the line items are hash-partitioned
         # by order once and aggregated there (one shuffle, all tasks busy).
         f = self.site_fact().repartition("l_orderkey")
