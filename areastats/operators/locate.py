@@ -83,13 +83,13 @@ def join_postcode(rows: DataFrame, geo: Geography, location: str) -> DataFrame:
 
 def join_la_region(rows: DataFrame, geo: Geography) -> DataFrame:
     """Left join LA -> region (2023) on ``ladcd``."""
-    lr = geo.la_regions()
+    lr = geo.la_regions_join()
     return rows.join(lr, rows[S.LADCD] == lr[S.LAD23CD], "left").drop(lr[S.LAD23CD])
 
 
 def join_itl(rows: DataFrame, geo: Geography, raw: bool = False) -> DataFrame:
     """J3 (``raw=True``, rows multiply) / J4 (de-duplicated lookup)."""
-    it = geo.la_itl2(raw=raw)
+    it = geo.la_itl2_join(raw=raw)
     return rows.join(it, rows[S.LADCD] == it[S.LAD23CD], "left").drop(it[S.LAD23CD])
 
 

@@ -1,10 +1,13 @@
 """Geography lookups at their key grain, and the uniqueness guard (S4, S5, D-1, J12).
 
-Lookups are dimensions. No broadcast hint is given here: Spark's planner broadcasts a side
-only when its size estimate (from file sizes) is under ``autoBroadcastJoinThreshold``, and
-AQE re-checks with real shuffle sizes at run time. A lookup that grows with the data (the
-postcode directory does) is therefore shuffle-joined at scale instead of being shipped
-whole to every executor.
+Broadcast policy. The postcode directory grows with the data, so it gets no hint: Spark's
+planner broadcasts it only while its size estimate is under ``autoBroadcastJoinThreshold``
+and AQE re-checks with real sizes at run time; beyond that it is shuffle-joined. The
+LA-grain lookups (LA -> region, LA -> ITL2) are narrow and bounded by the number of areas,
+but the planner cannot see that (without statistics it estimates a join as the product of
+its inputs), so ``bounded_broadcast`` proves the bound by counting rows once -- at most
+``BROADCAST_MAX_ROWS + 1`` of them -- and broadcasts only under it. Boundary tables carry
+geometry of unknown size and are left to the planner.
 """
 
 from __future__ import annotations
@@ -83,6 +86,32 @@ class Geography:
             return self.itl.select(*cols).filter(F.col(S.LAD23CD).isNotNull())
         return distinct_lookup(self.itl, cols, S.LAD23CD)
 
+    # ---- the same, ready to join (broadcast when the row bound holds) -------------------
+    def la_regions_join(self) -> DataFrame:
+        return bounded_broadcast(self.la_regions())
+
+    def la_regions21_join(self) -> DataFrame:
+        return bounded_broadcast(self.la_regions21())
+
+    def la_itl2_join(self, raw: bool = False) -> DataFrame:
+        return bounded_broadcast(self.la_itl2(raw=raw))
+
+
+BROADCAST_MAX_ROWS = 100_000        # narrow LA-grain rows: well under 16 MB broadcast
+_ROW_COUNTS: dict[tuple[str, int], int] = {}
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df`` unchanged
+    (the planner then picks a shuffle join). The count reads at most ``max_rows + 1`` rows
+    and is remembered per application and plan, so a lookup is counted once."""
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
+    n = _ROW_COUNTS.get(key)
+    if n is None:
+        n = df.limit(max_rows + 1).count()
+        _ROW_COUNTS[key] = n
+    return F.broadcast(df) if n <= max_rows else df
+
 
 def distinct_lookup(df: DataFrame, columns: list[str], key: str | None = None) -> DataFrame:
     """``select(columns) %>% distinct()``; NULL keys dropped so they cannot match."""

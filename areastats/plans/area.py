@@ -94,13 +94,13 @@ def area_states(companies: DataFrame, geo: Geography | None, q: AreaQuery) -> Da
         located = (states.join(pc, states[loc] == pc[S.PCDS], "left")
                    .drop(pc[S.PCDS]).drop(loc))
     if q.level == "region21":
-        lr = geo.la_regions21()
+        lr = geo.la_regions21_join()
         return located.join(lr, located[S.LADCD] == lr[S.LAD21CD], "inner").drop(lr[S.LAD21CD])
     if q.level in ("region", "la") or q.scope == "north":
-        lr = geo.la_regions()
+        lr = geo.la_regions_join()
         located = located.join(lr, located[S.LADCD] == lr[S.LAD23CD], "left").drop(lr[S.LAD23CD])
     if q.level == "itl2":
-        it = geo.la_itl2(raw=(q.itl == "raw"))
+        it = geo.la_itl2_join(raw=(q.itl == "raw"))
         located = located.join(it, located[S.LADCD] == it[S.LAD23CD], "left").drop(it[S.LAD23CD])
     if q.scope == "north":
         located = located.filter(F.col(S.RGN23CD).isin(*NORTH_REGION_CODES))
@@ -156,7 +156,7 @@ def la_headline_frame(companies: DataFrame, geo: Geography, north: bool = False)
     ``distinct`` achieves; the ``distinct`` is kept for boundary duplicates (D-2).
     """
     t = area_table(companies, geo, AreaQuery(basis="la_codes", level="la_code", metric="headline"))
-    lr = geo.la_regions21()
+    lr = geo.la_regions21_join()
     b = geo.lad_boundary21
     g = (t.join(lr, t[S.LACODE] == lr[S.LAD21CD], "inner").drop(lr[S.LAD21CD])
          .join(b, t[S.LACODE] == b[S.LAD21CD], "inner").drop(b[S.LAD21CD])
