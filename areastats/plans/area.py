@@ -25,6 +25,7 @@ from ..functions.measures import Measure, final_value, merge_state, partial_stat
 from ..operators.company import positive
 from ..operators.locate import BASES, Basis
 from ..operators.lookups import NORTH_REGION_CODES, Geography
+from ..operators.site_pairs import site_pair_states
 
 # level -> output key column
 LEVELS = {"national": None, "region": S.RGN23NM, "la": S.LAD23NM, "itl2": S.ITL221NM,
@@ -77,16 +78,31 @@ def basis_rows(companies: DataFrame, q: AreaQuery) -> DataFrame:
     return rows
 
 
-def area_states(companies: DataFrame, geo: Geography | None, q: AreaQuery) -> DataFrame:
-    """Located, scoped, mergeable states at LA grain with every lookup column attached.
+def location_states(companies: DataFrame, q: AreaQuery,
+                    site_pairs: DataFrame | None = None) -> DataFrame:
+    """Mergeable states by location key (postcode, or LA code for the ``la_codes`` basis).
 
-    Columns: the lookup columns of the level, ``_n`` and the ``_s_* / _c_*`` states.
+    With ``site_pairs`` (long-form sites: Companynumber, Postcode) the ``sites`` basis is
+    computed without list strings (``operators.site_pairs``); the states are identical.
     """
     basis = BASES[q.basis]
     measures, _ = _metric_measures(q, basis)
+    if site_pairs is not None and q.basis == "sites":
+        return site_pair_states(companies, site_pairs, measures, distinct_sites=q.distinct_sites,
+                                positive_only=(q.metric == "gva_per_job"), count_name=_N)
     rows = basis_rows(companies, q)
+    return rows.groupBy(basis.location).agg(*partial_state(measures, _N))
+
+
+def area_states(companies: DataFrame, geo: Geography | None, q: AreaQuery,
+                site_pairs: DataFrame | None = None) -> DataFrame:
+    """Located, scoped, mergeable states at LA grain with every lookup column attached.
+
+    Columns: the lookup columns of the level, ``_n`` and the ``_s_* / _c_*`` states.
+    """
+    basis = BASES[q.basis]
     loc = basis.location
-    states = rows.groupBy(loc).agg(*partial_state(measures, _N))
+    states = location_states(companies, q, site_pairs)
     if basis.located_by_la:
         located = states.withColumnRenamed(loc, S.LADCD)
     else:
@@ -107,19 +123,26 @@ def area_states(companies: DataFrame, geo: Geography | None, q: AreaQuery) -> Da
     return located
 
 
-def area_table(companies: DataFrame, geo: Geography | None, q: AreaQuery) -> DataFrame:
-    """The area table of one query, ordered by area with the unmatched (NULL) area last."""
+def area_table(companies: DataFrame, geo: Geography | None, q: AreaQuery,
+               site_pairs: DataFrame | None = None) -> DataFrame:
+    """The area table of one query, ordered by area with the unmatched (NULL) area last.
+
+    ``site_pairs`` optionally gives the sites in long form (see ``location_states``)."""
     basis = BASES[q.basis]
     measures, count_name = _metric_measures(q, basis)
     key = LEVELS[q.level]
     if key is None:
+        if site_pairs is not None and q.basis == "sites":
+            st = location_states(companies, q, site_pairs).agg(*merge_state(measures, _N))
+            return _finalize(st, None, q, measures, count_name)
         rows = basis_rows(companies, q)
         return _finalize(rows.agg(*partial_state(measures, _N)), None, q, measures, count_name)
     if q.level == "la_code":
         rows = basis_rows(companies, q)
         states = rows.groupBy(key).agg(*partial_state(measures, _N))
     else:
-        states = area_states(companies, geo, q).groupBy(key).agg(*merge_state(measures, _N))
+        states = (area_states(companies, geo, q, site_pairs).groupBy(key)
+                  .agg(*merge_state(measures, _N)))
     return _finalize(states, key, q, measures, count_name).orderBy(F.asc_nulls_last(key))
 
 

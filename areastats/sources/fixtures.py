@@ -110,6 +110,11 @@ class Fixtures:
                         "l_extendedprice", "l_quantity", "l_discount", "l_tax",
                         "l_returnflag", "l_linestatus"))
 
+    def site_pairs(self) -> DataFrame:
+        """The company sites in long form: one row per (company, site postcode)."""
+        return self.site_fact().select(F.col("l_orderkey").alias(S.COMPANY_ID),
+                                       F.col("pc").alias(S.POSTCODE))
+
     def company(self) -> DataFrame:
         """The company table in the reference's input layout (list columns as text)."""
         if not self.materialize:
