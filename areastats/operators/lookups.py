@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..session import app_id
 
 # fixed values: region codes of the three northern regions
 NORTH_REGION_CODES = ("E12000001", "E12000002", "E12000003")
@@ -65,36 +66,46 @@ class Geography:
             self._built[name] = src if isinstance(src, DataFrame) else src()
         return self._built[name]
 
-    # ---- key-grain views -----------------------------------------------------------
+    def _memo(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = build()
+        return self._built[name]
+
+    # ---- key-grain views (built once per Geography) -----------------------------------
     def postcode_to_la(self) -> DataFrame:
         """pcds -> ladcd, NULL keys removed (a NULL key must not match a NULL postcode)."""
-        return self.postcodes.select(S.PCDS, S.LADCD).filter(F.col(S.PCDS).isNotNull())
+        return self._memo("_pc", lambda: self.postcodes.select(S.PCDS, S.LADCD)
+                          .filter(F.col(S.PCDS).isNotNull()))
 
     def la_regions(self) -> DataFrame:
         """D-1: ward rows reduced to one row per LA (2023)."""
-        return distinct_lookup(self.wards, [S.LAD23CD, S.LAD23NM, S.RGN23CD, S.RGN23NM], S.LAD23CD)
+        return self._memo("_lr", lambda: distinct_lookup(
+            self.wards, [S.LAD23CD, S.LAD23NM, S.RGN23CD, S.RGN23NM], S.LAD23CD))
 
     def la_regions21(self) -> DataFrame:
         """The 2021 LA -> region lookup at LA grain (T2 fixed: distinct before the join)."""
-        return distinct_lookup(self.wards21, [S.LAD21CD, S.RGN21CD, S.RGN21NM], S.LAD21CD)
+        return self._memo("_lr21", lambda: distinct_lookup(
+            self.wards21, [S.LAD21CD, S.RGN21CD, S.RGN21NM], S.LAD21CD))
 
     def la_itl2(self, raw: bool = False) -> DataFrame:
         """LA -> ITL2. ``raw=True`` keeps the finer grain, so joined rows multiply (T3, J3);
         the default is de-duplicated (J4)."""
         cols = [S.LAD23CD, S.ITL221CD, S.ITL221NM]
         if raw:
-            return self.itl.select(*cols).filter(F.col(S.LAD23CD).isNotNull())
-        return distinct_lookup(self.itl, cols, S.LAD23CD)
+            return self._memo("_itl_raw", lambda: self.itl.select(*cols)
+                              .filter(F.col(S.LAD23CD).isNotNull()))
+        return self._memo("_itl", lambda: distinct_lookup(self.itl, cols, S.LAD23CD))
 
     # ---- the same, ready to join (broadcast when the row bound holds) -------------------
     def la_regions_join(self) -> DataFrame:
-        return bounded_broadcast(self.la_regions())
+        return self._memo("_lr_j", lambda: bounded_broadcast(self.la_regions()))
 
     def la_regions21_join(self) -> DataFrame:
-        return bounded_broadcast(self.la_regions21())
+        return self._memo("_lr21_j", lambda: bounded_broadcast(self.la_regions21()))
 
     def la_itl2_join(self, raw: bool = False) -> DataFrame:
-        return bounded_broadcast(self.la_itl2(raw=raw))
+        return self._memo("_itl_raw_j" if raw else "_itl_j",
+                          lambda: bounded_broadcast(self.la_itl2(raw=raw)))
 
 
 BROADCAST_MAX_ROWS = 100_000        # narrow LA-grain rows: well under 16 MB broadcast
@@ -105,7 +116,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df`` unchanged
     (the planner then picks a shuffle join). The count reads at most ``max_rows + 1`` rows
     and is remembered per application and plan, so a lookup is counted once."""
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
+    key = (app_id(df.sparkSession), df.semanticHash())
     n = _ROW_COUNTS.get(key)
     if n is None:
         n = df.limit(max_rows + 1).count()

@@ -23,7 +23,7 @@ from ..operators.lookups import (NORTH_REGION_CODES, distinct_lookup, north_code
 from ..session import scratch_path
 from ..sources import readers as R
 from ..sources import sinks as W
-from ..sources.fixtures import Fixtures
+from ..sources.fixtures import Fixtures, fixtures
 from ..sources.names import normalise_columns
 from . import layers as M
 from . import report as RP
@@ -46,7 +46,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _fx(spark: SparkSession, sf_dir: str) -> Fixtures:
-    return Fixtures(spark, sf_dir)
+    return fixtures(spark, sf_dir)
 
 
 # =========================================================================================

@@ -39,6 +39,14 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def app_id(spark: SparkSession) -> str:
+    """The application id (from the conf, so it also works without a SparkContext handle)."""
+    v = spark.conf.get("spark.app.id", None)
+    if v:
+        return v
+    return spark.sparkContext.applicationId
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for written tables and checkpoints.
 
@@ -47,7 +55,10 @@ def shared_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
+        try:
+            d = spark.sparkContext.getCheckpointDir()
+        except Exception:  # noqa: BLE001 - no SparkContext handle (remote session)
+            d = None
     if not d:
         d = tempfile.mkdtemp(prefix="areastats-ckpt-")
         spark.sparkContext.setCheckpointDir(d)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..session import app_id
 
 # Declared schemas of the driver's tables (read with these: no inference job per file).
 TABLE_SCHEMAS = {
@@ -119,14 +120,17 @@ class Fixtures:
         """The company table in the reference's input layout (list columns as text)."""
         if not self.materialize:
             return self.company_plan()
-        key = (self.spark.sparkContext.applicationId, self.sf_dir.rstrip("/"))
+        if "_company" in self._tables:
+            return self._tables["_company"]
+        key = (app_id(self.spark), self.sf_dir.rstrip("/"))
         path = _COMPANY_TABLES.get(key)
         if path is None:
             from ..session import scratch_path
             path = scratch_path(self.spark, "company")
             self.company_plan().write.parquet(path)
             _COMPANY_TABLES[key] = path
-        return self.spark.read.schema(S.COMPANY_SCHEMA).parquet(path)
+        self._tables["_company"] = self.spark.read.schema(S.COMPANY_SCHEMA).parquet(path)
+        return self._tables["_company"]
 
     def company_plan(self) -> DataFrame:
         """The company table derived from orders and line items (lazy)."""
@@ -256,5 +260,16 @@ class Fixtures:
                          itl2_boundary=self.itl2_boundary, coordinates=self.coordinates)
 
 
+_SHARED: dict[tuple[str, str], Fixtures] = {}
+
+
 def fixtures(spark: SparkSession, sf_dir: str) -> Fixtures:
-    return Fixtures(spark, sf_dir)
+    """The fixture set of ``sf_dir`` for this application, built once and shared.
+
+    DataFrames are immutable and lazy, so sharing them between queries is safe; it saves
+    re-analysing the same lookup plans for every query."""
+    key = (app_id(spark), sf_dir.rstrip("/"))
+    fx = _SHARED.get(key)
+    if fx is None or fx.spark is not spark:
+        fx = _SHARED[key] = Fixtures(spark, sf_dir)
+    return fx
