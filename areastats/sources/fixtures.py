@@ -133,10 +133,20 @@ class Fixtures:
         return self._tables["_company"]
 
     def company_plan(self) -> DataFrame:
-        """The company table derived from orders and line items (lazy)."""
-        # Lists do not shrink in a partial aggregation, so the line items are hash-partitioned
-        # by order once and aggregated there (one shuffle, all tasks busy).
-        f = self.site_fact().repartition("l_orderkey")
+        """The company table derived from orders and line items (lazy).
+
+        Lists do not shrink in a partial aggregation, so the line items (joined to their
+        supplier's nation, a dimension) are hash-partitioned by order once, and the site and
+        LA codes are built after that shuffle, spread over all tasks, from narrow rows.
+        """
+        l = self.table("lineitem").select(
+            "l_orderkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount",
+            "l_tax", "l_returnflag", "l_linestatus")
+        sup = self.table("supplier").select("s_suppkey", "s_nationkey")
+        f = (l.join(sup, l.l_suppkey == sup.s_suppkey).drop("s_suppkey")
+             .repartition("l_orderkey")
+             .withColumns({"pc": site_postcode(F.col("l_suppkey")),
+                           "la": la_code(F.col("s_nationkey"))}))
         ext = _money(F.col("l_extendedprice"))
         per_order = f.groupBy("l_orderkey").agg(
             F.sum(ext).cast("double").alias("turnover"),
