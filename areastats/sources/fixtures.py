@@ -67,18 +67,25 @@ def _money(c: Column) -> Column:
     return c.cast("decimal(18,2)")
 
 
-# (application id, table directory) -> folder holding the derived company table
-_COMPANY_TABLES: dict[tuple[str, str], str] = {}
+# (application id, table directory, view) -> (folder, schema) of a written fixture table
+_STORED: dict[tuple[str, str, str], tuple[str, object]] = {}
+
+# The derived views that grow with the data are written once per application (the
+# counterparts of the reference's company file and postcode directory). The area-grain
+# lookups and boundaries stay lazy: they are tiny, and recomputing them is cheaper than a
+# write job each.
+STORED_VIEWS = ("company", "postcode")
 
 
 @dataclass
 class Fixtures:
     """All fixture views for one scale-factor directory.
 
-    ``materialize=True`` (the default) writes the derived company table once per Spark
-    application to the shared folder and reads it from there afterwards -- the counterpart
-    of the reference reading its company file -- which also cuts the lineage back to the
-    line items, so a lost executor never forces the per-order aggregation to be redone.
+    ``materialize=True`` (the default) writes the derived views that grow with the data (the
+    company table and the postcode directory) once per Spark application to the shared
+    folder and reads them from there afterwards -- the counterparts of the files the
+    reference reads. This also cuts the lineage back to the line items, so a lost executor never
+    forces the per-order aggregation to be redone.
     """
 
     spark: SparkSession
@@ -116,21 +123,77 @@ class Fixtures:
         return self.site_fact().select(F.col("l_orderkey").alias(S.COMPANY_ID),
                                        F.col("pc").alias(S.POSTCODE))
 
+    # ---- written views ------------------------------------------------------------------
+    def _stored(self, name: str, plan) -> DataFrame:
+        slot = "fx_" + name
+        if slot in self._tables:
+            return self._tables[slot]
+        if not self.materialize:
+            df = plan()
+        else:
+            hit = _STORED.get((app_id(self.spark), self.sf_dir.rstrip("/"), name))
+            if hit is None:
+                hit = self._write(name, plan)
+            df = self.spark.read.schema(hit[1]).parquet(hit[0])
+        self._tables[slot] = df
+        return df
+
+    def _lazy(self, name: str, plan) -> DataFrame:
+        slot = "fx_" + name
+        if slot not in self._tables:
+            self._tables[slot] = plan()
+        return self._tables[slot]
+
+    def _write(self, name: str, plan) -> tuple[str, object]:
+        from ..session import scratch_path
+        df = plan()
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        hit = (path, df.schema)
+        _STORED[(app_id(self.spark), self.sf_dir.rstrip("/"), name)] = hit
+        self._tables.pop("fx_" + name, None)
+        return hit
+
+    def prepare(self) -> dict[str, str]:
+        """Derive and write every view anew (new folders); later reads use these."""
+        for name in STORED_VIEWS:
+            self._tables.pop("fx_" + name, None)
+        out = {}
+        for name in STORED_VIEWS:
+            out[name] = self._write(name, getattr(self, name + "_plan"))[0]
+        return out
+
+    def write_company(self) -> str:
+        """Derive the company table and write it to a new folder (used from then on)."""
+        return self._write("company", self.company_plan)[0]
+
     def company(self) -> DataFrame:
         """The company table in the reference's input layout (list columns as text)."""
-        if not self.materialize:
-            return self.company_plan()
-        if "_company" in self._tables:
-            return self._tables["_company"]
-        key = (app_id(self.spark), self.sf_dir.rstrip("/"))
-        path = _COMPANY_TABLES.get(key)
-        if path is None:
-            from ..session import scratch_path
-            path = scratch_path(self.spark, "company")
-            self.company_plan().write.parquet(path)
-            _COMPANY_TABLES[key] = path
-        self._tables["_company"] = self.spark.read.schema(S.COMPANY_SCHEMA).parquet(path)
-        return self._tables["_company"]
+        return self._stored("company", self.company_plan)
+
+    def postcode(self) -> DataFrame:
+        return self._stored("postcode", self.postcode_plan)
+
+    def coordinates(self) -> DataFrame:
+        return self._lazy("coordinates", self.coordinates_plan)
+
+    def ward_lookup(self) -> DataFrame:
+        return self._lazy("ward_lookup", self.ward_lookup_plan)
+
+    def ward_lookup21(self) -> DataFrame:
+        return self._lazy("ward_lookup21", self.ward_lookup21_plan)
+
+    def itl_lookup(self) -> DataFrame:
+        return self._lazy("itl_lookup", self.itl_lookup_plan)
+
+    def lad_boundary(self) -> DataFrame:
+        return self._lazy("lad_boundary", self.lad_boundary_plan)
+
+    def lad_boundary21(self) -> DataFrame:
+        return self._lazy("lad_boundary21", self.lad_boundary21_plan)
+
+    def itl2_boundary(self) -> DataFrame:
+        return self._lazy("itl2_boundary", self.itl2_boundary_plan)
 
     def company_plan(self) -> DataFrame:
         """The company table derived from orders and line items (lazy).
@@ -174,7 +237,7 @@ class Fixtures:
                         F.col("la_codes").alias(S.LA_CODES)))
 
     # ---- lookups -------------------------------------------------------------------
-    def postcode(self) -> DataFrame:
+    def postcode_plan(self) -> DataFrame:
         """Postcode directory: site postcodes and registered postcodes, some missing."""
         keep = lambda k: (k % UNLISTED_MODULUS) != UNLISTED_REMAINDER
         sup = (self.table("supplier").filter(keep(F.col("s_suppkey")))
@@ -185,7 +248,8 @@ class Fixtures:
                        la_code(F.col("c_nationkey")).alias(S.LADCD)))
         return sup.unionByName(cus)
 
-    def coordinates(self) -> DataFrame:
+    def coordinates_plan(self) -> DataFrame:
+        """Postcode coordinates (latitude stands in as the code length)."""
         p = self.postcode()
         return p.select(S.PCDS, F.col(S.LADCD).alias(S.OSLAUA),
                         F.length(S.PCDS).cast("double").alias(S.LAT),
@@ -198,7 +262,7 @@ class Fixtures:
         n = n.withColumn("w_key", F.explode(F.sequence(F.lit(0), F.col("n_nationkey") % modulus)))
         return n.join(w, "w_key")
 
-    def ward_lookup(self) -> DataFrame:
+    def ward_lookup_plan(self) -> DataFrame:
         """Ward -> LA -> region, 2023 vintage, at ward grain (LAs repeat)."""
         r = self.table("region").select("r_regionkey", "r_name")
         nw = self._nation_wards(4)
@@ -211,7 +275,7 @@ class Fixtures:
                                  (F.col("r_regionkey") + 1).cast("string")).alias(S.RGN23CD),
                         F.col("r_name").alias(S.RGN23NM)))
 
-    def ward_lookup21(self) -> DataFrame:
+    def ward_lookup21_plan(self) -> DataFrame:
         """The 2021 vintage: same wards, the last LAs missing."""
         w = self.ward_lookup()
         return (w.filter(F.col(S.LAD23CD) < LA21_LAST_CODE)
@@ -219,7 +283,7 @@ class Fixtures:
                         F.col(S.LAD23NM).alias(S.LAD21NM), F.col(S.RGN23CD).alias(S.RGN21CD),
                         F.col(S.RGN23NM).alias(S.RGN21NM)))
 
-    def itl_lookup(self) -> DataFrame:
+    def itl_lookup_plan(self) -> DataFrame:
         """LA -> LAU1 -> ITL2, finer than LA (1 to 3 rows per LA)."""
         nw = self._nation_wards(3)
         half = ((F.col("n_nationkey") - F.col("n_nationkey") % 5) / 5 % 2).cast("int")
@@ -232,7 +296,7 @@ class Fixtures:
             F.concat(F.lit("ITL2_"), F.col("n_regionkey").cast("string"), F.lit("_"),
                      half.cast("string")).alias(S.ITL221NM))
 
-    def lad_boundary(self) -> DataFrame:
+    def lad_boundary_plan(self) -> DataFrame:
         """LA boundaries (2023): every nation plus one empty area per region."""
         n = self.table("nation")
         r = self.table("region")
@@ -246,12 +310,14 @@ class Fixtures:
             F.lit('{"type":"Point","coordinates":[0,0]}').alias(S.GEOMETRY))
         return areas.unionByName(empty)
 
-    def lad_boundary21(self) -> DataFrame:
+    def lad_boundary21_plan(self) -> DataFrame:
+        """The 2021 LA boundaries (same areas, 2021 column names)."""
         b = self.lad_boundary()
         return b.select(F.col(S.LAD23CD).alias(S.LAD21CD), F.col(S.LAD23NM).alias(S.LAD21NM),
                         S.GEOMETRY)
 
-    def itl2_boundary(self) -> DataFrame:
+    def itl2_boundary_plan(self) -> DataFrame:
+        """ITL2 boundaries: every ITL2 area of the lookup plus one empty area."""
         i = self.itl_lookup().select(S.ITL221CD, S.ITL221NM).distinct()
         areas = i.select(S.ITL221CD, S.ITL221NM,
                          F.concat(F.lit('{"type":"Point","id":"'), F.col(S.ITL221CD), F.lit('"}'))

@@ -2,9 +2,10 @@
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
-The company table is derived from orders and line items once per application and written
-to the shared folder (as the reference reads its company file once); that step is timed as
-``prepare_company_table`` and counted in the total. Each headline query is then built and
+The company table and the postcode directory are derived from the driver's tables once per
+application and written to the shared folder (the counterparts of the files
+the reference reads); that step is timed as ``prepare_tables`` (best of ``BENCH_REPEAT``
+derive-and-write runs, each into new folders) and counted in the total. Each headline query is then built and
 run to completion (``collect`` of the area table); the best of ``BENCH_REPEAT`` runs is
 reported. Before timing, the same plans run once on the smallest tables (``BENCH_WARMUP_DIR``,
 default sf0.001) so that JIT and code generation are warm; that run is not counted.
@@ -36,7 +37,7 @@ def main() -> None:
     from areastats.plans.registry import QUERIES
     from areastats.session import local_session
 
-    from areastats.sources.fixtures import Fixtures
+    from areastats.sources.fixtures import fixtures
 
     spark = local_session(cpus=cpus)
     warm_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
@@ -44,9 +45,13 @@ def main() -> None:
         for _, name in HEADLINE:                              # warm-up, not counted
             QUERIES[name](spark, warm_dir).collect()
     times: dict[str, float] = {}
-    t0 = time.perf_counter()
-    Fixtures(spark, sf_dir).company()                         # derive + write once
-    times["prepare_company_table"] = round(time.perf_counter() - t0, 3)
+    fx = fixtures(spark, sf_dir)
+    best = float("inf")
+    for _ in range(repeat):                                   # derive + write (best of N)
+        t0 = time.perf_counter()
+        fx.prepare()
+        best = min(best, time.perf_counter() - t0)
+    times["prepare_tables"] = round(best, 3)
     for label, name in HEADLINE:
         best = float("inf")
         for _ in range(repeat):
