@@ -13,20 +13,8 @@ from pyspark.sql import functions as F
 
 from .. import oracle as O
 from .. import schemas as S
-from ..functions.lists import count_items
 from ..functions.measures import skip_null_sum, strict_sum
-from ..operators import company as C
-from ..operators import explode as X
-from ..operators import locate as L
-from ..operators.lookups import (NORTH_REGION_CODES, distinct_lookup, north_codes_generated,
-                                 uniqueness_report)
-from ..session import scratch_path
-from ..sources import readers as R
-from ..sources import sinks as W
 from ..sources.fixtures import Fixtures, fixtures
-from ..sources.names import normalise_columns
-from . import layers as M
-from . import report as RP
 from .area import LEVELS, AreaQuery, area_table, la_headlines
 
 Query = Callable[[SparkSession, str], DataFrame]

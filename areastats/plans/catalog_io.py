@@ -7,8 +7,6 @@ result, so the whole write -> read path runs on Spark over all rows.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from .. import oracle as O
 from .. import schemas as S
 from ..session import scratch_path

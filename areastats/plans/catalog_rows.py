@@ -15,7 +15,7 @@ from ..operators import explode as X
 from ..operators import locate as L
 from ..operators.lookups import NORTH_REGION_CODES, north_codes_generated, uniqueness_report
 from . import layers as M
-from .area import AreaQuery, area_table, la_headlines
+from .area import area_table, la_headlines
 from .catalog import AREA, NORTH_SQL, SQL, _area_body, _area_ctes, _fx, _with_extra_cte, register
 
 CO = "fx_company"
@@ -129,10 +129,6 @@ def output_column_order(spark, sf_dir):
     return la_headlines(fx.company(), fx.geography).select(*S.HEADLINE_COLUMNS)
 
 
-def _measure_cols(prefix: str, count: str) -> list[str]:
-    return [count, S.OUT_GVA, S.OUT_TURNOVER, S.OUT_EMPLOYEES, S.OUT_INNOVATE, S.OUT_DEALROOM]
-
-
 @register("zero_fill_frame", _with_extra_cte(
     _area_ctes("la_registered_totals") + ["fx_lad_boundary"], {"s": _area_body("la_registered_totals")},
     "SELECT b.LAD23NM AS LAD23NM, b.LAD23CD AS LAD23CD, b.geometry AS geometry, "
