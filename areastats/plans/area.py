@@ -125,9 +125,12 @@ def area_states(companies: DataFrame, geo: Geography | None, q: AreaQuery,
 
 def area_table(companies: DataFrame, geo: Geography | None, q: AreaQuery,
                site_pairs: DataFrame | None = None) -> DataFrame:
-    """The area table of one query, ordered by area with the unmatched (NULL) area last.
+    """The area table of one query: one row per area, the unmatched area as a NULL key.
 
-    ``site_pairs`` optionally gives the sites in long form (see ``location_states``)."""
+    The DataFrame is not ordered -- a global sort costs a sampling job and a shuffle and is
+    presentation only; ``order_by_key`` (R7) gives the published order, and the sinks
+    write in that order. ``site_pairs`` optionally gives the sites in long form (see
+    ``location_states``)."""
     basis = BASES[q.basis]
     measures, count_name = _metric_measures(q, basis)
     key = LEVELS[q.level]
@@ -143,7 +146,7 @@ def area_table(companies: DataFrame, geo: Geography | None, q: AreaQuery,
     else:
         states = (area_states(companies, geo, q, site_pairs).groupBy(key)
                   .agg(*merge_state(measures, _N)))
-    return _finalize(states, key, q, measures, count_name).orderBy(F.asc_nulls_last(key))
+    return _finalize(states, key, q, measures, count_name)
 
 
 def area_rollup(companies: DataFrame, geo: Geography | None, q: AreaQuery,
@@ -191,6 +194,6 @@ def la_headline_frame(companies: DataFrame, geo: Geography, north: bool = False)
 
 
 def la_headlines(companies: DataFrame, geo: Geography, north: bool = False) -> DataFrame:
-    """The LA headline table in its published column order (P13), by LA code."""
+    """The LA headline table in its published column order."""
     g = la_headline_frame(companies, geo, north)
-    return g.orderBy(S.LACODE).select(*S.HEADLINE_COLUMNS)
+    return g.select(*S.HEADLINE_COLUMNS)

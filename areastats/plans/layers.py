@@ -8,7 +8,6 @@ estimate allows; nothing grows with the company table here.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators.lookups import Geography
@@ -45,7 +44,7 @@ def area_layer(companies: DataFrame, geo: Geography, q: AreaQuery) -> DataFrame:
     summary = area_table(companies, geo, q)
     key = LEVELS[q.level]
     keep = "boundary" if q.scope == "all" else "summary"
-    return map_layer(summary, boundary_for(geo, q.level), key, keep).orderBy(F.asc_nulls_last(key))
+    return map_layer(summary, boundary_for(geo, q.level), key, keep)
 
 
 def headline_layer(companies: DataFrame, geo: Geography, north: bool = False) -> DataFrame:

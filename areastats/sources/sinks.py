@@ -17,14 +17,21 @@ from ..functions.measures import round_half_up
 BOM = "﻿"
 
 
-def write_area_table(df: DataFrame, path: str, single_file: bool = True, bom: bool = True) -> str:
-    """CSV with header, ``NA`` for NULL, strings written as they are (no trimming)."""
+def write_area_table(df: DataFrame, path: str, single_file: bool = True, bom: bool = True,
+                     order_by: str | None = None) -> str:
+    """CSV with header, ``NA`` for NULL, strings written as they are (no trimming).
+
+    ``order_by`` (default: the first column, the area) writes rows in key order with NULL
+    last, as the published tables are; the single file is sorted inside its one task."""
+    key = order_by or (df.columns[0] if df.columns else None)
     out = df
-    if bom and df.columns:
-        first = df.columns[0]
-        out = df.withColumnRenamed(first, BOM + first)
     if single_file:
         out = out.coalesce(1)
+    if key is not None:
+        out = out.sortWithinPartitions(F.asc_nulls_last(key))
+    if bom and df.columns:
+        first = df.columns[0]
+        out = out.withColumnRenamed(first, BOM + first)
     (out.write.mode("errorifexists").option("header", True).option("nullValue", "NA")
      .option("emptyValue", "").option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))
@@ -49,7 +56,8 @@ def write_formatted_table(df: DataFrame, path: str, key: str) -> str:
     """A result table as a spreadsheet re-saves it (the input of S9)."""
     cols = [F.col(c) if c == key else format_spreadsheet_number(F.col(c)).alias(c)
             for c in df.columns]
-    return write_csv(df.select(*cols).coalesce(1), path)
+    out = df.select(*cols).coalesce(1).sortWithinPartitions(F.asc_nulls_last(key))
+    return write_csv(out, path)
 
 
 def write_geojson(df: DataFrame, path: str, properties: list[str],
