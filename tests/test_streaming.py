@@ -20,5 +20,6 @@ def test_streaming_matches_batch(spark, sf_dir):
     handle.awaitTermination(300)
     got = sorted((tuple(r) for r in spark.table("areastats_la_sites").collect()),
                  key=lambda r: (r[0] is None, r[0]))
-    want = [tuple(r) for r in area_table(fx.company(), fx.geography, q).collect()]
+    want = sorted((tuple(r) for r in area_table(fx.company(), fx.geography, q).collect()),
+                  key=lambda r: (r[0] is None, r[0]))
     assert got == want
