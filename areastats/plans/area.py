@@ -44,6 +44,17 @@ class AreaQuery:
     distinct_sites: bool = False   # D-3: drop repeated (company, site) rows first
     count_name: str | None = None  # override the name of n()
 
+    def __post_init__(self) -> None:
+        allowed = {"basis": ("registered", "sites", "la_codes"), "level": tuple(LEVELS),
+                   "scope": ("all", "north"), "metric": ("totals", "gva_per_job", "headline"),
+                   "itl": ("dedup", "raw")}
+        for field_name, values in allowed.items():
+            if getattr(self, field_name) not in values:
+                raise ValueError(f"AreaQuery.{field_name} must be one of {values}, "
+                                 f"not {getattr(self, field_name)!r}")
+        if self.level == "la_code" and self.basis != "la_codes":
+            raise ValueError("level 'la_code' needs basis 'la_codes'")
+
 
 def _metric_measures(q: AreaQuery, basis: Basis) -> tuple[list[Measure], str]:
     if q.metric == "gva_per_job":

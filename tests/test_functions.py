@@ -60,3 +60,14 @@ def test_snake_case_names():
     assert snake_case(S.LAD23CD) == "lad23cd"
     assert snake_case(S.ITL221NM) == "itl221nm"
     assert snake_case(S.COMPANY_ID) == "companynumber"
+
+
+def test_area_query_rejects_unknown_values():
+    import pytest
+
+    from areastats.plans.area import AreaQuery
+    with pytest.raises(ValueError):
+        AreaQuery(level="county")
+    with pytest.raises(ValueError):
+        AreaQuery(basis="sites", level="la_code")
+    assert AreaQuery(basis="la_codes", level="la_code", metric="headline").level == "la_code"
