@@ -112,16 +112,21 @@ BROADCAST_MAX_ROWS = 100_000        # narrow LA-grain rows: well under 16 MB bro
 _ROW_COUNTS: dict[tuple[str, int], int] = {}
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                      cache: bool = True) -> DataFrame:
     """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df`` unchanged
     (the planner then picks a shuffle join). The count reads at most ``max_rows + 1`` rows
-    and is remembered per application and plan, so a lookup is counted once."""
+    and is remembered per application and plan, so a lookup is counted once. A lookup proven
+    small is also cached (``cache=True``): every later query broadcasts it from memory
+    instead of re-deriving it; a lost executor recomputes it from its lineage."""
     key = (app_id(df.sparkSession), df.semanticHash())
     n = _ROW_COUNTS.get(key)
     if n is None:
         n = df.limit(max_rows + 1).count()
         _ROW_COUNTS[key] = n
-    return F.broadcast(df) if n <= max_rows else df
+    if n > max_rows:
+        return df
+    return F.broadcast(df.cache() if cache else df)
 
 
 def distinct_lookup(df: DataFrame, columns: list[str], key: str | None = None) -> DataFrame:
