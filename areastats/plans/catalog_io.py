@@ -27,7 +27,7 @@ def _cols(*names: str) -> str:
 def scan_companies(spark, sf_dir):
     """The company table written as CSV (NULL as NA), read back typed."""
     path = W.write_csv(_fx(spark, sf_dir).company(), scratch_path(spark, "companies_csv"))
-    return R.scan_companies(spark, path)
+    return R.scan_companies(spark, path, id_type="bigint")
 
 
 @register("scan_postcode_lookup", O.with_ctes(["fx_postcode"], f"SELECT {_cols(S.PCDS, S.LADCD)} FROM fx_postcode"))

@@ -37,12 +37,19 @@ def typed(df: DataFrame, numeric: dict[str, str]) -> DataFrame:
     return df.select(*out)
 
 
-def scan_companies(spark: SparkSession, path: str) -> DataFrame:
-    """The company table, columns by the reference's names."""
+def scan_companies(spark: SparkSession, path: str, id_type: str = "string") -> DataFrame:
+    """The company table, columns by the reference's names.
+
+    Company numbers are kept as text by default (registered numbers can carry letters, as
+    ``SC123456`` does); ``id_type="bigint"`` reads purely numeric ids as numbers."""
     raw = read_text_csv(spark, path)
     cols = [f.name for f in S.COMPANY_SCHEMA.fields if f.name in raw.columns]
     numeric = {f.name: f.dataType.simpleString() for f in S.COMPANY_SCHEMA.fields
                if f.dataType.simpleString() != "string"}
+    if id_type == "string":
+        numeric.pop(S.COMPANY_ID, None)
+    else:
+        numeric[S.COMPANY_ID] = id_type
     return typed(raw.select(*cols), numeric)
 
 
