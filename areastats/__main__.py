@@ -42,7 +42,8 @@ def main(argv: list[str] | None = None) -> int:
         ap.error("give --out and either --tables-dir or the input files")
 
     from pyspark.sql import SparkSession
-    spark = SparkSession.builder.appName("areastats").getOrCreate()
+    spark = (SparkSession.builder.appName("areastats")
+             .config("spark.ui.enabled", "false").getOrCreate())
     pairs = None
     if a.tables_dir:
         from .sources.fixtures import fixtures

@@ -19,7 +19,7 @@ NA_STRINGS = ("", "NA")
 def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
     """A headed CSV with every column as text (no schema inference)."""
     return (spark.read.option("header", True).option("inferSchema", False)
-            .option("mode", "PERMISSIVE").csv(path))
+            .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
 
 
 def clean_text(c: Column) -> Column:

@@ -19,7 +19,8 @@ BOM = "﻿"
 
 def write_area_table(df: DataFrame, path: str, single_file: bool = True, bom: bool = True,
                      order_by: str | None = None) -> str:
-    """CSV with header, ``NA`` for NULL, strings written as they are (no trimming).
+    """CSV with header, ``NA`` for NULL, strings written as they are (no trimming), quotes
+    doubled inside quoted fields (RFC 4180, as R writes them).
 
     ``order_by`` (default: the first column, the area) writes rows in key order with NULL
     last, as the published tables are; the single file is sorted inside its one task."""
@@ -33,7 +34,7 @@ def write_area_table(df: DataFrame, path: str, single_file: bool = True, bom: bo
         first = df.columns[0]
         out = out.withColumnRenamed(first, BOM + first)
     (out.write.mode("errorifexists").option("header", True).option("nullValue", "NA")
-     .option("emptyValue", "").option("ignoreLeadingWhiteSpace", False)
+     .option("emptyValue", "").option("escape", '"').option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
@@ -41,7 +42,7 @@ def write_area_table(df: DataFrame, path: str, single_file: bool = True, bom: bo
 def write_csv(df: DataFrame, path: str) -> str:
     """Plain headed CSV, NULL as ``NA`` (inputs for the readers)."""
     (df.write.mode("errorifexists").option("header", True).option("nullValue", "NA")
-     .csv(path))
+     .option("escape", '"').csv(path))
     return path
 
 
