@@ -68,6 +68,18 @@ def partial_state(measures: list[Measure], count_name: str = "_n") -> list[Colum
     return cols
 
 
+def row_state(measures: list[Measure], count_name: str = "_n") -> list[Column]:
+    """The state of a single row (merging these gives what ``partial_state`` gives)."""
+    cols = [F.lit(1).cast("bigint").alias(count_name)]
+    for m in measures:
+        u = to_units(F.col(m.source))
+        cols.append(u.alias(f"_s_{m.name}"))
+        if m.strict:
+            cols.append(F.when(u.isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+                        .alias(f"_c_{m.name}"))
+    return cols
+
+
 def merge_state(measures: list[Measure], count_name: str = "_n") -> list[Column]:
     cols = [F.sum(count_name).alias(count_name)]
     for m in measures:

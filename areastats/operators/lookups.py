@@ -96,6 +96,19 @@ class Geography:
                               .filter(F.col(S.LAD23CD).isNotNull()))
         return self._memo("_itl", lambda: distinct_lookup(self.itl, cols, S.LAD23CD))
 
+    def postcode_to_la_broadcast(self, max_rows: int | None = None) -> DataFrame | None:
+        """The postcode directory as a broadcast side when it has at most ``max_rows`` rows
+        (default ``POSTCODE_BROADCAST_MAX_ROWS``, counted once); ``None`` when it is larger
+        and must be shuffle-joined."""
+        def build():
+            pc = self.postcode_to_la()
+            b = bounded_broadcast(pc, max_rows=max_rows or POSTCODE_BROADCAST_MAX_ROWS,
+                                  cache=False)
+            return b if b is not pc else None
+        if "_pc_b" not in self._built:
+            self._built["_pc_b"] = build()
+        return self._built["_pc_b"]
+
     # ---- the same, ready to join (broadcast when the row bound holds) -------------------
     def la_regions_join(self) -> DataFrame:
         return self._memo("_lr_j", lambda: bounded_broadcast(self.la_regions()))
@@ -109,6 +122,7 @@ class Geography:
 
 
 BROADCAST_MAX_ROWS = 100_000        # narrow LA-grain rows: well under 16 MB broadcast
+POSTCODE_BROADCAST_MAX_ROWS = 1_000_000   # two short codes per row: about 60 MB at most
 _ROW_COUNTS: dict[tuple[str, int], int] = {}
 
 

@@ -1,16 +1,21 @@
 """Area tables: basis x level x scope x metric.
 
-Plan shape (registered and sites bases)::
-
-    located rows ─ partial agg by location key ─ join postcode directory (-> LA code)
-                 ─ join LA lookups (names, region, ITL2) ─ [north filter] ─ merge by area
-
-Aggregating by location key *before* the lookup joins is the scale decision: the fact side
-never meets a lookup row by row. The first aggregation is partial on every task (map-side
-combine), so a postcode -- or a company -- holding a third of all rows collapses into one
-state per task before any shuffle, and the joins then see at most one row per distinct
-postcode. Every state is decomposable (counts and exact sums), so a fan-out lookup (raw ITL,
-T3) multiplies states exactly as it would multiply rows.
+Plan shape (registered and sites bases), chosen by the size of the postcode directory:
+
+  directory proven small (row count under a bound, checked once):
+    located rows ─ broadcast join directory ─ broadcast join LA lookups ─ [north filter]
+                 ─ partial agg by area ─ shuffle (one row per area per task) ─ final agg
+  directory large:
+    located rows ─ partial agg by postcode ─ shuffle ─ join directory (shuffle join)
+                 ─ broadcast join LA lookups ─ [north filter] ─ merge by area
+
+In the first shape nothing shuffles before the area aggregation. In the second the fact side
+is aggregated by postcode before it meets the directory: the aggregation is partial on every
+task (map-side combine), so a postcode -- or a company -- holding a third of all rows
+collapses into one state per task before any shuffle, and the join sees at most one row per
+distinct postcode. Every state is decomposable (counts and exact sums), so both shapes give
+the same bits, and a fan-out lookup (raw ITL, T3) multiplies states exactly as it would
+multiply rows.
 """
 
 from __future__ import annotations
@@ -21,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.measures import Measure, final_value, merge_state, partial_state, safe_ratio
+from ..functions.measures import (Measure, final_value, merge_state, partial_state, row_state,
+                                  safe_ratio)
 from ..operators.company import positive
 from ..operators.locate import BASES, Basis
 from ..operators.lookups import NORTH_REGION_CODES, Geography
@@ -113,10 +119,22 @@ def area_states(companies: DataFrame, geo: Geography | None, q: AreaQuery,
     """
     basis = BASES[q.basis]
     loc = basis.location
-    states = location_states(companies, q, site_pairs)
-    if basis.located_by_la:
-        located = states.withColumnRenamed(loc, S.LADCD)
+    pc_small = (geo.postcode_to_la_broadcast()
+                if not basis.located_by_la and site_pairs is None else None)
+    if pc_small is not None:
+        # The directory is proven small: every located row carries a one-row state and
+        # meets the broadcast directory in its own task; nothing shuffles before the area
+        # aggregation (whose partial step absorbs hot keys).
+        measures, _ = _metric_measures(q, basis)
+        states = basis_rows(companies, q).select(loc, *row_state(measures, _N))
+        located = (states.join(pc_small, states[loc] == pc_small[S.PCDS], "left")
+                   .drop(pc_small[S.PCDS]).drop(loc))
+    elif basis.located_by_la:
+        located = location_states(companies, q, site_pairs).withColumnRenamed(loc, S.LADCD)
     else:
+        # The directory may be large: pre-aggregate by postcode (one state per postcode per
+        # task) so the shuffle join sees at most one row per distinct postcode.
+        states = location_states(companies, q, site_pairs)
         pc = geo.postcode_to_la()
         located = (states.join(pc, states[loc] == pc[S.PCDS], "left")
                    .drop(pc[S.PCDS]).drop(loc))
