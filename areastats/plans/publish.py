@@ -19,7 +19,7 @@ from ..sources import readers as R
 from ..sources import sinks as W
 from . import layers as M
 from . import report as RP
-from .area import LEVELS, area_table, la_headlines
+from .area import area_table, la_headlines
 
 Build = Callable[[DataFrame, Geography], DataFrame]
 
@@ -50,10 +50,9 @@ def tables(site_pairs: DataFrame | None = None) -> dict[str, Build]:
 
 
 def _order_key(df: DataFrame) -> str | None:
-    keys = [k for k in LEVELS.values() if k and k in df.columns]
-    for k in (S.LAD21NM,):
-        if k in df.columns:
-            keys.append(k)
+    """The area column a table is published in order of (LA before region)."""
+    prefer = [S.LAD21NM, S.LAD23NM, S.LACODE, S.ITL221NM, S.RGN23NM, S.RGN21NM]
+    keys = [k for k in prefer if k in df.columns]
     return keys[0] if keys else None
 
 
