@@ -7,7 +7,7 @@ numbers converted with ``try_cast`` -- what ``read_csv`` does, but declared.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -112,3 +112,39 @@ def read_formatted_table(spark: SparkSession, path: str, key: str) -> DataFrame:
         cols.append(v.alias(c))
     t = raw.select(*cols)
     return t.dropna(how="all")
+
+
+def _parse_formatted_number(v: Column) -> Column:
+    return (F.when(v.rlike(r"^-+$"), F.lit(0.0))
+            .otherwise(F.regexp_replace(v, ",", "").try_cast("double")))
+
+
+def read_formatted_sections(spark: SparkSession, path: str) -> DataFrame:
+    """S9 with stacked sections: a spreadsheet-saved result file holding several tables one
+    under another (totals, then percentages, ...), separated by blank rows, each under its
+    own header row.
+
+    Returns the rows of every section with a ``section`` number (0, 1, ...), the first
+    column as text (``NA``/empty -> NULL) and the others as numbers, named after the file's
+    first header. Row order is the order within each file (a published table is one small
+    file, read by one task), so the window that numbers sections runs per file.
+    """
+    raw = (spark.read.option("header", False).option("inferSchema", False)
+           .option("escape", '"').csv(path))
+    cols = raw.columns
+    cells = [F.trim(F.col(c)) for c in cols]
+    blank = F.coalesce(*[F.when(x != "", F.lit(False)) for x in cells], F.lit(True))
+    df = raw.select(*cols, F.input_file_name().alias("_file"),
+                    F.monotonically_increasing_id().alias("_row"), blank.alias("_blank"))
+    in_file = Window.partitionBy("_file").orderBy("_row")
+    df = df.withColumn("_gap", F.sum(F.col("_blank").cast("int")).over(in_file))
+    df = df.filter(~F.col("_blank"))
+    # each run of non-blank rows is a section; its first row is the section's header
+    df = df.withColumn("_section", F.dense_rank().over(Window.partitionBy("_file").orderBy("_gap")) - 1)
+    df = df.withColumn("_first", F.min("_row").over(Window.partitionBy("_file", "_section")))
+    header = df.filter((F.col("_section") == 0) & (F.col("_row") == F.col("_first"))).first()
+    names = [(header[c] or c).strip().lstrip("\ufeff") for c in cols] if header else cols
+    body = df.filter(F.col("_row") != F.col("_first"))
+    out = [clean_text(F.col(cols[0])).alias(names[0])]
+    out += [_parse_formatted_number(clean_text(F.col(c))).alias(n) for c, n in zip(cols[1:], names[1:])]
+    return body.select(F.col("_section").alias("section"), *out)

@@ -90,3 +90,35 @@ def test_read_formatted_table(spark):
     assert rows["Barnsley"]["GVA"] == 47611772.0
     assert rows["Barnsley"]["InnovateFunding"] == 0.0   # " -   " is zero
     assert rows[None]["No_Companies"] == 244.0          # NA area
+
+
+def test_read_formatted_sections(spark):
+    # the layout of the published region table over all sites: totals, then totals without
+    # the unmatched area plus a coverage line, then percentages (rows shortened here)
+    text = ("RGN23NM,No_sites,GVA\n"
+            'London," 9,529 "," 9,698,000,355 "\n'
+            'NA, 244 ," 149,073,749 "\n'
+            'Total," 51,332 "," 55,706,342,594 "\n'
+            ",,\n,,\n,,\n"
+            ",No_sites,GVA\n"
+            'London," 9,529 "," 9,698,000,355 "\n'
+            'Total," 51,088 "," 55,557,268,845 "\n'
+            ",0.99524663,\n"
+            ",,\n,,\n"
+            "Percentage,No_sites,GVA\n"
+            "London, 18.7 , 17.5 \n"
+            "Total, 100 , 100 \n")
+    d = tempfile.mkdtemp(prefix="areastats-sections-")
+    p = os.path.join(d, "t.csv")
+    with open(p, "w", encoding="utf-8") as f:
+        f.write("﻿" + text)
+    t = R.read_formatted_sections(spark, p)
+    assert t.columns == ["section", "RGN23NM", "No_sites", "GVA"]
+    rows = [tuple(r) for r in t.collect()]
+    by = {(s, k): (n, g) for s, k, n, g in rows}
+    assert by[(0, "London")] == (9529.0, 9698000355.0)
+    assert by[(0, None)] == (244.0, 149073749.0)
+    assert by[(1, "Total")] == (51088.0, 55557268845.0)
+    assert by[(1, None)] == (0.99524663, None)           # the coverage line
+    assert by[(2, "London")] == (18.7, 17.5)
+    assert len(rows) == 8                               # 3 + 3 + 2 data rows
