@@ -127,31 +127,35 @@ def area_states(companies: DataFrame, geo: Geography | None, q: AreaQuery,
         # aggregation (whose partial step absorbs hot keys).
         measures, _ = _metric_measures(q, basis)
         states = basis_rows(companies, q).select(loc, *row_state(measures, _N))
-        located = (states.join(pc_small, states[loc] == pc_small[S.PCDS], "left")
-                   .drop(pc_small[S.PCDS]).drop(loc))
+        located = _lookup(states, pc_small, loc, S.PCDS, "left", drop_left_key=True)
     elif basis.located_by_la:
         located = location_states(companies, q, site_pairs).withColumnRenamed(loc, S.LADCD)
     else:
         # The directory may be large: pre-aggregate by postcode (one state per postcode per
         # task) so the shuffle join sees at most one row per distinct postcode.
         states = location_states(companies, q, site_pairs)
-        pc = geo.postcode_to_la()
-        located = (states.join(pc, states[loc] == pc[S.PCDS], "left")
-                   .drop(pc[S.PCDS]).drop(loc))
+        located = _lookup(states, geo.postcode_to_la(), loc, S.PCDS, "left", drop_left_key=True)
     if q.level == "region21":
-        lr = geo.la_regions21_join()
-        return located.join(lr, located[S.LADCD] == lr[S.LAD21CD], "inner").drop(lr[S.LAD21CD])
+        return _lookup(located, geo.la_regions21_join(), S.LADCD, S.LAD21CD, "inner")
     if q.level in ("region", "la") or q.scope == "north":
-        lr = geo.la_regions_join()
-        located = located.join(lr, located[S.LADCD] == lr[S.LAD23CD], "left").drop(lr[S.LAD23CD])
+        located = _lookup(located, geo.la_regions_join(), S.LADCD, S.LAD23CD, "left")
     if q.level == "itl2":
-        it = geo.la_itl2_join(raw=(q.itl == "raw"))
-        located = located.join(it, located[S.LADCD] == it[S.LAD23CD], "left").drop(it[S.LAD23CD])
+        located = _lookup(located, geo.la_itl2_join(raw=(q.itl == "raw")), S.LADCD, S.LAD23CD,
+                          "left")
     if q.scope == "north":
         located = located.filter(F.col(S.RGN23CD).isin(*NORTH_REGION_CODES))
     return located
 
 
+def _lookup(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str,
+            drop_left_key: bool = False) -> DataFrame:
+    """``left`` joined to a lookup, keeping the left columns and the lookup's other columns
+    (one join and one projection, so the plan is analysed once)."""
+    keep = [left[c] for c in left.columns if not (drop_left_key and c == left_key)]
+    extra = [right[c] for c in right.columns if c != right_key]
+    return left.join(right, left[left_key] == right[right_key], how).select(*keep, *extra)
+
+
 def area_table(companies: DataFrame, geo: Geography | None, q: AreaQuery,
                site_pairs: DataFrame | None = None) -> DataFrame:
     """The area table of one query: one row per area, the unmatched area as a NULL key.
