@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, secrets, vafile
+from ..session import scratch_path
+from . import decontaminate, langid, near_dup, packing, quality, secrets, token_file, vafile
 from ._spark import held_out, table
 
 
@@ -25,14 +26,39 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", out.alias("held_out"), "score", "predicted"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_token_file(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """``tokenizer``: the path of a tokenizer file that every executor has."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    path = scratch_path(spark, "token-file")
+    token_file.write(table(spark, sf_dir, "documents"), path, tokenizer, end_id=2)
+    return token_file.read_documents(spark, path)
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return vafile.top_k(rows, F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op6_secrets, op9_topk)}
-SQL: dict[str, str] = {"op9_topk": vafile.SQL}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_quality, op4_packing, op6_secrets, op7_token_file, op8_decontamination, op9_topk,
+    op10_near_duplicates)}
+SQL: dict[str, str] = {"op4_packing": packing.SQL, "op9_topk": vafile.SQL}
