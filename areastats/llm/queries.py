@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, langid, near_dup, packing, quality, secrets, token_file, vafile
+from . import decontaminate, langid, near_dup, packing, quality, secrets, substring, token_file, vafile
 from ._spark import held_out, table
 
 
@@ -30,6 +30,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,6 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_quality, op4_packing, op6_secrets, op7_token_file, op8_decontamination, op9_topk,
+    op1_language_id, op2_quality, op4_packing, op5_repeats, op6_secrets, op7_token_file, op8_decontamination, op9_topk,
     op10_near_duplicates)}
-SQL: dict[str, str] = {"op4_packing": packing.SQL, "op9_topk": vafile.SQL}
+SQL: dict[str, str] = {"op4_packing": packing.SQL, "op5_repeats": substring.SQL, "op9_topk": vafile.SQL}
