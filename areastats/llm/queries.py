@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, langid, near_dup, packing, quality, secrets, substring, token_file, vafile
+from . import decontaminate, langid, licenses, near_dup, packing, quality, secrets, substring, token_file, vafile
 from ._spark import held_out, table
 
 
@@ -26,6 +26,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", out.alias("held_out"), "score", "predicted"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,6 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_quality, op4_packing, op5_repeats, op6_secrets, op7_token_file, op8_decontamination, op9_topk,
+    op1_language_id, op2_quality, op3_licenses, op4_packing, op5_repeats, op6_secrets, op7_token_file, op8_decontamination, op9_topk,
     op10_near_duplicates)}
 SQL: dict[str, str] = {"op4_packing": packing.SQL, "op5_repeats": substring.SQL, "op9_topk": vafile.SQL}
