@@ -15,17 +15,25 @@ from ..functions.measures import MILLION, safe_ratio
 
 DEALROOM = "TotalDealroomFunding"   # fixed value: Dealroom funding in pounds
 
-MEASURE_COLUMNS = [S.COMPANY_ID, S.EMPLOYEES, S.GVA, S.TURNOVER, S.INNOVATE, S.DEALROOM_M]
+# The columns the site and LA scripts keep; the registered-address scripts keep
+# REGISTERED_COLUMNS
+SITE_COLUMNS = [S.COMPANY_ID, S.COMPANY_NAME, S.EMPLOYEES, S.GVA, S.TURNOVER, S.LA_CODES, S.POSTCODES,
+                S.INNOVATE, S.DEALROOM_M]
+REGISTERED_COLUMNS = [S.COMPANY_ID, S.COMPANY_NAME, S.REG_POSTCODE, S.EMPLOYEES, S.GVA, S.TURNOVER,
+                      S.INNOVATE, S.DEALROOM_M]
 
 
-def project_company_columns(companies: DataFrame, extra: list[str] = ()) -> DataFrame:
-    """The id and the measures (column pruning reaches the scan)."""
-    return companies.select(*MEASURE_COLUMNS, *extra)
+def project_company_columns(companies: DataFrame, columns: list[str] = SITE_COLUMNS) -> DataFrame:
+    """The columns a script keeps (column pruning reaches the scan)."""
+    return companies.select(*columns)
 
 
 def with_list_counts(companies: DataFrame) -> DataFrame:
-    """No_sites, No_LAs (length rule) and their difference (one projection)."""
+    """No_sites, No_LAs (length rule) and their difference (one projection). A frame
+    without site lists gets No_LAs alone."""
     las = count_by_length(S.LA_CODES)
+    if S.POSTCODES not in companies.columns:
+        return companies.withColumn(S.NO_LAS, las)
     sites = count_items(S.POSTCODES)
     d = sites - las
     keep = [c for c in companies.columns if c not in (S.NO_LAS, S.NO_SITES, S.DIFFERENCE)]

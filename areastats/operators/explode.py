@@ -14,11 +14,6 @@ from .. import schemas as S
 from ..functions.lists import list_items
 from .company import apportion_per_la, apportion_per_site
 
-# The wide form gets one column per list position. Past this many positions the exact
-# long form (explode) is used instead of building the wide frame; both give the same rows.
-MAX_WIDE_COLUMNS = 64
-
-
 def explode_list(df: DataFrame, list_column: str, value_name: str) -> DataFrame:
     """One row per list element; the list column is replaced by ``value_name``."""
     cols = [c for c in df.columns if c != list_column]
@@ -42,26 +37,22 @@ def max_list_width(companies: DataFrame) -> DataFrame:
     return c.agg(F.max(S.NO_SITES).alias("max_sites"), F.max(S.NO_LAS).alias("max_las"))
 
 
-def widen_list(df: DataFrame, list_column: str, prefix: str, width: int) -> DataFrame:
-    """``separate``: the list as ``width`` columns ``prefix1..prefixN`` (NULL past the end)."""
-    arr = list_items(list_column)
+def unpivot_list(df: DataFrame, list_column: str, value_name: str) -> DataFrame:
+    """U4: ``separate`` into positions and ``pivot_longer(values_drop_na = TRUE)`` in one step:
+    a row per (position, value), at any list width, without a column per position."""
     cols = [c for c in df.columns if c != list_column]
-    return df.select(*cols, *[F.get(arr, i).alias(f"{prefix}{i + 1}") for i in range(width)])
+    long = df.select(*cols, F.posexplode(list_items(list_column)).alias("_position", value_name))
+    return long.filter(F.col(value_name).isNotNull()).drop("_position")
 
 
 def unpivot_wide_list(wide: DataFrame, prefix: str, value_name: str) -> DataFrame:
-    """U4: ``pivot_longer(starts_with(prefix), values_drop_na = TRUE)``."""
+    """``pivot_longer(starts_with(prefix), values_drop_na = TRUE)`` of a frame that is wide already."""
     values = [c for c in wide.columns if c.startswith(prefix)]
     ids = [c for c in wide.columns if c not in values]
     long = wide.unpivot(ids, values, "_position", value_name)
     return long.filter(F.col(value_name).isNotNull()).drop("_position")
 
 
-def sites_via_wide_form(companies: DataFrame, width: int) -> DataFrame:
-    """U1 written the reference's way (widen, then lengthen) when the widest list fits in
-    ``MAX_WIDE_COLUMNS``; otherwise the exact long form. Same rows either way."""
-    base = apportion_per_site(companies)
-    if width > MAX_WIDE_COLUMNS:
-        return explode_list(base, S.POSTCODES, S.POSTCODE)
-    return unpivot_wide_list(widen_list(base, S.POSTCODES, S.POSTCODE, max(width, 1)),
-                             S.POSTCODE, S.POSTCODE)
+def sites_by_position(companies: DataFrame) -> DataFrame:
+    """U1 by way of U4: same rows as ``explode_sites``."""
+    return unpivot_list(apportion_per_site(companies), S.POSTCODES, S.POSTCODE)

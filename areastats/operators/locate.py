@@ -83,20 +83,20 @@ def join_postcode(rows: DataFrame, geo: Geography, location: str) -> DataFrame:
 
 def join_la_region(rows: DataFrame, geo: Geography) -> DataFrame:
     """Left join LA -> region (2023) on ``ladcd``."""
-    lr = geo.la_regions_join()
+    lr = geo.la_regions()
     return rows.join(lr, rows[S.LADCD] == lr[S.LAD23CD], "left").drop(lr[S.LAD23CD])
 
 
 def join_itl(rows: DataFrame, geo: Geography, raw: bool = False) -> DataFrame:
     """J3 (``raw=True``, rows multiply) / J4 (de-duplicated lookup)."""
-    it = geo.la_itl2_join(raw=raw)
+    it = geo.la_itl2(raw=raw)
     return rows.join(it, rows[S.LADCD] == it[S.LAD23CD], "left").drop(it[S.LAD23CD])
 
 
 def join_coordinates(rows: DataFrame, geo: Geography, location: str = S.POSTCODE) -> DataFrame:
-    """Left join to the coordinate file. The coordinate key is de-duplicated first so that
-    Catalyst can drop the join entirely when none of its columns are used."""
-    co = geo.coordinates.dropDuplicates([S.PCDS])
+    """Left join to the coordinate file: a postcode with several rows there gives several
+    rows, as in the reference (``Geography.check_keys`` and J12 report such keys)."""
+    co = geo.coordinates
     return rows.join(co, rows[location] == co[S.PCDS], "left").drop(co[S.PCDS])
 
 

@@ -1,13 +1,9 @@
 """Geography lookups at their key grain, and the uniqueness guard (S4, S5, D-1, J12).
 
-Broadcast policy. The postcode directory grows with the data, so it gets no hint: Spark's
-planner broadcasts it only while its size estimate is under ``autoBroadcastJoinThreshold``
-and AQE re-checks with real sizes at run time; beyond that it is shuffle-joined. The
-LA-grain lookups (LA -> region, LA -> ITL2) are narrow and bounded by the number of areas,
-but the planner cannot see that (without statistics it estimates a join as the product of
-its inputs), so ``bounded_broadcast`` proves the bound by counting rows once -- at most
-``BROADCAST_MAX_ROWS + 1`` of them -- and broadcasts only under it. Boundary tables carry
-geometry of unknown size and are left to the planner.
+No lookup carries a broadcast hint: the planner broadcasts by its size estimate in bytes and
+AQE re-checks with real sizes at run time; beyond the threshold both sides are shuffled. The
+area plans join lookups only to states that are already aggregated, so what is shuffled there
+is at most one row per postcode or area.
 """
 
 from __future__ import annotations
@@ -18,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..session import app_id
 
 # fixed values: region codes of the three northern regions
 NORTH_REGION_CODES = ("E12000001", "E12000002", "E12000003")
@@ -36,14 +31,14 @@ class Geography:
     function is called (once) only when a query needs that table, so building a query never
     analyses lookups it does not use.
 
-    postcodes       pcds, ladcd
+    postcodes       pcds, ladcd (and pcd7, pcd8, ladnm where the file has them)
     wards           ward grain, 2023: LAD23CD, LAD23NM, RGN23CD, RGN23NM
     wards21         ward grain, 2021: LAD21CD, LAD21NM, RGN21CD, RGN21NM
     itl             LAD23CD, ITL221CD, ITL221NM, finer than LA
     lad_boundary    LAD23CD, LAD23NM, geometry
     lad_boundary21  LAD21CD, LAD21NM, geometry
     itl2_boundary   ITL221CD, ITL221NM, geometry
-    coordinates     pcds, oslaua, lat, long
+    coordinates     pcds, oslaua, pcon, lat, long, lep1
     """
 
     TABLES = ("postcodes", "wards", "wards21", "itl", "lad_boundary", "lad_boundary21",
@@ -87,6 +82,12 @@ class Geography:
         return self._memo("_lr21", lambda: distinct_lookup(
             self.wards21, [S.LAD21CD, S.RGN21CD, S.RGN21NM], S.LAD21CD))
 
+    def distinct_directory(self) -> DataFrame:
+        """The directory with exact repeats removed: for D-3, where the reference drops
+        repeated rows after its join to the directory."""
+        return self._memo("_pc_d", lambda: self.postcodes.filter(F.col(S.PCDS).isNotNull())
+                          .distinct().select(S.PCDS, S.LADCD))
+
     def la_itl2(self, raw: bool = False) -> DataFrame:
         """LA -> ITL2. ``raw=True`` keeps the finer grain, so joined rows multiply (T3, J3);
         the default is de-duplicated (J4)."""
@@ -96,51 +97,23 @@ class Geography:
                               .filter(F.col(S.LAD23CD).isNotNull()))
         return self._memo("_itl", lambda: distinct_lookup(self.itl, cols, S.LAD23CD))
 
-    def postcode_to_la_broadcast(self, max_rows: int | None = None) -> DataFrame | None:
-        """The postcode directory as a broadcast side when it has at most ``max_rows`` rows
-        (default ``POSTCODE_BROADCAST_MAX_ROWS``, counted once); ``None`` when it is larger
-        and must be shuffle-joined."""
-        def build():
-            pc = self.postcode_to_la()
-            b = bounded_broadcast(pc, max_rows=max_rows or POSTCODE_BROADCAST_MAX_ROWS,
-                                  cache=False)
-            return b if b is not pc else None
-        if "_pc_b" not in self._built:
-            self._built["_pc_b"] = build()
-        return self._built["_pc_b"]
-
-    # ---- the same, ready to join (broadcast when the row bound holds) -------------------
-    def la_regions_join(self) -> DataFrame:
-        return self._memo("_lr_j", lambda: bounded_broadcast(self.la_regions()))
-
-    def la_regions21_join(self) -> DataFrame:
-        return self._memo("_lr21_j", lambda: bounded_broadcast(self.la_regions21()))
-
-    def la_itl2_join(self, raw: bool = False) -> DataFrame:
-        return self._memo("_itl_raw_j" if raw else "_itl_j",
-                          lambda: bounded_broadcast(self.la_itl2(raw=raw)))
-
-
-BROADCAST_MAX_ROWS = 100_000        # narrow LA-grain rows: well under 16 MB broadcast
-POSTCODE_BROADCAST_MAX_ROWS = 1_000_000   # two short codes per row: about 60 MB at most
-_ROW_COUNTS: dict[tuple[str, int], int] = {}
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
-                      cache: bool = True) -> DataFrame:
-    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df`` unchanged
-    (the planner then picks a shuffle join). The count reads at most ``max_rows + 1`` rows
-    and is remembered per application and plan, so a lookup is counted once. A lookup proven
-    small is also cached (``cache=True``): every later query broadcasts it from memory
-    instead of re-deriving it; a lost executor recomputes it from its lineage."""
-    key = (app_id(df.sparkSession), df.semanticHash())
-    n = _ROW_COUNTS.get(key)
-    if n is None:
-        n = df.limit(max_rows + 1).count()
-        _ROW_COUNTS[key] = n
-    if n > max_rows:
-        return df
-    return F.broadcast(df.cache() if cache else df)
+    def check_keys(self) -> None:
+        """Raise if a lookup that is given has a key with several rows (the reference has no
+        such guard and counts a company once per row). The ITL lookup is finer than LA by
+        nature and is reduced before use."""
+        for name, key in (("postcodes", S.PCDS), ("lad_boundary", S.LAD23NM), ("itl2_boundary", S.ITL221NM),
+                          ("lad_boundary21", S.LAD21CD)):
+            if self._sources.get(name) is not None:
+                assert_unique(getattr(self, name), key, name)
+        if self._sources.get("wards") is not None:
+            assert_unique(self.la_regions(), S.LAD23CD, "wards")
+        if self._sources.get("wards21") is not None:
+            assert_unique(self.la_regions21(), S.LAD21CD, "wards21")
+        if self._sources.get("itl") is not None:
+            assert_unique(self.la_itl2(), S.LAD23CD, "itl")
+
+    def has(self, name: str) -> bool:
+        return self._sources.get(name) is not None
 
 
 def distinct_lookup(df: DataFrame, columns: list[str], key: str | None = None) -> DataFrame:
@@ -176,8 +149,9 @@ def uniqueness_report(lookups: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     return out
 
 
-def assert_unique(df: DataFrame, key: str) -> None:
-    """Raise if ``key`` is not unique in ``df`` (the guard the reference lacks)."""
-    bad = duplicate_keys(df, key).limit(1).count()
+def assert_unique(df: DataFrame, key: str, name: str = "lookup") -> None:
+    """Raise if ``key`` is not unique in ``df`` (the guard the reference lacks). NULL keys
+    match nothing and may repeat."""
+    bad = duplicate_keys(df.filter(F.col(key).isNotNull()), key).limit(1).collect()
     if bad:
-        raise ValueError(f"lookup key {key!r} is not unique")
+        raise ValueError(f"{name}: key {key!r} is not unique, e.g. {bad[0][0]!r} has {bad[0][1]} rows")

@@ -1,4 +1,4 @@
-"""Sites given in long form: one row per (company, site postcode).
+"""Sites given in long form: one row per (company row, site postcode).
 
 The reference keeps a company's sites in one comma-joined string, so one company's sites
 live in one row and are exploded by one task. When the sites are available in long form,
@@ -7,14 +7,12 @@ this path never builds or explodes a list:
 1. pairs -> (company, postcode, k) by a partial aggregation (a repeated pair collapses
    map-side; a company with millions of sites spreads over its postcodes);
 2. sites per company = sum of k (partial aggregation again);
-3. per-site values at company grain (the same ``apportion`` as the list path), turned into
-   whole micro-units;
-4. (company, postcode, k) joined to the company row -- the one join keyed by company; AQE's
+3. (company, postcode, k) joined to the company row -- the one join keyed by company; AQE's
    skew handling splits a hot company's partition and repeats its single company row;
-5. per postcode: count = sum of k, sum = sum of k * units.
+4. each row stands for k equal site rows (the weight of its state).
 
-The states equal, bit for bit, those of exploding the lists: every site of a company adds
-the same whole number of units, so k of them add k times that number.
+``pairs`` and the company table share the column ``company_key``, which identifies a company
+row; company numbers may repeat or be missing.
 """
 
 from __future__ import annotations
@@ -23,37 +21,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.measures import UNITS_TYPE, Measure, to_units
-from .company import apportion, positive
+from .company import SITE_COLUMNS, apportion
 
-_K = "_k"
+WEIGHT = "_k"
 
 
-def site_pair_states(companies: DataFrame, pairs: DataFrame, measures: list[Measure],
-                     distinct_sites: bool = False, positive_only: bool = False,
-                     count_name: str = "_n") -> DataFrame:
-    """Mergeable states by ``Postcode`` from long-form sites (see module doc).
+def site_pair_rows(companies: DataFrame, pairs: DataFrame, whole_rows: bool = False) -> DataFrame:
+    """Site rows with their weight (``WEIGHT``): per-site measures, whole-company GVA and jobs.
 
-    ``pairs`` has columns ``Companynumber`` and ``Postcode``, one row per site (a company
-    listing a postcode twice has two rows). ``distinct_sites`` counts each (company, site)
-    once (D-3) while still dividing by the company's full number of sites, as the list path
-    does.
+    ``whole_rows``: rows that agree in every column the reference keeps (D-3) become one row,
+    whichever company rows they come from.
     """
-    pc = pairs.groupBy(S.COMPANY_ID, S.POSTCODE).agg(F.count(F.lit(1)).alias(_K))
-    n = pc.groupBy(S.COMPANY_ID).agg(F.sum(_K).alias(S.NO_SITES))
-    if distinct_sites:
-        pc = pc.withColumn(_K, F.lit(1).cast("bigint"))
-    c = apportion(companies.join(n, S.COMPANY_ID), S.NO_SITES, S.PER_SITE)
-    if positive_only:
-        c = c.filter(positive())
-    c = c.select(S.COMPANY_ID, *[to_units(F.col(m.source)).alias(f"_u_{m.name}") for m in measures])
-    j = pc.join(c, S.COMPANY_ID)
-    k = F.col(_K)
-    aggs = [F.sum(k).alias(count_name)]
-    for m in measures:
-        u = F.col(f"_u_{m.name}")
-        aggs.append(F.sum(k.cast(UNITS_TYPE) * u).cast(UNITS_TYPE).alias(f"_s_{m.name}"))
-        if m.strict:
-            aggs.append(F.coalesce(F.sum(F.when(u.isNotNull(), k)), F.lit(0)).cast("bigint")
-                        .alias(f"_c_{m.name}"))
-    return j.groupBy(S.POSTCODE).agg(*aggs)
+    pc = pairs.groupBy(S.COMPANY_KEY, S.POSTCODE).agg(F.count(F.lit(1)).alias(WEIGHT))
+    n = pc.groupBy(S.COMPANY_KEY).agg(F.sum(WEIGHT).alias(S.NO_SITES))
+    kept = [c for c in SITE_COLUMNS if c in companies.columns and c != S.POSTCODES]
+    c = companies.select(S.COMPANY_KEY, *kept).join(n, S.COMPANY_KEY)
+    rows = pc.join(c, S.COMPANY_KEY).drop(S.COMPANY_KEY)
+    if whole_rows:
+        rows = rows.groupBy(*kept, S.NO_SITES, S.POSTCODE).agg(F.sum(WEIGHT).alias(WEIGHT))
+    return apportion(rows, S.NO_SITES, S.PER_SITE)

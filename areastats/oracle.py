@@ -1,8 +1,8 @@
 """Oracle SQL (DuckDB dialect) for every registered query.
 
 Only the base tables are registered in the oracle database, so each statement repeats the
-fixture views it needs as CTEs. Sums use the same exact fixed-point rule as the engine
-(whole micro-units summed as DECIMAL(38,0)), so results agree bit for bit.
+fixture views it needs as CTEs. Sums are plain DECIMAL(38,6) sums, turned into doubles only at
+the end.
 """
 
 from __future__ import annotations
@@ -15,12 +15,18 @@ FX = {
          l.l_tax, l.l_returnflag, l.l_linestatus
   FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey)""",
     "fx_company": """fx_company AS (
-  SELECT o.o_orderkey AS Companynumber, printf('RC%08d', o.o_custkey) AS Registeredpostcode,
+  SELECT o.o_orderkey AS company_key,
+         CASE WHEN o.o_orderkey % 97 = 13 THEN NULL WHEN o.o_orderkey % 89 = 7 THEN o.o_orderkey - 1
+              ELSE o.o_orderkey END AS Companynumber,
+         concat('Company ', CAST(o.o_orderkey AS VARCHAR)) AS Companyname, printf('RC%08d', o.o_custkey) AS Registeredpostcode,
          o.o_totalprice AS BestEstimateCurrentGVA,
          coalesce(f.turnover, 0.0) AS BestEstimateCurrentTurnover,
          coalesce(f.employees, 0.0) AS BestEstimateCurrentEmployees,
          f.innovate AS TotalInnovateUKFunding, f.dealroom_m AS TotalDealroomFundingMillionPounds,
-         f.postcodes AS Postcodes, g.la_codes AS Localauthoritycodes
+         f.postcodes AS Postcodes,
+         CASE WHEN o.o_orderkey % 211 = 5
+              THEN (SELECT string_agg(printf('E%08d', n_nationkey), ',' ORDER BY n_nationkey) FROM nation)
+              ELSE g.la_codes END AS Localauthoritycodes
   FROM orders o
   LEFT JOIN (SELECT l_orderkey,
       CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS turnover,
@@ -33,11 +39,13 @@ FX = {
     FROM (SELECT DISTINCT l_orderkey, la FROM fx_site_fact) t GROUP BY l_orderkey) g
     ON o.o_orderkey = g.l_orderkey)""",
     "fx_postcode": """fx_postcode AS (
-  SELECT printf('PC%06d', s_suppkey) AS pcds, printf('E%08d', s_nationkey) AS ladcd
-  FROM supplier WHERE s_suppkey % 50 <> 7
-  UNION ALL
-  SELECT printf('RC%08d', c_custkey), printf('E%08d', c_nationkey)
-  FROM customer WHERE c_custkey % 50 <> 7)""",
+  SELECT pcds AS pcd7, concat(substr(pcds, 1, 2), ' ', substr(pcds, 3)) AS pcd8, pcds, ladcd, n_name AS ladnm
+  FROM (
+    SELECT printf('PC%06d', s_suppkey) AS pcds, printf('E%08d', s_nationkey) AS ladcd, s_nationkey AS k
+    FROM supplier WHERE s_suppkey % 50 <> 7
+    UNION ALL
+    SELECT printf('RC%08d', c_custkey), printf('E%08d', c_nationkey), c_nationkey
+    FROM customer WHERE c_custkey % 50 <> 7) p LEFT JOIN nation ON n_nationkey = k)""",
     "fx_ward_lookup": """fx_ward_lookup AS (
   SELECT concat('W', CAST(n.n_nationkey * 10 + w.r_regionkey AS VARCHAR)) AS WD23CD,
          printf('E%08d', n.n_nationkey) AS LAD23CD, n.n_name AS LAD23NM,
@@ -68,8 +76,13 @@ FX = {
   UNION ALL
   SELECT 'TL99', 'ITL2_EMPTY', '{"type":"Point","coordinates":[0,0]}')""",
     "fx_coord": """fx_coord AS (
-  SELECT pcds, ladcd AS oslaua, CAST(length(pcds) AS DOUBLE) AS lat, CAST(0.5 AS DOUBLE) AS long
-  FROM fx_postcode)""",
+  SELECT pcds, ladcd AS oslaua, concat('E14', substr(ladcd, 4)) AS pcon, CAST(length(pcds) AS DOUBLE) AS lat,
+         CAST(0.5 AS DOUBLE) AS long, concat('E37', substr(ladcd, 4)) AS lep1
+  FROM fx_postcode
+  UNION ALL
+  SELECT pcds, ladcd, concat('E14', substr(ladcd, 4)), CAST(99 AS DOUBLE), CAST(0.5 AS DOUBLE),
+         concat('E37', substr(ladcd, 4))
+  FROM fx_postcode WHERE pcds LIKE 'PC%3')""",
     # ---- derived views used by many queries --------------------------------------------
     "la_region": """la_region AS (
   SELECT DISTINCT LAD23CD, LAD23NM, RGN23CD, RGN23NM FROM fx_ward_lookup)""",
@@ -89,7 +102,8 @@ FX = {
     coalesce(TotalDealroomFundingMillionPounds, 0.0) * 1e6 AS TotalDealroomFunding
   FROM fx_company)""",
     "sites": """sites AS (
-  SELECT c.Companynumber, c.BestEstimateCurrentGVA, c.BestEstimateCurrentEmployees, c.No_sites,
+  SELECT c.Companynumber, c.Companyname, c.BestEstimateCurrentGVA, c.BestEstimateCurrentEmployees,
+    c.BestEstimateCurrentTurnover, c.Localauthoritycodes, c.innovate0, c.TotalDealroomFunding, c.No_LAs, c.No_sites,
     c.BestEstimateCurrentTurnover / c.No_sites AS turn_per_site,
     c.BestEstimateCurrentGVA / c.No_sites AS GVA_per_site,
     c.BestEstimateCurrentEmployees / c.No_sites AS empl_per_site,
@@ -153,18 +167,17 @@ def with_ctes(names: list[str], body: str) -> str:
     return "WITH " + ",\n".join(FX[n] for n in order) + "\n" + body
 
 
-# ---- exact-sum helpers (same rule as functions.measures) ---------------------------------
-def units(expr: str) -> str:
-    return f"CAST(floor(({expr}) * 1e6 + 0.5) AS DECIMAL(38,0))"
+# ---- sums ----------------------------------------------------------------------------------
+def pounds(expr: str) -> str:
+    return f"CAST({expr} AS DECIMAL(38,6))"
 
 
 def strict_sum(expr: str) -> str:
-    u = units(expr)
-    return f"CASE WHEN count({u}) = count(*) THEN CAST(sum({u}) AS DOUBLE) / 1e6 END"
+    return f"CASE WHEN count({expr}) = count(*) THEN CAST(sum({pounds(expr)}) AS DOUBLE) END"
 
 
 def skip_sum(expr: str) -> str:
-    return f"coalesce(CAST(sum({units(expr)}) AS DOUBLE) / 1e6, 0.0)"
+    return f"coalesce(CAST(sum({pounds(expr)}) AS DOUBLE), 0.0)"
 
 
 def ratio(num: str, den: str) -> str:

@@ -1,21 +1,20 @@
 """Area tables: basis x level x scope x metric.
 
-Plan shape (registered and sites bases), chosen by the size of the postcode directory:
-
-  directory proven small (row count under a bound, checked once):
-    located rows ─ broadcast join directory ─ broadcast join LA lookups ─ [north filter]
-                 ─ partial agg by area ─ shuffle (one row per area per task) ─ final agg
-  directory large:
-    located rows ─ partial agg by postcode ─ shuffle ─ join directory (shuffle join)
-                 ─ broadcast join LA lookups ─ [north filter] ─ merge by area
-
-In the first shape nothing shuffles before the area aggregation. In the second the fact side
-is aggregated by postcode before it meets the directory: the aggregation is partial on every
-task (map-side combine), so a postcode -- or a company -- holding a third of all rows
-collapses into one state per task before any shuffle, and the join sees at most one row per
-distinct postcode. Every state is decomposable (counts and exact sums), so both shapes give
-the same bits, and a fan-out lookup (raw ITL, T3) multiplies states exactly as it would
-multiply rows.
+One plan shape, whatever the sizes:
+
+    located rows ─ partial agg by location ─ shuffle ─ state per postcode
+                 ─ join directory ─ agg by LA code ─ state per LA
+                 ─ join LA lookups ─ [north filter] ─ merge by area
+
+The fact side is aggregated by postcode (or LA code) before it meets any lookup. The
+aggregation is partial on every task, so a postcode -- or a company -- holding a third of all
+rows collapses into one state per task before any shuffle; the directory join sees at most
+one row per distinct postcode and the LA lookups at most one per LA. Joins carry no hint: the
+planner and AQE choose by size in bytes. Every state is decomposable (counts and exact sums),
+so a fan-out lookup (raw ITL, T3) multiplies states exactly as it would multiply rows.
+
+States come in kinds: ``t`` totals, ``p`` the companies with positive GVA and jobs, ``d``
+totals over distinct site rows (D-3). ``location_states`` gives several kinds in one pass.
 """
 
 from __future__ import annotations
@@ -26,28 +25,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.measures import (Measure, final_value, merge_state, partial_state, row_state,
-                                  safe_ratio)
-from ..operators.company import positive
+from ..functions.measures import (UNITS_TYPE, Measure, final_value, merge_state, partial_state, safe_ratio,
+                                  to_units)
+from ..operators.company import SITE_COLUMNS, positive
 from ..operators.locate import BASES, Basis
 from ..operators.lookups import NORTH_REGION_CODES, Geography
-from ..operators.site_pairs import site_pair_states
+from ..operators.site_pairs import WEIGHT, site_pair_rows
 
 # level -> output key column
 LEVELS = {"national": None, "region": S.RGN23NM, "la": S.LAD23NM, "itl2": S.ITL221NM,
           "la_code": S.LACODE, "region21": S.RGN21NM}
 
-_N = "_n"
-
 
 @dataclass(frozen=True)
 class AreaQuery:
     basis: str = "registered"      # registered | sites | la_codes
     level: str = "la"              # national | region | la | itl2 | la_code | region21
-    scope: str = "all"             # all | north
+    scope: str = "all"             # all | north (before any aggregation, at every level)
     metric: str = "totals"         # totals | gva_per_job | headline
     itl: str = "dedup"             # dedup (J4) | raw (J3)
-    distinct_sites: bool = False   # D-3: drop repeated (company, site) rows first
+    distinct_sites: bool = False   # D-3: drop repeated site rows first
     count_name: str | None = None  # override the name of n()
 
     def __post_init__(self) -> None:
@@ -60,20 +57,31 @@ class AreaQuery:
                                  f"not {getattr(self, field_name)!r}")
         if self.level == "la_code" and self.basis != "la_codes":
             raise ValueError("level 'la_code' needs basis 'la_codes'")
+        if self.distinct_sites and (self.basis != "sites" or self.metric == "gva_per_job"):
+            raise ValueError("distinct_sites applies to the totals of the sites basis")
 
+    @property
+    def kind(self) -> str:
+        """The kind of state this query finishes."""
+        return "p" if self.metric == "gva_per_job" else "d" if self.distinct_sites else "t"
 
-def _metric_measures(q: AreaQuery, basis: Basis) -> tuple[list[Measure], str]:
-    if q.metric == "gva_per_job":
+
+def state_measures(basis: Basis, kind: str) -> list[Measure]:
+    if kind == "p":
         # The ratio always uses whole-company GVA and jobs, once per located row
-        return ([Measure(S.OUT_GVA, S.GVA), Measure(S.OUT_EMPLOYEES, S.EMPLOYEES)],
-                q.count_name or S.NO_COMPANIES)
-    return basis.totals, q.count_name or basis.count_name
+        return [Measure(S.OUT_GVA, S.GVA), Measure(S.OUT_EMPLOYEES, S.EMPLOYEES)]
+    return basis.totals
 
 
-def _finalize(df: DataFrame, key: str | None, q: AreaQuery, measures: list[Measure],
-              count_name: str) -> DataFrame:
+def _count_name(q: AreaQuery) -> str:
+    return q.count_name or (S.NO_COMPANIES if q.metric == "gva_per_job" else BASES[q.basis].count_name)
+
+
+def _finalize(df: DataFrame, key: str | None, q: AreaQuery) -> DataFrame:
     keys = [key] if key else []
-    vals = [F.col(_N).alias(count_name)] + [final_value(m, _N) for m in measures]
+    kind, count_name = q.kind, _count_name(q)
+    vals = [F.col(f"{kind}_n").alias(count_name)]
+    vals += [final_value(m, kind) for m in state_measures(BASES[q.basis], kind)]
     out = df.select(*keys, *vals)
     if q.metric == "gva_per_job":
         out = out.select(*keys, count_name,
@@ -85,117 +93,148 @@ def _finalize(df: DataFrame, key: str | None, q: AreaQuery, measures: list[Measu
     return out
 
 
-def basis_rows(companies: DataFrame, q: AreaQuery) -> DataFrame:
-    basis = BASES[q.basis]
-    rows = basis.rows(companies)
-    if q.distinct_sites:
-        rows = rows.dropDuplicates([S.COMPANY_ID, basis.location])
-    if q.metric == "gva_per_job":
+def _weighted_state(measures: list[Measure], prefix: str, weight, where=None) -> list:
+    """As ``partial_state``, each row standing for ``weight`` equal rows."""
+    only = (lambda c: c) if where is None else (lambda c: F.when(where, c))
+    cols = [F.coalesce(F.sum(only(weight)), F.lit(0)).cast("bigint").alias(f"{prefix}_n")]
+    for m in measures:
+        u = to_units(F.col(m.source))
+        cols.append(F.sum(only(weight.cast(UNITS_TYPE) * u)).cast(UNITS_TYPE).alias(f"{prefix}_s_{m.name}"))
+        if m.strict:
+            cols.append(F.coalesce(F.sum(only(F.when(u.isNotNull(), weight))), F.lit(0)).cast("bigint")
+                        .alias(f"{prefix}_c_{m.name}"))
+    return cols
+
+
+def basis_rows(companies: DataFrame, basis: Basis, kinds: str,
+               site_pairs: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """(rows of the basis, whether they carry weights). With kind ``d`` equal site rows are one
+    row with a weight; with kind ``p`` alone the others are filtered out (at the scan)."""
+    weighted = False
+    if basis.name == "sites" and site_pairs is not None:
+        rows, weighted = site_pair_rows(companies, site_pairs, whole_rows="d" in kinds), True
+    elif "d" in kinds:
+        kept = [c for c in SITE_COLUMNS if c in companies.columns]
+        rows = basis.rows(companies.select(*kept))
+        rows, weighted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias(WEIGHT)), True
+    else:
+        rows = basis.rows(companies)
+    if kinds == "p":
         rows = rows.filter(positive())
-    return rows
+    return rows, weighted
 
 
-def location_states(companies: DataFrame, q: AreaQuery,
-                    site_pairs: DataFrame | None = None) -> DataFrame:
-    """Mergeable states by location key (postcode, or LA code for the ``la_codes`` basis).
+def location_states(companies: DataFrame, basis_name: str, kinds: str,
+                    site_pairs: DataFrame | None = None, whole: bool = False) -> DataFrame:
+    """Mergeable states of the given kinds by location key (postcode, or LA code for the
+    ``la_codes`` basis), in one pass over the companies; ``whole``: one state of all rows.
 
-    With ``site_pairs`` (long-form sites: Companynumber, Postcode) the ``sites`` basis is
+    With ``site_pairs`` (long-form sites: company_key, Postcode) the ``sites`` basis is
     computed without list strings (``operators.site_pairs``); the states are identical.
     """
-    basis = BASES[q.basis]
-    measures, _ = _metric_measures(q, basis)
-    if site_pairs is not None and q.basis == "sites":
-        return site_pair_states(companies, site_pairs, measures, distinct_sites=q.distinct_sites,
-                                positive_only=(q.metric == "gva_per_job"), count_name=_N)
-    rows = basis_rows(companies, q)
-    return rows.groupBy(basis.location).agg(*partial_state(measures, _N))
+    basis = BASES[basis_name]
+    rows, weighted = basis_rows(companies, basis, kinds, site_pairs)
+    cols = []
+    for kind in kinds:
+        where = positive() if kind == "p" and kinds != "p" else None
+        measures = state_measures(basis, kind)
+        if weighted:
+            weight = F.lit(1).cast("bigint") if kind == "d" else F.col(WEIGHT)
+            cols += _weighted_state(measures, kind, weight, where)
+        else:
+            cols += partial_state(measures, kind, where)
+    return rows.agg(*cols) if whole else rows.groupBy(basis.location).agg(*cols)
 
 
 def area_states(companies: DataFrame, geo: Geography | None, q: AreaQuery,
-                site_pairs: DataFrame | None = None) -> DataFrame:
+                site_pairs: DataFrame | None = None, states: DataFrame | None = None) -> DataFrame:
     """Located, scoped, mergeable states at LA grain with every lookup column attached.
 
-    Columns: the lookup columns of the level, ``_n`` and the ``_s_* / _c_*`` states.
+    ``states`` gives the location states instead of computing them from the companies.
     """
-    basis = BASES[q.basis]
+    basis, kind = BASES[q.basis], q.kind
+    merged = merge_state(state_measures(basis, kind), kind)
+    if states is None:
+        states = location_states(companies, q.basis, kind, site_pairs)
+    elif kind == "p":
+        states = states.filter(F.col("p_n") > 0)       # locations without such a company
     loc = basis.location
-    pc_small = (geo.postcode_to_la_broadcast()
-                if not basis.located_by_la and site_pairs is None else None)
-    if pc_small is not None:
-        # The directory is proven small: every located row carries a one-row state and
-        # meets the broadcast directory in its own task; nothing shuffles before the area
-        # aggregation (whose partial step absorbs hot keys).
-        measures, _ = _metric_measures(q, basis)
-        states = basis_rows(companies, q).select(loc, *row_state(measures, _N))
-        located = (states.join(pc_small, states[loc] == pc_small[S.PCDS], "left")
-                   .drop(pc_small[S.PCDS]).drop(loc))
-    elif basis.located_by_la:
-        located = location_states(companies, q, site_pairs).withColumnRenamed(loc, S.LADCD)
+    if basis.located_by_la:
+        located = states.withColumn(S.LADCD, F.col(loc))
+        located = located.groupBy(loc, S.LADCD).agg(*merged)
     else:
-        # The directory may be large: pre-aggregate by postcode (one state per postcode per
-        # task) so the shuffle join sees at most one row per distinct postcode.
-        states = location_states(companies, q, site_pairs)
-        pc = geo.postcode_to_la()
+        pc = geo.distinct_directory() if kind == "d" else geo.postcode_to_la()
         located = (states.join(pc, states[loc] == pc[S.PCDS], "left")
-                   .drop(pc[S.PCDS]).drop(loc))
-    if q.level == "region21":
-        lr = geo.la_regions21_join()
-        return located.join(lr, located[S.LADCD] == lr[S.LAD21CD], "inner").drop(lr[S.LAD21CD])
+                   .groupBy(S.LADCD).agg(*merged))
+    if q.level in ("region21", "la_code"):
+        if q.level == "la_code" and q.scope == "all":
+            return located
+        lr = geo.la_regions21()
+        located = located.join(lr, located[S.LADCD] == lr[S.LAD21CD], "inner").drop(lr[S.LAD21CD])
+        return located.filter(F.col(S.RGN21CD).isin(*NORTH_REGION_CODES)) if q.scope == "north" else located
     if q.level in ("region", "la") or q.scope == "north":
-        lr = geo.la_regions_join()
+        lr = geo.la_regions()
         located = located.join(lr, located[S.LADCD] == lr[S.LAD23CD], "left").drop(lr[S.LAD23CD])
     if q.level == "itl2":
-        it = geo.la_itl2_join(raw=(q.itl == "raw"))
+        it = geo.la_itl2(raw=(q.itl == "raw"))
         located = located.join(it, located[S.LADCD] == it[S.LAD23CD], "left").drop(it[S.LAD23CD])
     if q.scope == "north":
         located = located.filter(F.col(S.RGN23CD).isin(*NORTH_REGION_CODES))
     return located
 
 
+def states_by_area(companies: DataFrame, geo: Geography | None, q: AreaQuery,
+                   site_pairs: DataFrame | None = None, states: DataFrame | None = None) -> DataFrame:
+    """One state per area of the query (the unmatched area under a NULL key)."""
+    merged = merge_state(state_measures(BASES[q.basis], q.kind), q.kind)
+    key = LEVELS[q.level]
+    if key is None and q.scope == "all":
+        if states is None:
+            return location_states(companies, q.basis, q.kind, site_pairs, whole=True)
+        return states.agg(*merged)
+    located = area_states(companies, geo, q, site_pairs, states)
+    if key is None:
+        return located.agg(*merged)
+    return located.groupBy(key).agg(*merged)
+
+
 def area_table(companies: DataFrame, geo: Geography | None, q: AreaQuery,
-               site_pairs: DataFrame | None = None) -> DataFrame:
+               site_pairs: DataFrame | None = None, states: DataFrame | None = None) -> DataFrame:
     """The area table of one query: one row per area, the unmatched area as a NULL key.
 
     The DataFrame is not ordered -- a global sort costs a sampling job and a shuffle and is
-    presentation only; ``order_by_key`` (R7) gives the published order, and the sinks
-    write in that order. ``site_pairs`` optionally gives the sites in long form (see
-    ``location_states``)."""
-    basis = BASES[q.basis]
-    measures, count_name = _metric_measures(q, basis)
-    key = LEVELS[q.level]
-    if key is None:
-        if site_pairs is not None and q.basis == "sites":
-            st = location_states(companies, q, site_pairs).agg(*merge_state(measures, _N))
-            return _finalize(st, None, q, measures, count_name)
-        rows = basis_rows(companies, q)
-        return _finalize(rows.agg(*partial_state(measures, _N)), None, q, measures, count_name)
-    if q.level == "la_code":
-        rows = basis_rows(companies, q)
-        states = rows.groupBy(key).agg(*partial_state(measures, _N))
-    else:
-        states = (area_states(companies, geo, q, site_pairs).groupBy(key)
-                  .agg(*merge_state(measures, _N)))
-    return _finalize(states, key, q, measures, count_name)
+    presentation only; ``order_by_key`` (R7) gives the published order. ``site_pairs`` gives
+    the sites in long form, ``states`` precomputed location states (see ``location_states``).
+    """
+    by_area = states_by_area(companies, geo, q, site_pairs, states)
+    if LEVELS[q.level] is None:
+        # no rows at all: n() is 0
+        by_area = by_area.fillna(0, subset=[f"{q.kind}_n"])
+    return _finalize(by_area, LEVELS[q.level], q)
 
 
 def area_rollup(companies: DataFrame, geo: Geography | None, q: AreaQuery,
-                total_label: str = "Total", matched_only: bool = False) -> DataFrame:
-    """The area table plus a total row, in one aggregation (``rollup``).
-
-    ``grouping()`` tells the total row from the unmatched (NULL) area; the total is labelled
-    afterwards, so an area that is NULL stays NULL.
+                total_label: str = "Total", matched_only: bool = False,
+                site_pairs: DataFrame | None = None, states: DataFrame | None = None) -> DataFrame:
+    """The area table plus a total row. The facts are aggregated by area first; only those
+    few states are rolled up. ``grouping()`` tells the total row from the unmatched (NULL)
+    area; the total is labelled afterwards, so an area that is NULL stays NULL.
     """
-    basis = BASES[q.basis]
-    measures, count_name = _metric_measures(q, basis)
+    rolled = rolled_states(companies, geo, q, matched_only, site_pairs, states)
     key = LEVELS[q.level]
-    states = area_states(companies, geo, q)
+    return _finalize(rolled.withColumn(key, F.when(F.col("_total") == 1, F.lit(total_label))
+                                       .otherwise(F.col(key))), key, q)
+
+
+def rolled_states(companies: DataFrame, geo: Geography | None, q: AreaQuery, matched_only: bool,
+                  site_pairs: DataFrame | None = None, states: DataFrame | None = None) -> DataFrame:
+    """The states of every area and of all together (``_total`` 1)."""
+    key = LEVELS[q.level]
+    by_area = states_by_area(companies, geo, q, site_pairs, states)
     if matched_only:
-        states = states.filter(F.col(key).isNotNull())
-    rolled = states.rollup(key).agg(*merge_state(measures, _N),
-                                    F.grouping(key).alias("_total"))
-    out = _finalize(rolled.withColumn(key, F.when(F.col("_total") == 1, F.lit(total_label))
-                                      .otherwise(F.col(key))), key, q, measures, count_name)
-    return out
+        by_area = by_area.filter(F.col(key).isNotNull())
+    return by_area.rollup(key).agg(*merge_state(state_measures(BASES[q.basis], q.kind), q.kind),
+                                   F.grouping(key).alias("_total"))
 
 
 def order_by_key(df: DataFrame, key: str) -> DataFrame:
@@ -203,26 +242,29 @@ def order_by_key(df: DataFrame, key: str) -> DataFrame:
     return df.orderBy(F.asc_nulls_last(key))
 
 
-def la_headline_frame(companies: DataFrame, geo: Geography, north: bool = False) -> DataFrame:
+def la_headline_frame(companies: DataFrame, geo: Geography, north: bool = False, geometry: bool = True,
+                      states: DataFrame | None = None) -> DataFrame:
     """A25 joined to the 2021 region lookup and the 2021 boundaries (inner joins, by code).
 
     Aggregated before the joins (as the reference does), so the joins see one row per LA.
-    The region lookup is reduced to LA grain first (T2), which is what the reference's later
-    ``distinct`` achieves; the ``distinct`` is kept for boundary duplicates (D-2).
+    Region lookup and boundaries are reduced to one row per LA before the join (T2, D-2), which
+    is what the reference's later ``distinct`` achieves. Without ``geometry`` the boundary file
+    gives only its names.
     """
-    t = area_table(companies, geo, AreaQuery(basis="la_codes", level="la_code", metric="headline"))
-    lr = geo.la_regions21_join()
-    b = geo.lad_boundary21
+    t = area_table(companies, geo, AreaQuery(basis="la_codes", level="la_code", metric="headline"), states=states)
+    lr = geo.la_regions21()
+    b = geo.lad_boundary21.select(S.LAD21CD, S.LAD21NM, *([S.GEOMETRY] if geometry else [])).distinct()
     g = (t.join(lr, t[S.LACODE] == lr[S.LAD21CD], "inner").drop(lr[S.LAD21CD])
-         .join(b, t[S.LACODE] == b[S.LAD21CD], "inner").drop(b[S.LAD21CD])
-         .distinct())
+         .join(b, t[S.LACODE] == b[S.LAD21CD], "inner").drop(b[S.LAD21CD]))
     if north:
         from ..operators.lookups import north_codes_generated
         g = g.filter(F.col(S.RGN21CD).isin(*north_codes_generated()))
     return g
 
 
-def la_headlines(companies: DataFrame, geo: Geography, north: bool = False) -> DataFrame:
-    """The LA headline table in its published column order."""
-    g = la_headline_frame(companies, geo, north)
-    return g.select(*S.HEADLINE_COLUMNS)
+def la_headlines(companies: DataFrame, geo: Geography, north: bool = False,
+                 states: DataFrame | None = None, code: bool = False) -> DataFrame:
+    """The LA headline table in its published column order (P13); ``code`` adds the
+    LA code, in whose order it is published."""
+    g = la_headline_frame(companies, geo, north, geometry=False, states=states)
+    return g.select(*S.HEADLINE_COLUMNS, *([S.LACODE] if code else []))

@@ -1,7 +1,9 @@
 """Registered queries: one per operator of the inventory.
 
 Every query takes ``(spark, sf_dir)``, reads the driver's tables through the fixture views
-and returns a lazy DataFrame over all rows. ``SQL[name]`` is the same query in DuckDB SQL.
+and returns a lazy DataFrame over all rows: building one runs no job. (The source and sink
+queries of ``catalog_io`` write their file when built, and return the lazy read of it.)
+``SQL[name]`` is the same query in DuckDB SQL.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import oracle as O
 from .. import schemas as S
 from ..functions.measures import skip_null_sum, strict_sum
+from ..operators.lookups import NORTH_REGION_CODES
 from ..sources.fixtures import Fixtures, fixtures
 from .area import LEVELS, AreaQuery, area_table, la_headlines
 
@@ -21,7 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-NORTH_SQL = "('E12000001', 'E12000002', 'E12000003')"
+NORTH_SQL = "(" + ", ".join(f"'{c}'" for c in NORTH_REGION_CODES) + ")"
 
 
 def register(name: str, sql: str | None = None):
@@ -68,6 +71,11 @@ AREA = {
     "north_itl2_sites_totals": AreaQuery(basis="sites", level="itl2", scope="north"),
     "north_itl2_sites_gva_per_job": AreaQuery(basis="sites", level="itl2", scope="north",
                                               metric="gva_per_job", count_name=S.NO_SITES),
+    "national_registered_totals_north": AreaQuery(level="national", scope="north"),
+    "national_sites_totals_north": AreaQuery(basis="sites", level="national", scope="north"),
+    "la_code_totals_north": AreaQuery(basis="la_codes", level="la_code", metric="headline", scope="north"),
+    "region_sites_headlines_north": AreaQuery(basis="sites", level="region21", metric="headline",
+                                              count_name=S.NO_SITES, distinct_sites=True, scope="north"),
     "la_code_totals": AreaQuery(basis="la_codes", level="la_code", metric="headline"),
     "region_sites_headlines": AreaQuery(basis="sites", level="region21", metric="headline",
                                         count_name=S.NO_SITES, distinct_sites=True),
@@ -86,9 +94,9 @@ _SQL_BASIS = {
 }
 
 
-def area_sql(q: AreaQuery, rollup: bool = False) -> str:
+def area_sql(q: AreaQuery, rollup: bool = False, matched: bool = False) -> str:
     """The area query in SQL, written at row level (join first, aggregate after).
-    ``rollup`` adds the total row labelled 'Total' (R1)."""
+    ``rollup`` adds the total row labelled 'Total' (R1), ``matched`` drops the unmatched area."""
     src, cols, funding_strict, default_count = _SQL_BASIS[q.basis]
     key = LEVELS[q.level]
     ctes = [src]
@@ -100,14 +108,20 @@ def area_sql(q: AreaQuery, rollup: bool = False) -> str:
         it = "itl_raw" if q.itl == "raw" else "itl_dedup"
         ctes.append(it)
         joins = f" LEFT JOIN {it} i ON t.ladcd = i.LAD23CD"
-    if q.level == "region21":
+    if q.basis == "la_codes" and q.level not in ("la_code", "region21") and (q.level != "national" or q.scope == "north"):
+        ctes.append("la_region")
+        frm = f"(SELECT x.*, x.LAcode AS ladcd, lr.* EXCLUDE (LAD23CD) FROM la_rows x LEFT JOIN la_region lr ON x.LAcode = lr.LAD23CD) t"
+    if q.level == "region21" or (q.level == "la_code" and q.scope == "north"):
         ctes.append("la_region21")
-        joins = " JOIN la_region21 r21 ON t.ladcd = r21.LAD21CD"
+        place = "LAcode" if q.basis == "la_codes" else "ladcd"
+        joins = f" JOIN la_region21 r21 ON t.{place} = r21.LAD21CD"
     where = []
     if q.metric == "gva_per_job":
         where.append(f"t.{S.GVA} > 0 AND t.{S.EMPLOYEES} > 0")
     if q.scope == "north":
-        where.append(f"t.{S.RGN23CD} IN {NORTH_SQL}")
+        where.append((f"r21.{S.RGN21CD}" if q.level in ("region21", "la_code") else f"t.{S.RGN23CD}") + f" IN {NORTH_SQL}")
+    if matched:
+        where.append(f"t.{key} IS NOT NULL")
     wh = (" WHERE " + " AND ".join(where)) if where else ""
     if q.metric == "gva_per_job":
         count = q.count_name or S.NO_COMPANIES
@@ -136,10 +150,14 @@ def area_sql(q: AreaQuery, rollup: bool = False) -> str:
                              f"GROUP BY {kexpr} ORDER BY {key} NULLS LAST")
 
 
+def area(fx: Fixtures, q: AreaQuery) -> DataFrame:
+    """An area table over the fixture views, the sites in long form."""
+    return area_table(fx.company_long(), fx.geography, q, site_pairs=fx.site_pairs())
+
+
 def _area_query(q: AreaQuery) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        fx = _fx(spark, sf_dir)
-        return area_table(fx.company(), fx.geography, q)
+        return area(_fx(spark, sf_dir), q)
     return run
 
 
@@ -182,7 +200,7 @@ def _area_ctes(name: str | AreaQuery) -> list[str]:
                           "JOIN lad_boundary21 b ON h.LAcode = b.LAD21CD"))
 def national_la_headlines(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    return la_headlines(fx.company(), fx.geography)
+    return la_headlines(fx.company_long(), fx.geography)
 
 
 @register("northern_la_headlines",
@@ -190,7 +208,7 @@ def national_la_headlines(spark, sf_dir):
               "ON h.LAcode = b.LAD21CD", f"ON h.LAcode = b.LAD21CD WHERE r.RGN21CD IN {NORTH_SQL}"))
 def northern_la_headlines(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    return la_headlines(fx.company(), fx.geography, north=True)
+    return la_headlines(fx.company_long(), fx.geography, north=True)
 
 
 @register("strict_sum", O.with_ctes(["fx_company"], (
@@ -200,7 +218,7 @@ def northern_la_headlines(spark, sf_dir):
     "FROM fx_company GROUP BY Registeredpostcode")))
 def strict_sum_query(spark, sf_dir):
     """R's ``sum`` against ``sum(na.rm = TRUE)`` on the nullable Innovate column."""
-    c = _fx(spark, sf_dir).company()
+    c = _fx(spark, sf_dir).company_long()
     return c.groupBy(S.REG_POSTCODE).agg(
         F.count(F.lit(1)).alias(S.NO_COMPANIES),
         strict_sum(F.col(S.INNOVATE)).alias("InnovateFunding_strict"),
@@ -213,6 +231,5 @@ def strict_sum_query(spark, sf_dir):
     "FROM reg_located GROUP BY LAD23NM")))
 def skip_null_sum_query(spark, sf_dir):
     """NULL-skipping funding sums by LA (0 for an LA without any funding)."""
-    fx = _fx(spark, sf_dir)
-    t = area_table(fx.company(), fx.geography, AREA["la_registered_totals"])
+    t = area(_fx(spark, sf_dir), AREA["la_registered_totals"])
     return t.select(S.LAD23NM, S.OUT_INNOVATE, S.OUT_DEALROOM)

@@ -14,9 +14,10 @@ from ..operators import company as C
 from ..operators import explode as X
 from ..operators import locate as L
 from ..operators.lookups import NORTH_REGION_CODES, north_codes_generated, uniqueness_report
+from ..operators.site_pairs import WEIGHT, site_pair_rows
 from . import layers as M
-from .area import area_table, la_headlines
-from .catalog import AREA, NORTH_SQL, SQL, _area_body, _area_ctes, _fx, _with_extra_cte, register
+from .area import la_headlines
+from .catalog import AREA, NORTH_SQL, SQL, _area_body, _area_ctes, _fx, _with_extra_cte, area, register
 
 CO = "fx_company"
 CC = "company_counts"
@@ -29,11 +30,18 @@ def _cols(*names: str) -> str:
 
 
 # ---- P: projections and derived columns ------------------------------------------------
-@register("project_company_columns", O.with_ctes([CO], f"SELECT {_cols(*C.MEASURE_COLUMNS)} FROM {CO}"))
+@register("project_company_columns", O.with_ctes([CO], f"SELECT {_cols(*C.SITE_COLUMNS)} FROM {CO}"))
 def project_company_columns(spark, sf_dir):
+    """The columns the site and LA scripts keep."""
     return C.project_company_columns(_fx(spark, sf_dir).company())
 
 
+@register("project_registered_columns", O.with_ctes([CO], f"SELECT {_cols(*C.REGISTERED_COLUMNS)} FROM {CO}"))
+def project_registered_columns(spark, sf_dir):
+    """The columns the registered-address scripts keep."""
+    return C.project_company_columns(_fx(spark, sf_dir).company_long(), C.REGISTERED_COLUMNS)
+
+
 @register("count_sites", O.with_ctes([CC], f"SELECT {_cols(S.COMPANY_ID, S.NO_SITES)} FROM {CC}"))
 def count_sites(spark, sf_dir):
     c = _fx(spark, sf_dir).company()
@@ -118,7 +126,7 @@ def scale_millions(spark, sf_dir):
 def area_ratio_column(spark, sf_dir):
     """GVA per job from the sums of the same summary (the LA-code table)."""
     fx = _fx(spark, sf_dir)
-    t = area_table(fx.company(), fx.geography, AREA["la_code_totals"])
+    t = area(fx, AREA["la_code_totals"])
     return t.select(S.LACODE, S.OUT_GVA, S.OUT_EMPLOYEES, S.GVA_JOB)
 
 
@@ -126,7 +134,7 @@ def area_ratio_column(spark, sf_dir):
 def output_column_order(spark, sf_dir):
     """The headline table in its published column order."""
     fx = _fx(spark, sf_dir)
-    return la_headlines(fx.company(), fx.geography).select(*S.HEADLINE_COLUMNS)
+    return la_headlines(fx.company_long(), fx.geography).select(*S.HEADLINE_COLUMNS)
 
 
 @register("zero_fill_frame", _with_extra_cte(
@@ -139,7 +147,7 @@ def output_column_order(spark, sf_dir):
 def zero_fill_frame(spark, sf_dir):
     """The map frame with missing measures as 0 (numbers only, D2)."""
     fx = _fx(spark, sf_dir)
-    s = area_table(fx.company(), fx.geography, AREA["la_registered_totals"])
+    s = area(fx, AREA["la_registered_totals"])
     return M.zero_fill(fx.geography.lad_boundary.join(s, on=S.LAD23NM, how="left"))
 
 
@@ -155,7 +163,7 @@ def filter_positive(spark, sf_dir):
     f"SELECT {_cols(S.COMPANY_ID, S.LAD23NM, S.RGN23CD)} FROM reg_located WHERE {S.RGN23CD} IN {NORTH_SQL}")))
 def filter_north(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    rows = L.locate_rows(fx.company(), fx.geography, L.REGISTERED)
+    rows = L.locate_rows(fx.company_long(), fx.geography, L.REGISTERED)
     return rows.filter(F.col(S.RGN23CD).isin(*NORTH_REGION_CODES)).select(S.COMPANY_ID, S.LAD23NM, S.RGN23CD)
 
 
@@ -177,7 +185,7 @@ def filter_north_prefix(spark, sf_dir):
     f"WHERE {S.GVA} > 0 AND {S.EMPLOYEES} > 0 AND {S.RGN23CD} IN {NORTH_SQL}")))
 def filter_positive_north(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    rows = L.locate_rows(fx.company(), fx.geography, L.REGISTERED)
+    rows = L.locate_rows(fx.company_long(), fx.geography, L.REGISTERED)
     return (rows.filter(C.positive() & F.col(S.RGN23CD).isin(*NORTH_REGION_CODES))
             .select(S.COMPANY_ID, S.LAD23NM, S.GVA, S.EMPLOYEES))
 
@@ -209,10 +217,8 @@ def max_list_width(spark, sf_dir):
 
 @register("unpivot_wide_list", O.with_ctes(["sites"], f"SELECT {_cols(S.COMPANY_ID, S.POSTCODE)} FROM sites"))
 def unpivot_wide_list(spark, sf_dir):
-    """U4: separate into Postcode1..k, then pivot_longer dropping NULLs (k = U3)."""
-    c = _fx(spark, sf_dir).company()
-    width = X.max_list_width(c).first()["max_sites"] or 0
-    return X.sites_via_wide_form(c, int(width)).select(S.COMPANY_ID, S.POSTCODE)
+    """U4: separate into positions and lengthen, at any list width."""
+    return X.sites_by_position(_fx(spark, sf_dir).company()).select(S.COMPANY_ID, S.POSTCODE)
 
 
 # ---- J: joins ----------------------------------------------------------------------------------
@@ -220,7 +226,7 @@ def unpivot_wide_list(spark, sf_dir):
     f"SELECT {_cols(S.COMPANY_ID, S.REG_POSTCODE, S.LADCD)} FROM reg_located")))
 def join_registered_postcode(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    rows = L.join_postcode(L.registered_rows(fx.company()), fx.geography, S.REG_POSTCODE)
+    rows = L.join_postcode(L.registered_rows(fx.company_long()), fx.geography, S.REG_POSTCODE)
     return rows.select(S.COMPANY_ID, S.REG_POSTCODE, S.LADCD)
 
 
@@ -228,7 +234,7 @@ def join_registered_postcode(spark, sf_dir):
     f"SELECT {_cols(S.COMPANY_ID, S.LADCD, S.LAD23NM, S.RGN23CD, S.RGN23NM)} FROM reg_located")))
 def join_la_region(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    rows = L.locate_rows(fx.company(), fx.geography, L.REGISTERED)
+    rows = L.locate_rows(fx.company_long(), fx.geography, L.REGISTERED)
     return rows.select(S.COMPANY_ID, S.LADCD, S.LAD23NM, S.RGN23CD, S.RGN23NM)
 
 
@@ -241,14 +247,14 @@ def _itl_sql(view: str) -> str:
 @register("join_itl_raw", _itl_sql("itl_raw"))
 def join_itl_raw(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    rows = L.join_postcode(L.registered_rows(fx.company()), fx.geography, S.REG_POSTCODE)
+    rows = L.join_postcode(L.registered_rows(fx.company_long()), fx.geography, S.REG_POSTCODE)
     return L.join_itl(rows, fx.geography, raw=True).select(S.COMPANY_ID, S.LADCD, S.ITL221CD, S.ITL221NM)
 
 
 @register("join_itl", _itl_sql("itl_dedup"))
 def join_itl(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    rows = L.join_postcode(L.registered_rows(fx.company()), fx.geography, S.REG_POSTCODE)
+    rows = L.join_postcode(L.registered_rows(fx.company_long()), fx.geography, S.REG_POSTCODE)
     return L.join_itl(rows, fx.geography).select(S.COMPANY_ID, S.LADCD, S.ITL221CD, S.ITL221NM)
 
 
@@ -262,11 +268,12 @@ def join_site_postcode(spark, sf_dir):
 
 @register("join_site_coordinates", O.with_ctes(["sites", "fx_coord"], (
     f"SELECT s.{S.COMPANY_ID} AS {S.COMPANY_ID}, s.{S.POSTCODE} AS {S.POSTCODE}, c.oslaua AS oslaua, "
-    f"c.lat AS lat, c.long AS long FROM sites s LEFT JOIN fx_coord c ON s.Postcode = c.pcds")))
+    f"c.pcon AS pcon, c.lat AS lat, c.long AS long, c.lep1 AS lep1 FROM sites s LEFT JOIN fx_coord c ON s.Postcode = c.pcds")))
 def join_site_coordinates(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     rows = X.explode_sites(fx.company()).select(S.COMPANY_ID, S.POSTCODE)
-    return L.join_coordinates(rows, fx.geography).select(S.COMPANY_ID, S.POSTCODE, S.OSLAUA, S.LAT, S.LONG)
+    return L.join_coordinates(rows, fx.geography).select(
+        S.COMPANY_ID, S.POSTCODE, S.OSLAUA, S.PCON, S.LAT, S.LONG, S.LEP1)
 
 
 @register("join_summary_region", _with_extra_cte(
@@ -276,7 +283,7 @@ def join_site_coordinates(spark, sf_dir):
 def join_summary_region(spark, sf_dir):
     """LA-code summary to its 2021 region (inner)."""
     fx = _fx(spark, sf_dir)
-    t = area_table(fx.company(), fx.geography, AREA["la_code_totals"])
+    t = area(fx, AREA["la_code_totals"])
     lr = fx.geography.la_regions21()
     j = t.join(lr, t[S.LACODE] == lr[S.LAD21CD], "inner").drop(lr[S.LAD21CD])
     return j.select(S.LACODE, S.RGN21CD, S.RGN21NM, S.NO_COMPANIES, S.OUT_GVA, S.GVA_JOB)
@@ -289,7 +296,7 @@ def join_summary_region(spark, sf_dir):
 def join_summary_boundary(spark, sf_dir):
     """LA-code summary to its 2021 boundary (inner)."""
     fx = _fx(spark, sf_dir)
-    t = area_table(fx.company(), fx.geography, AREA["la_code_totals"])
+    t = area(fx, AREA["la_code_totals"])
     b = fx.geography.lad_boundary21
     j = t.join(b, t[S.LACODE] == b[S.LAD21CD], "inner").drop(b[S.LAD21CD])
     return j.select(S.LACODE, S.LAD21NM, S.GEOMETRY, S.NO_COMPANIES, S.GVA_JOB)
@@ -317,7 +324,7 @@ _TOT = [S.NO_COMPANIES, S.OUT_GVA, S.OUT_TURNOVER, S.OUT_EMPLOYEES, S.OUT_INNOVA
 def map_join_national(spark, sf_dir):
     """Every boundary area; the unmatched (NULL) summary row cannot match and drops."""
     fx = _fx(spark, sf_dir)
-    s = area_table(fx.company(), fx.geography, AREA["la_registered_totals"])
+    s = area(fx, AREA["la_registered_totals"])
     return fx.geography.lad_boundary.join(s, on=S.LAD23NM, how="left")
 
 
@@ -329,12 +336,12 @@ def map_join_national(spark, sf_dir):
 def map_join_north(spark, sf_dir):
     """Every northern summary area with its boundary."""
     fx = _fx(spark, sf_dir)
-    s = area_table(fx.company(), fx.geography, AREA["north_la_registered_totals"])
+    s = area(fx, AREA["north_la_registered_totals"])
     return s.join(fx.geography.lad_boundary, on=S.LAD23NM, how="left")
 
 
 _UNIQ = [("postcodes", "fx_postcode", S.PCDS), ("wards", "fx_ward_lookup", S.LAD23CD),
-         ("wards21", "fx_ward_lookup21", S.LAD21CD), ("itl", "fx_itl_lookup", S.LAD23CD),
+         ("coordinates", "fx_coord", S.PCDS), ("wards21", "fx_ward_lookup21", S.LAD21CD), ("itl", "fx_itl_lookup", S.LAD23CD),
          ("la_regions", "la_region", S.LAD23CD), ("lad_boundary", "fx_lad_boundary", S.LAD23NM),
          ("itl2_boundary", "fx_itl2_boundary", S.ITL221NM)]
 
@@ -347,7 +354,7 @@ def lookup_uniqueness_check(spark, sf_dir):
     """How many keys of each lookup have more than one row (the fan-out guard)."""
     g = _fx(spark, sf_dir).geography
     return uniqueness_report({
-        "postcodes": (g.postcodes, S.PCDS), "wards": (g.wards, S.LAD23CD),
+        "postcodes": (g.postcodes, S.PCDS), "coordinates": (g.coordinates, S.PCDS), "wards": (g.wards, S.LAD23CD),
         "wards21": (g.wards21, S.LAD21CD), "itl": (g.itl, S.LAD23CD),
         "la_regions": (g.la_regions(), S.LAD23CD), "lad_boundary": (g.lad_boundary, S.LAD23NM),
         "itl2_boundary": (g.itl2_boundary, S.ITL221NM)})
@@ -369,7 +376,7 @@ def distinct_lookup_query(spark, sf_dir):
 def distinct_after_fanout(spark, sf_dir):
     """D-2: the reference's order -- join the ward-grain lookup (rows fan out), then distinct."""
     fx = _fx(spark, sf_dir)
-    t = area_table(fx.company(), fx.geography, AREA["la_code_totals"])
+    t = area(fx, AREA["la_code_totals"])
     w = fx.geography.wards21.select(S.LAD21CD, S.RGN21CD, S.RGN21NM)   # ward grain, not distinct
     b = fx.geography.lad_boundary21
     j = (t.join(w, t[S.LACODE] == w[S.LAD21CD], "inner").drop(w[S.LAD21CD])
@@ -377,8 +384,34 @@ def distinct_after_fanout(spark, sf_dir):
     return j.distinct()
 
 
-@register("distinct_company_sites", O.with_ctes(["sites"], f"SELECT DISTINCT {_cols(S.COMPANY_ID, S.POSTCODE)} FROM sites"))
+_SITE_ROW = [S.COMPANY_ID, S.COMPANY_NAME, S.EMPLOYEES, S.GVA, S.TURNOVER, S.LA_CODES, S.NO_SITES, *PER_SITE,
+             S.POSTCODE]
+
+
+@register("distinct_company_sites", O.with_ctes(["sites"], f"SELECT DISTINCT {_cols(*_SITE_ROW)} FROM sites"))
 def distinct_company_sites(spark, sf_dir):
-    """D-3: repeated (company, site) rows removed (map-side de-duplication first)."""
-    rows = X.explode_sites(_fx(spark, sf_dir).company()).select(S.COMPANY_ID, S.POSTCODE)
-    return rows.distinct()
+    """D-3: repeated site rows removed, compared over every column the reference keeps."""
+    fx = _fx(spark, sf_dir)
+    return site_pair_rows(fx.company_long(), fx.site_pairs(), whole_rows=True).select(*_SITE_ROW)
+
+
+# ---- the long form of the sites -------------------------------------------------------------
+@register("site_rows_long_form", O.with_ctes(["sites"], (
+    f"SELECT {_cols(S.COMPANY_ID, S.COMPANY_NAME, S.POSTCODE, S.NO_SITES, *PER_SITE)}, count(*) AS repeats "
+    f"FROM sites GROUP BY ALL")))
+def site_rows_long_form(spark, sf_dir):
+    """U1 and P7 without lists: a row per (company, site) and how often the company lists it."""
+    fx = _fx(spark, sf_dir)
+    rows = site_pair_rows(fx.company_long(), fx.site_pairs())
+    return rows.select(S.COMPANY_ID, S.COMPANY_NAME, S.POSTCODE, S.NO_SITES, *PER_SITE,
+                       F.col(WEIGHT).alias("repeats"))
+
+
+@register("site_locations_long_form", O.with_ctes(["sites_located"], (
+    f"SELECT {_cols(S.COMPANY_ID, S.COMPANY_NAME, S.POSTCODE, S.LADCD)}, count(*) AS repeats "
+    f"FROM sites_located GROUP BY ALL")))
+def site_locations_long_form(spark, sf_dir):
+    """J5 without lists."""
+    fx = _fx(spark, sf_dir)
+    rows = L.join_postcode(site_pair_rows(fx.company_long(), fx.site_pairs()), fx.geography, S.POSTCODE)
+    return rows.select(S.COMPANY_ID, S.COMPANY_NAME, S.POSTCODE, S.LADCD, F.col(WEIGHT).alias("repeats"))

@@ -22,12 +22,14 @@ def zero_fill(df: DataFrame) -> DataFrame:
 def map_layer(summary: DataFrame, boundary: DataFrame, key: str, keep: str = "boundary") -> DataFrame:
     """J10 (``keep='boundary'``): every boundary area, the unmatched (NULL) area dropped.
     J11 (``keep='summary'``): every summary area, with its boundary when there is one.
-    Then P14 zero fill and D-4 distinct."""
+    Then P14 zero fill. D-4: a summary has one row per area, so repeated map rows can only come
+    from repeated boundary rows, which are removed before the join."""
+    boundary = boundary.distinct()
     if keep == "boundary":
         joined = boundary.join(summary, on=key, how="left")
     else:
         joined = summary.join(boundary, on=key, how="left")
-    return zero_fill(joined).distinct()
+    return zero_fill(joined)
 
 
 def boundary_for(geo: Geography, level: str) -> DataFrame:
@@ -38,16 +40,16 @@ def boundary_for(geo: Geography, level: str) -> DataFrame:
     raise ValueError(f"no boundary layer for level {level!r}")
 
 
-def area_layer(companies: DataFrame, geo: Geography, q: AreaQuery) -> DataFrame:
+def area_layer(companies: DataFrame, geo: Geography, q: AreaQuery, **given) -> DataFrame:
     """The area table of ``q`` on its boundary layer. National scope keeps every
     boundary (right join in the reference); the northern scope keeps the northern areas."""
-    summary = area_table(companies, geo, q)
+    summary = area_table(companies, geo, q, **given)
     key = LEVELS[q.level]
     keep = "boundary" if q.scope == "all" else "summary"
     return map_layer(summary, boundary_for(geo, q.level), key, keep)
 
 
-def headline_layer(companies: DataFrame, geo: Geography, north: bool = False) -> DataFrame:
+def headline_layer(companies: DataFrame, geo: Geography, north: bool = False, **given) -> DataFrame:
     """GVA per job of the LA headline table with its 2021 boundary geometry."""
-    g = la_headline_frame(companies, geo, north=north)
-    return g.select(S.LAD21NM, S.RGN21NM, S.GVA_JOB, S.GEOMETRY).distinct()
+    g = la_headline_frame(companies, geo, north=north, **given)
+    return g.select(S.LAD21NM, S.RGN21NM, S.GVA_JOB, S.GEOMETRY)

@@ -1,25 +1,26 @@
 """Report operators seen in the published result files.
 
-Totals that every row is divided by are scalar subqueries (``DataFrame.scalar()``): Spark
-computes the one-row total once and uses it as a constant, so the area table stays
-distributed -- no join against a one-row frame and no single-partition window.
+Totals and shares are computed from the exact states of the areas, which are aggregated once;
+national figures that every row is divided by are scalar subqueries (``DataFrame.scalar()``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.measures import from_units, round_half_up, safe_ratio, to_units
+from ..functions.measures import final_value, from_units, round_half_up, safe_ratio, to_units
 from ..operators.lookups import Geography
-from .area import LEVELS, AreaQuery, area_rollup, area_states, area_table
+from ..operators.locate import BASES
+from .area import (LEVELS, AreaQuery, area_rollup, area_states, area_table, rolled_states,
+                   state_measures)
 
 
 def with_total_row(companies: DataFrame, geo: Geography, q: AreaQuery,
-                   include_unmatched: bool = True) -> DataFrame:
+                   include_unmatched: bool = True, **given) -> DataFrame:
     """The area table plus a ``Total`` row (with or without the unmatched area)."""
-    return area_rollup(companies, geo, q, matched_only=not include_unmatched)
+    return area_rollup(companies, geo, q, matched_only=not include_unmatched, **given)
 
 
 def add_total_row(table: DataFrame, key: str, measures: list[str],
@@ -39,33 +40,50 @@ def drop_unmatched_area(table: DataFrame, key: str) -> DataFrame:
     return table.filter(F.col(key).isNotNull())
 
 
-def share_of_total(table: DataFrame, key: str, measures: list[str], digits: int = 1,
-                   total_label: str = "Total") -> DataFrame:
+def share_of_total(companies: DataFrame, geo: Geography, q: AreaQuery, digits: int = 1,
+                   total_label: str = "Total", **given) -> DataFrame:
     """R2: each measure as a percentage of its total over the matched areas, rounded half up
     to ``digits`` decimals, plus a ``Total`` row of 100.
 
-    The totals are exact (summed as whole micro-units) and reach every row as one struct
-    scalar subquery.
+    One pass over the facts: areas and their total come from one rollup of the area states,
+    and the total reaches the areas by a window over those few rows.
     """
-    t = drop_unmatched_area(table, key)
-    totals = t.select(F.struct(*[from_units(F.sum(to_units(F.col(m)))).alias(m)
-                                 for m in measures]).alias("t"))
-    tot = totals.scalar()
-    shares = t.select(key, *[round_half_up(F.lit(100.0) * safe_ratio(F.col(m).cast("double"),
-                                                                     tot.getField(m)),
-                                           digits).alias(m) for m in measures])
-    total_row = t.agg(*[F.lit(100.0).alias(m) for m in measures]).select(
-        F.lit(total_label).alias(key), *measures)
-    return shares.unionByName(total_row)
-
-
-def coverage_ratio(companies: DataFrame, geo: Geography) -> DataFrame:
+    key, kind = LEVELS[q.level], q.kind
+    measures = state_measures(BASES[q.basis], kind)
+    count = q.count_name or BASES[q.basis].count_name
+    rolled = rolled_states(companies, geo, q, True, **given).select(
+        key, "_total", F.col(f"{kind}_n").cast("double").alias(count), *[final_value(m, kind) for m in measures])
+    every = Window.partitionBy()
+    names = [count] + [m.name for m in measures]
+    total = {c: F.max(F.when(F.col("_total") == 1, F.col(c))).over(every) for c in names}
+    shares = rolled.select(key, "_total", *[
+        round_half_up(F.lit(100.0) * safe_ratio(F.col(c), total[c]), digits).alias(c) for c in names])
+    is_total = F.col("_total") == 1
+    return shares.select(F.when(is_total, F.lit(total_label)).otherwise(F.col(key)).alias(key), *[
+        F.when(is_total, F.lit(100.0)).otherwise(F.col(c)).alias(c) for c in names])
+
+
+def share_of_table(table: DataFrame, key: str, measures: list[str], digits: int = 1,
+                   total_label: str = "Total") -> DataFrame:
+    """R2 on an area table that is already aggregated."""
+    rows = add_total_row(drop_unmatched_area(table, key), key, measures, total_label)
+    is_total = F.col(key) == total_label
+    every = Window.partitionBy()
+    return rows.select(key, *[F.when(is_total, F.lit(100.0)).otherwise(round_half_up(F.lit(100.0) * safe_ratio(
+        F.col(m).cast("double"), F.max(F.when(is_total, F.col(m).cast("double"))).over(every)), digits)).alias(m)
+        for m in measures])
+
+
+def coverage_ratio(companies: DataFrame, geo: Geography, **given) -> DataFrame:
     """Share of site rows whose region is known (matched sites / all sites)."""
-    q = AreaQuery(basis="sites", level="region")
-    st = area_states(companies, geo, q)
-    return st.agg(F.sum("_n").alias(S.NO_SITES),
-                  F.coalesce(F.sum(F.when(F.col(S.RGN23NM).isNotNull(), F.col("_n"))), F.lit(0))
-                  .alias("matched_sites")).select(
+    return coverage_of(area_states(companies, geo, AreaQuery(basis="sites", level="region"), **given))
+
+
+def coverage_of(states: DataFrame) -> DataFrame:
+    """R3 from states with their region (``t_n`` site rows each)."""
+    return states.agg(F.sum("t_n").alias(S.NO_SITES),
+                      F.coalesce(F.sum(F.when(F.col(S.RGN23NM).isNotNull(), F.col("t_n"))), F.lit(0))
+                      .alias("matched_sites")).select(
         S.NO_SITES, "matched_sites",
         safe_ratio(F.col("matched_sites").cast("double"), F.col(S.NO_SITES).cast("double"))
         .alias("coverage"))

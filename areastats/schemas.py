@@ -24,6 +24,10 @@ POSTCODES = "Postcodes"
 PCDS = "pcds"
 LADCD = "ladcd"
 LADNM = "ladnm"
+PCD7 = "pcd7"
+PCD8 = "pcd8"
+PCON = "pcon"
+LEP1 = "lep1"
 OSLAUA = "oslaua"
 LAT = "lat"
 LONG = "long"
@@ -72,6 +76,7 @@ HEADLINE_COLUMNS = [LAD21NM, RGN21NM, NO_COMPANIES, OUT_GVA, OUT_TURNOVER, OUT_E
 # ---- schemas ---------------------------------------------------------------------------
 COMPANY_SCHEMA = T.StructType([
     T.StructField(COMPANY_ID, T.LongType(), True),
+    T.StructField(COMPANY_NAME, T.StringType(), True),
     T.StructField(REG_POSTCODE, T.StringType(), True),
     T.StructField(GVA, T.DoubleType(), True),
     T.StructField(TURNOVER, T.DoubleType(), True),
@@ -82,9 +87,5 @@ COMPANY_SCHEMA = T.StructType([
     T.StructField(LA_CODES, T.StringType(), True),
 ])
 
-NUMERIC_COMPANY_COLUMNS = [GVA, TURNOVER, EMPLOYEES, INNOVATE, DEALROOM_M]
-
-
-def all_strings(names: list[str]) -> T.StructType:
-    """A schema that reads every column as text (no inference)."""
-    return T.StructType([T.StructField(n, T.StringType(), True) for n in names])
+# Long-form sites: a company row's own key, which need not be its (repeatable) number
+COMPANY_KEY = "company_key"

@@ -50,8 +50,9 @@ def app_id(spark: SparkSession) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for written tables and checkpoints.
 
-    Taken from ``spark.checkpoint.dir`` (or the context's checkpoint directory). Only when
-    neither is set -- local runs and tests -- a fresh temporary folder is made and registered.
+    Taken from ``spark.checkpoint.dir`` (or the context's checkpoint directory). Where none is
+    set, a run on one machine (a ``local`` master: tests, the bench) gets a fresh folder of its
+    own; on a cluster this raises, because a folder of one machine is not shared.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
@@ -60,12 +61,11 @@ def shared_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - no SparkContext handle (remote session)
             d = None
     if not d:
+        master = spark.conf.get("spark.master", "") or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="areastats-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # noqa: BLE001 - a static conf; the context's setting suffices
-            pass
     return d.rstrip("/")
 
 

@@ -70,27 +70,28 @@ def _money(c: Column) -> Column:
 # (application id, table directory, view) -> (folder, schema) of a written fixture table
 _STORED: dict[tuple[str, str, str], tuple[str, object]] = {}
 
-# The derived views that grow with the data are written once per application (the
-# counterparts of the reference's company file and postcode directory). The area-grain
-# lookups and boundaries stay lazy: they are tiny, and recomputing them is cheaper than a
-# write job each.
-STORED_VIEWS = ("company", "postcode")
+# The derived views that grow with the data; ``prepare`` writes them once per application (the
+# counterparts of the reference's company file and postcode directory). The area-grain lookups
+# and boundaries stay lazy: they are tiny, and recomputing them is cheaper than a write job each.
+STORED_VIEWS = ("company_long", "postcode")
+
+# fixed values of the fixture mapping: company numbers that are missing, or repeat another's
+NO_NUMBER, REPEATED_NUMBER = (97, 13), (89, 7)         # (modulus, remainder) of the order key
+EVERY_LA = (211, 5)                                    # companies in every LA (10 codes and more)
 
 
 @dataclass
 class Fixtures:
-    """All fixture views for one scale-factor directory.
+    """All fixture views for one scale-factor directory: lazy plans over the base tables.
 
-    ``materialize=True`` (the default) writes the derived views that grow with the data (the
-    company table and the postcode directory) once per Spark application to the shared
-    folder and reads them from there afterwards -- the counterparts of the files the
-    reference reads. This also cuts the lineage back to the line items, so a lost executor never
-    forces the per-order aggregation to be redone.
+    Building a query runs no job. ``prepare`` is the one explicit step that writes the derived
+    views that grow with the data to the shared folder; queries built later read them there,
+    which cuts the lineage, so a lost executor never forces the per-order aggregation to be
+    redone.
     """
 
     spark: SparkSession
     sf_dir: str
-    materialize: bool = True
 
     def __post_init__(self) -> None:
         self._tables: dict[str, DataFrame] = {}
@@ -105,38 +106,22 @@ class Fixtures:
         return self._tables[name]
 
     # ---- facts ---------------------------------------------------------------------
-    def site_fact(self) -> DataFrame:
-        """One row per line item with its site postcode and LA code."""
-        l = self.table("lineitem").select(
-            "l_orderkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount",
-            "l_tax", "l_returnflag", "l_linestatus")
-        s = self.table("supplier").select("s_suppkey", "s_nationkey")
-        return (l.join(s, l.l_suppkey == s.s_suppkey)
-                .select("l_orderkey", "l_suppkey",
-                        site_postcode(F.col("l_suppkey")).alias("pc"),
-                        la_code(F.col("s_nationkey")).alias("la"),
-                        "l_extendedprice", "l_quantity", "l_discount", "l_tax",
-                        "l_returnflag", "l_linestatus"))
-
     def site_pairs(self) -> DataFrame:
-        """The company sites in long form: one row per (company, site postcode)."""
-        return self.site_fact().select(F.col("l_orderkey").alias(S.COMPANY_ID),
-                                       F.col("pc").alias(S.POSTCODE))
+        """The company sites in long form: one row per (company row, site postcode)."""
+        l = self.table("lineitem").select("l_orderkey", "l_suppkey")
+        s = self.table("supplier").select("s_suppkey")
+        return (l.join(s, l.l_suppkey == s.s_suppkey, "left_semi")
+                .select(F.col("l_orderkey").alias(S.COMPANY_KEY),
+                        site_postcode(F.col("l_suppkey")).alias(S.POSTCODE)))
 
     # ---- written views ------------------------------------------------------------------
     def _stored(self, name: str, plan) -> DataFrame:
-        slot = "fx_" + name
-        if slot in self._tables:
-            return self._tables[slot]
-        if not self.materialize:
-            df = plan()
-        else:
-            hit = _STORED.get((app_id(self.spark), self.sf_dir.rstrip("/"), name))
-            if hit is None:
-                hit = self._write(name, plan)
-            df = self.spark.read.schema(hit[1]).parquet(hit[0])
-        self._tables[slot] = df
-        return df
+        """The written view if ``prepare`` made it, else its plan."""
+        hit = _STORED.get((app_id(self.spark), self.sf_dir.rstrip("/"), name))
+        slot = "fx_" + name if hit is None else f"fx_{name}@{hit[0]}"
+        if slot not in self._tables:
+            self._tables[slot] = plan() if hit is None else self.spark.read.schema(hit[1]).parquet(hit[0])
+        return self._tables[slot]
 
     def _lazy(self, name: str, plan) -> DataFrame:
         slot = "fx_" + name
@@ -144,28 +129,22 @@ class Fixtures:
             self._tables[slot] = plan()
         return self._tables[slot]
 
-    def _write(self, name: str, plan) -> tuple[str, object]:
+    def prepare(self, views: tuple[str, ...] = STORED_VIEWS) -> dict[str, str]:
+        """Derive and write the views anew (new folders); queries built later use these."""
         from ..session import scratch_path
-        df = plan()
-        path = scratch_path(self.spark, name)
-        df.write.parquet(path)
-        hit = (path, df.schema)
-        _STORED[(app_id(self.spark), self.sf_dir.rstrip("/"), name)] = hit
-        self._tables.pop("fx_" + name, None)
-        return hit
-
-    def prepare(self) -> dict[str, str]:
-        """Derive and write every view anew (new folders); later reads use these."""
-        for name in STORED_VIEWS:
-            self._tables.pop("fx_" + name, None)
         out = {}
-        for name in STORED_VIEWS:
-            out[name] = self._write(name, getattr(self, name + "_plan"))[0]
+        for name in views:
+            df = getattr(self, name + "_plan")()
+            path = scratch_path(self.spark, name)
+            df.write.parquet(path)
+            _STORED[(app_id(self.spark), self.sf_dir.rstrip("/"), name)] = (path, df.schema)
+            out[name] = path
+        self.__dict__.pop("geography", None)            # lookups read the written directory from now on
         return out
 
-    def write_company(self) -> str:
-        """Derive the company table and write it to a new folder (used from then on)."""
-        return self._write("company", self.company_plan)[0]
+    def company_long(self) -> DataFrame:
+        """The company table without site lists; ``company_key`` joins it to ``site_pairs``."""
+        return self._stored("company_long", self.company_long_plan)
 
     def company(self) -> DataFrame:
         """The company table in the reference's input layout (list columns as text)."""
@@ -195,21 +174,18 @@ class Fixtures:
     def itl2_boundary(self) -> DataFrame:
         return self._lazy("itl2_boundary", self.itl2_boundary_plan)
 
-    def company_plan(self) -> DataFrame:
+    def company_long_plan(self) -> DataFrame:
         """The company table derived from orders and line items (lazy).
 
-        Lists do not shrink in a partial aggregation, so the line items (joined to their
-        supplier's nation, a dimension) are hash-partitioned by order once, and the site and
-        LA codes are built after that shuffle, spread over all tasks, from narrow rows.
+        Sums and the set of LAs (at most every LA there is) shrink in the partial aggregation,
+        so an order that holds a large share of all lines is collapsed before the shuffle. Some
+        company numbers are missing or repeat another company's.
         """
         l = self.table("lineitem").select(
             "l_orderkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount",
             "l_tax", "l_returnflag", "l_linestatus")
         sup = self.table("supplier").select("s_suppkey", "s_nationkey")
-        f = (l.join(sup, l.l_suppkey == sup.s_suppkey).drop("s_suppkey")
-             .repartition("l_orderkey")
-             .withColumns({"pc": site_postcode(F.col("l_suppkey")),
-                           "la": la_code(F.col("s_nationkey"))}))
+        f = l.join(sup, l.l_suppkey == sup.s_suppkey)
         ext = _money(F.col("l_extendedprice"))
         per_order = f.groupBy("l_orderkey").agg(
             F.sum(ext).cast("double").alias("turnover"),
@@ -221,39 +197,58 @@ class Fixtures:
             (F.sum(F.when(F.col("l_returnflag") == "A",
                           ext * F.col("l_tax").cast("decimal(4,2)")))
              .cast("double") / F.lit(1e6)).alias("dealroom_m"),
-            F.array_join(F.sort_array(F.collect_list("pc")), ",").alias("postcodes"),
-            F.array_join(F.sort_array(F.collect_set("la")), ",").alias("la_codes"),
-        )
+            F.collect_set("s_nationkey").alias("nations"))
+        codes = F.array_join(F.transform(F.sort_array("nations"), la_code), ",")
+        every_la = self.table("nation").agg(F.array_join(F.sort_array(F.collect_list(la_code(
+            F.col("n_nationkey")))), ",")).scalar()
         o = self.table("orders").select("o_orderkey", "o_custkey", "o_totalprice")
+        key = F.col("o_orderkey")
+        at = lambda spec: key % spec[0] == spec[1]
+        number = F.when(at(NO_NUMBER), F.lit(None)).when(at(REPEATED_NUMBER), key - 1).otherwise(key)
         return (o.join(per_order, o.o_orderkey == per_order.l_orderkey, "left")
-                .select(F.col("o_orderkey").alias(S.COMPANY_ID),
+                .select(key.alias(S.COMPANY_KEY), number.cast("bigint").alias(S.COMPANY_ID),
+                        F.concat(F.lit("Company "), key.cast("string")).alias(S.COMPANY_NAME),
                         reg_postcode(F.col("o_custkey")).alias(S.REG_POSTCODE),
                         F.col("o_totalprice").alias(S.GVA),
                         F.coalesce("turnover", F.lit(0.0)).alias(S.TURNOVER),
                         F.coalesce("employees", F.lit(0.0)).alias(S.EMPLOYEES),
                         F.col("innovate").alias(S.INNOVATE),
                         F.col("dealroom_m").alias(S.DEALROOM_M),
-                        F.col("postcodes").alias(S.POSTCODES),
-                        F.col("la_codes").alias(S.LA_CODES)))
+                        F.when(at(EVERY_LA), every_la).otherwise(codes).alias(S.LA_CODES)))
+
+    def company_plan(self) -> DataFrame:
+        """The company table in the reference's input layout: each company's sites as one text.
+        Only the list operators need it; a site list lives in one row by its nature."""
+        lists = self.site_pairs().groupBy(S.COMPANY_KEY).agg(
+            F.array_join(F.sort_array(F.collect_list(S.POSTCODE)), ",").alias(S.POSTCODES))
+        return (self.company_long().join(lists, S.COMPANY_KEY, "left")
+                .select(*[f.name for f in S.COMPANY_SCHEMA.fields]))
 
     # ---- lookups -------------------------------------------------------------------
     def postcode_plan(self) -> DataFrame:
         """Postcode directory: site postcodes and registered postcodes, some missing."""
         keep = lambda k: (k % UNLISTED_MODULUS) != UNLISTED_REMAINDER
         sup = (self.table("supplier").filter(keep(F.col("s_suppkey")))
-               .select(site_postcode(F.col("s_suppkey")).alias(S.PCDS),
-                       la_code(F.col("s_nationkey")).alias(S.LADCD)))
+               .select(site_postcode(F.col("s_suppkey")).alias(S.PCDS), F.col("s_nationkey").alias("_n")))
         cus = (self.table("customer").filter(keep(F.col("c_custkey")))
-               .select(reg_postcode(F.col("c_custkey")).alias(S.PCDS),
-                       la_code(F.col("c_nationkey")).alias(S.LADCD)))
-        return sup.unionByName(cus)
+               .select(reg_postcode(F.col("c_custkey")).alias(S.PCDS), F.col("c_nationkey").alias("_n")))
+        n = self.table("nation").select("n_nationkey", "n_name")
+        every = sup.unionByName(cus)
+        return (every.join(n, every["_n"] == n.n_nationkey, "left")
+                .select(F.concat(F.substring(S.PCDS, 1, 2), F.substring(S.PCDS, 3, 100)).alias(S.PCD7),
+                        F.concat(F.substring(S.PCDS, 1, 2), F.lit(" "), F.substring(S.PCDS, 3, 100)).alias(S.PCD8),
+                        S.PCDS, la_code(F.col("_n")).alias(S.LADCD), F.col("n_name").alias(S.LADNM)))
 
     def coordinates_plan(self) -> DataFrame:
-        """Postcode coordinates (latitude stands in as the code length)."""
+        """Postcode coordinates (latitude stands in as the code length). Some site postcodes
+        have a second row, at another latitude."""
         p = self.postcode()
-        return p.select(S.PCDS, F.col(S.LADCD).alias(S.OSLAUA),
-                        F.length(S.PCDS).cast("double").alias(S.LAT),
-                        F.lit(0.5).alias(S.LONG))
+        area = lambda prefix: F.concat(F.lit(prefix), F.substring(S.LADCD, 4, 100))
+        row = lambda df, lat: df.select(
+            S.PCDS, F.col(S.LADCD).alias(S.OSLAUA), area("E14").alias(S.PCON), lat.alias(S.LAT),
+            F.lit(0.5).alias(S.LONG), area("E37").alias(S.LEP1))
+        again = p.filter(F.col(S.PCDS).startswith(SITE_POSTCODE[0]) & F.col(S.PCDS).endswith("3"))
+        return row(p, F.length(S.PCDS).cast("double")).unionAll(row(again, F.lit(99.0)))
 
     def _nation_wards(self, modulus: int) -> DataFrame:
         """Each nation repeated once per region key 0 .. nationkey % modulus (ward grain)."""

@@ -43,7 +43,10 @@ def scan_companies(spark: SparkSession, path: str, id_type: str = "string") -> D
     Company numbers are kept as text by default (registered numbers can carry letters, as
     ``SC123456`` does); ``id_type="bigint"`` reads purely numeric ids as numbers."""
     raw = read_text_csv(spark, path)
-    cols = [f.name for f in S.COMPANY_SCHEMA.fields if f.name in raw.columns]
+    cols = [f.name for f in S.COMPANY_SCHEMA.fields]
+    lacking = [c for c in cols if c not in raw.columns]
+    if lacking:
+        raise ValueError(f"company file lacks the columns {lacking}")
     numeric = {f.name: f.dataType.simpleString() for f in S.COMPANY_SCHEMA.fields
                if f.dataType.simpleString() != "string"}
     if id_type == "string":
@@ -54,13 +57,14 @@ def scan_companies(spark: SparkSession, path: str, id_type: str = "string") -> D
 
 
 def scan_postcode_lookup(spark: SparkSession, path: str,
-                         columns: tuple[str, ...] = (S.PCDS, S.LADCD)) -> DataFrame:
-    """``read_csv`` + ``select(pcds, ladcd, ...)``."""
+                         columns: tuple[str, ...] = (S.PCD7, S.PCD8, S.PCDS, S.LADCD, S.LADNM)) -> DataFrame:
+    """``read_csv`` + ``select(pcd7, pcd8, pcds, ladcd, ladnm)``; the registered-address
+    scripts keep ``pcds, ladcd, ladnm``."""
     return typed(read_text_csv(spark, path).select(*columns), {})
 
 
 def scan_postcode_coordinates(spark: SparkSession, path: str,
-                              columns: tuple[str, ...] = (S.PCDS, S.OSLAUA, S.LAT, S.LONG)
+                              columns: tuple[str, ...] = (S.PCDS, S.OSLAUA, S.PCON, S.LAT, S.LONG, S.LEP1)
                               ) -> DataFrame:
     """S3: the coordinate file; lat/long as doubles."""
     return typed(read_text_csv(spark, path).select(*columns), {S.LAT: "double", S.LONG: "double"})
@@ -119,21 +123,19 @@ def _parse_formatted_number(v: Column) -> Column:
             .otherwise(F.regexp_replace(v, ",", "").try_cast("double")))
 
 
-def read_formatted_sections(spark: SparkSession, path: str) -> DataFrame:
+def read_formatted_sections(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """S9 with stacked sections: a spreadsheet-saved result file holding several tables one
     under another (totals, then percentages, ...), separated by blank rows, each under its
     own header row.
 
-    Returns the rows of every section with a ``section`` number (0, 1, ...), the first
-    column as text (``NA``/empty -> NULL) and the others as numbers, named after the file's
-    first header. Row order is the order within each file (a published table is one small
-    file, read by one task), so the window that numbers sections runs per file.
+    Returns the rows of every section with a ``section`` number (0, 1, ...) and ``columns``:
+    the first as text (``NA``/empty -> NULL), the others as numbers. Rows are numbered within
+    each file: such a file is one published table, bounded by the number of areas.
     """
-    raw = (spark.read.option("header", False).option("inferSchema", False)
+    raw = (spark.read.schema(", ".join(f"_c{i} string" for i in range(len(columns)))).option("header", False)
            .option("escape", '"').csv(path))
     cols = raw.columns
-    cells = [F.trim(F.col(c)) for c in cols]
-    blank = F.coalesce(*[F.when(x != "", F.lit(False)) for x in cells], F.lit(True))
+    blank = F.coalesce(*[F.when(F.trim(F.col(c)) != "", F.lit(False)) for c in cols], F.lit(True))
     df = raw.select(*cols, F.input_file_name().alias("_file"),
                     F.monotonically_increasing_id().alias("_row"), blank.alias("_blank"))
     in_file = Window.partitionBy("_file").orderBy("_row")
@@ -142,9 +144,7 @@ def read_formatted_sections(spark: SparkSession, path: str) -> DataFrame:
     # each run of non-blank rows is a section; its first row is the section's header
     df = df.withColumn("_section", F.dense_rank().over(Window.partitionBy("_file").orderBy("_gap")) - 1)
     df = df.withColumn("_first", F.min("_row").over(Window.partitionBy("_file", "_section")))
-    header = df.filter((F.col("_section") == 0) & (F.col("_row") == F.col("_first"))).first()
-    names = [(header[c] or c).strip().lstrip("\ufeff") for c in cols] if header else cols
     body = df.filter(F.col("_row") != F.col("_first"))
-    out = [clean_text(F.col(cols[0])).alias(names[0])]
-    out += [_parse_formatted_number(clean_text(F.col(c))).alias(n) for c, n in zip(cols[1:], names[1:])]
+    out = [clean_text(F.col(cols[0])).alias(columns[0])]
+    out += [_parse_formatted_number(clean_text(F.col(c))).alias(n) for c, n in zip(cols[1:], columns[1:])]
     return body.select(F.col("_section").alias("section"), *out)

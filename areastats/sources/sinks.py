@@ -8,7 +8,7 @@ per partition for anything larger.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -17,21 +17,30 @@ from ..functions.measures import round_half_up
 BOM = "﻿"
 
 
-def write_area_table(df: DataFrame, path: str, single_file: bool = True, bom: bool = True,
-                     order_by: str | None = None) -> str:
-    """CSV with header, ``NA`` for NULL, strings written as they are (no trimming), quotes
-    doubled inside quoted fields (RFC 4180, as R writes them).
-
-    ``order_by`` (default: the first column, the area) writes rows in key order with NULL
-    last, as the published tables are; the single file is sorted inside its one task."""
-    key = order_by or (df.columns[0] if df.columns else None)
-    out = df
-    if single_file:
-        out = out.coalesce(1)
-    if key is not None:
-        out = out.sortWithinPartitions(F.asc_nulls_last(key))
-    if bom and df.columns:
-        first = df.columns[0]
+def plain_number(c: Column) -> Column:
+    """A double as plain decimals (no exponent, no trailing zeros), exact to 18 decimals."""
+    text = c.cast("string")
+    exact = F.regexp_replace(text.try_cast("decimal(38,18)").cast("string"), r"(\.[0-9]*?)0+$", "$1")
+    return F.coalesce(F.regexp_replace(exact, r"\.$", ""), text)
+
+
+def write_area_table(df: DataFrame, path: str, single_file: bool = False, bom: bool = True,
+                     order_by: tuple[Column, ...] | None = None,
+                     columns: tuple[str, ...] | None = None) -> str:
+    """CSV with header, ``NA`` for NULL, plain decimals, strings written as they are (no
+    trimming), quotes doubled inside quoted fields (RFC 4180, as R writes them).
+
+    ``single_file`` writes one file in one task: for final area tables, which are bounded by
+    the number of areas. ``order_by`` (default: the first column, NULL last) is the row order
+    in the file; ``columns`` are the ones written (default: all)."""
+    order = order_by if order_by is not None else ((F.asc_nulls_last(df.columns[0]),) if df.columns else ())
+    out = df.coalesce(1) if single_file else df
+    if order:
+        out = out.sortWithinPartitions(*order)
+    out = out.select(*[plain_number(F.col(c)).alias(c) if t in ("double", "float") else F.col(c)
+                       for c, t in df.dtypes if columns is None or c in columns])
+    if bom and out.columns:
+        first = out.columns[0]
         out = out.withColumnRenamed(first, BOM + first)
     (out.write.mode("errorifexists").option("header", True).option("nullValue", "NA")
      .option("emptyValue", "").option("escape", '"').option("ignoreLeadingWhiteSpace", False)
@@ -53,28 +62,57 @@ def format_spreadsheet_number(c, digits: int = 0):
             .otherwise(F.concat(F.lit(" "), F.format_number(rounded, digits), F.lit(" "))))
 
 
+def formatted_table(df: DataFrame, key: str, digits: int = 0) -> DataFrame:
+    """A result table's cells as a spreadsheet shows them."""
+    return df.select(*[F.col(c) if c == key else format_spreadsheet_number(F.col(c), digits).alias(c)
+                       for c in df.columns])
+
+
 def write_formatted_table(df: DataFrame, path: str, key: str) -> str:
     """A result table as a spreadsheet re-saves it (the input of S9)."""
-    cols = [F.col(c) if c == key else format_spreadsheet_number(F.col(c)).alias(c)
-            for c in df.columns]
-    out = df.select(*cols).coalesce(1).sortWithinPartitions(F.asc_nulls_last(key))
+    out = formatted_table(df, key).coalesce(1).sortWithinPartitions(F.asc_nulls_last(key))
     return write_csv(out, path)
 
 
 def write_geojson(df: DataFrame, path: str, properties: list[str],
-                  geometry: str = S.GEOMETRY, sequence: bool = False) -> str:
-    """Boundaries as GeoJSON. ``sequence=True`` writes one feature per line, in parallel;
-    otherwise one FeatureCollection document (one task: boundary tables only)."""
+                  geometry: str = S.GEOMETRY, sequence: bool = True) -> str:
+    """Boundaries as GeoJSON. By default a sequence, one feature per line, in parallel;
+    ``sequence=False`` writes one FeatureCollection document, line by line, in one task."""
     feature = F.concat(
         F.lit('{"type":"Feature","properties":'),
         F.to_json(F.struct(*[F.col(p) for p in properties])),
         F.lit(',"geometry":'), F.coalesce(F.col(geometry), F.lit("null")), F.lit("}"))
     feats = df.select(feature.alias("value"))
-    if sequence:
-        feats.write.mode("errorifexists").text(path)
-        return path
-    doc = feats.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['),
-                             F.concat_ws(",", F.collect_list("value")), F.lit("]}"))
-                    .alias("value"))
-    doc.coalesce(1).write.mode("errorifexists").text(path)
+    if not sequence:
+        line = F.monotonically_increasing_id()          # 0, 1, 2, ... in the one partition
+        body = feats.coalesce(1).select(line.alias("line"), "value")
+        body = body.select("line", F.when(F.col("line") > 0, F.concat(F.lit(","), "value"))
+                           .otherwise(F.col("value")).alias("value"))
+        frame = df.sparkSession.createDataFrame(
+            [(-1, '{"type":"FeatureCollection","features":['), (1 << 62, "]}")], "line bigint, value string")
+        feats = body.unionAll(frame).coalesce(1).sortWithinPartitions("line").select("value")
+    feats.write.mode("errorifexists").text(path)
+    return path
+
+
+def write_sections(tables: list[DataFrame], path: str, key: str) -> str:
+    """Area tables stacked in one file, as spreadsheets keep them: each under its own header
+    row, a blank row between them (the input of ``read_formatted_sections``). Columns are
+    matched by position."""
+    lines = []
+    for i, t in enumerate(tables):
+        cells = [F.coalesce(F.col(c), F.lit("NA")) if c == key else F.col(c) for c in t.columns]
+        frame = t.sparkSession.createDataFrame(
+            [(i, 0, None, *["" for _ in t.columns]), (i, 1, None, *t.columns)] if i else [(i, 1, None, *t.columns)],
+            "section int, part int, area string, " + ", ".join(f"c{j} string" for j in range(len(t.columns))))
+        body = t.select(F.lit(i).alias("section"), F.lit(2).alias("part"), F.col(key).alias("area"),
+                        *[c.cast("string").alias(f"c{j}") for j, c in enumerate(cells)])
+        lines += [frame, body]
+    out = lines[0]
+    for more in lines[1:]:
+        out = out.unionAll(more)
+    out = out.coalesce(1).sortWithinPartitions("section", "part", F.asc_nulls_last("area"))
+    (out.drop("section", "part", "area").write.mode("errorifexists").option("header", False)
+     .option("emptyValue", "").option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
     return path

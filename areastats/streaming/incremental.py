@@ -21,7 +21,7 @@ from ..functions.measures import partial_state
 from ..operators.company import positive
 from ..operators.locate import BASES, join_itl, join_la_region, join_postcode
 from ..operators.lookups import NORTH_REGION_CODES, Geography
-from ..plans.area import LEVELS, AreaQuery, _finalize, _metric_measures
+from ..plans.area import LEVELS, AreaQuery, _finalize, state_measures
 
 
 def read_company_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None
@@ -39,12 +39,18 @@ def streaming_area_table(companies: DataFrame, geo: Geography, q: AreaQuery) ->
         raise ValueError("distinct_sites needs unbounded de-duplication state; "
                          "run that query in batch")
     basis = BASES[q.basis]
-    measures, count_name = _metric_measures(q, basis)
     key = LEVELS[q.level]
     rows = basis.rows(companies)
     if q.metric == "gva_per_job":
         rows = rows.filter(positive())
-    if key not in (None, S.LACODE):
+    if q.level in ("la_code", "region21") and (q.level == "region21" or q.scope == "north"):
+        rows = rows.withColumn(S.LADCD, F.col(basis.location)) if basis.located_by_la else \
+            join_postcode(rows, geo, basis.location)
+        lr = geo.la_regions21()
+        rows = rows.join(lr, rows[S.LADCD] == lr[S.LAD21CD], "inner").drop(lr[S.LAD21CD])
+        if q.scope == "north":
+            rows = rows.filter(F.col(S.RGN21CD).isin(*NORTH_REGION_CODES))
+    elif key not in (None, S.LACODE) or q.scope == "north":
         rows = join_postcode(rows, geo, basis.location) if not basis.located_by_la else \
             rows.withColumn(S.LADCD, F.col(basis.location))
         rows = join_la_region(rows, geo)
@@ -53,15 +59,14 @@ def streaming_area_table(companies: DataFrame, geo: Geography, q: AreaQuery) ->
         if q.scope == "north":
             rows = rows.filter(F.col(S.RGN23CD).isin(*NORTH_REGION_CODES))
     grouped = rows.groupBy(key) if key else rows.groupBy()
-    states = grouped.agg(*partial_state(measures, "_n"))
-    return _finalize(states, key, q, measures, count_name)
+    states = grouped.agg(*partial_state(state_measures(basis, q.kind), q.kind))
+    return _finalize(states, key, q)
+
 
+def start_area_stream(table: DataFrame, path: str, checkpoint: str, mode: str = "complete"):
+    """Start the stream; each micro-batch writes the area table to ``path``/batch=<n>."""
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
-def start_area_stream(table: DataFrame, query_name: str, checkpoint: str,
-                      trigger_available_now: bool = True, mode: str = "complete"):
-    """Start the stream into an in-memory table named ``query_name`` (for inspection)."""
-    w = (table.writeStream.outputMode(mode).format("memory").queryName(query_name)
-         .option("checkpointLocation", checkpoint))
-    if trigger_available_now:
-        w = w.trigger(availableNow=True)
-    return w.start()
+    return (table.writeStream.outputMode(mode).foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

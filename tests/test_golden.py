@@ -13,7 +13,7 @@ from areastats import schemas as S
 from areastats.plans import report as RP
 from areastats.sources import readers as R
 
-# Published region totals over all trading sites (sites, GVA, jobs; rounded as published).
+# Published region totals over all trading sites (sites, GVA, jobs; rounded as published).
 REGION_SITES = [
     ("East Midlands", 3212, 2987913611.0, 31841.0),
     ("East of England", 4796, 4602803423.0, 41950.0),
@@ -50,7 +50,7 @@ def test_total_row_with_and_without_unmatched(spark):
 
 
 def test_share_of_total(spark):
-    t = RP.share_of_total(_table(spark), S.RGN23NM, [S.NO_SITES, "GVA", "Employees"])
+    t = RP.share_of_table(_table(spark), S.RGN23NM, [S.NO_SITES, "GVA", "Employees"])
     rows = {r[S.RGN23NM]: r for r in t.collect()}
     # published percentages (1 decimal)
     assert rows["London"][S.NO_SITES] == 18.7
@@ -61,9 +61,12 @@ def test_share_of_total(spark):
     assert None not in rows
 
 
-def test_coverage_ratio_arithmetic():
-    # matched sites / all sites as published: 51,088 / 51,332
-    assert round(51088 / 51332, 8) == 0.99524663
+def test_coverage_ratio(spark):
+    # fixed values: matched sites and all sites as published
+    st = spark.createDataFrame([("matched", 51088), (None, 244)], "RGN23NM string, t_n bigint")
+    r = RP.coverage_of(st).first()
+    assert (r[S.NO_SITES], r["matched_sites"]) == (51332, 51088)
+    assert round(r["coverage"], 8) == 0.99524663
 
 
 def test_ratio_to_national(spark):
@@ -112,7 +115,7 @@ def test_read_formatted_sections(spark):
     p = os.path.join(d, "t.csv")
     with open(p, "w", encoding="utf-8") as f:
         f.write("﻿" + text)
-    t = R.read_formatted_sections(spark, p)
+    t = R.read_formatted_sections(spark, p, ["RGN23NM", "No_sites", "GVA"])
     assert t.columns == ["section", "RGN23NM", "No_sites", "GVA"]
     rows = [tuple(r) for r in t.collect()]
     by = {(s, k): (n, g) for s, k, n, g in rows}

@@ -17,7 +17,7 @@ from areastats.sources.fixtures import fixtures
 @pytest.fixture(scope="module")
 def env(spark, sf_dir):
     fx = fixtures(spark, sf_dir)
-    c, g = fx.company(), fx.geography
+    c, g = fx.company(), fx.geography            # list form; the registered queries use long form
     cache = {}
 
     def t(name):

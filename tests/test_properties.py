@@ -21,7 +21,7 @@ company = st.tuples(
 
 
 def _companies(spark, rows):
-    data = [(i, "RC00000001", g, 1.0, 1.0, None, None,
+    data = [(i, f"Company {i}", "RC00000001", g, 1.0, 1.0, None, None,
              None if pcs is None else ",".join(pcs), None) for i, (g, pcs) in enumerate(rows)]
     return spark.createDataFrame(data, S.COMPANY_SCHEMA)
 

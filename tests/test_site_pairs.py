@@ -17,6 +17,6 @@ def test_pairs_equal_lists(spark, sf_dir, name):
     q = AREA[name]
     key = lambda r: (r[0] is None, r[0] or "")
     a = sorted((tuple(r) for r in area_table(fx.company(), fx.geography, q).collect()), key=key)
-    b = sorted((tuple(r) for r in area_table(fx.company(), fx.geography, q,
+    b = sorted((tuple(r) for r in area_table(fx.company_long(), fx.geography, q,
                                              site_pairs=fx.site_pairs()).collect()), key=key)
     assert a == b

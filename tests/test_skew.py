@@ -19,15 +19,15 @@ from areastats.sources.fixtures import fixtures
 
 
 def _units(x: float) -> int:
-    return math.floor(x * 1e6 + 0.5)
+    return math.floor(x * 1e6 + 0.5)                  # positive amounts
 
 
 def test_hot_company_long_form(spark, sf_dir):
     fx = fixtures(spark, sf_dir)
     pairs = fx.site_pairs()
-    hot = pairs.agg(F.min(S.COMPANY_ID)).first()[0]
+    hot = pairs.agg(F.min(S.COMPANY_KEY)).first()[0]
     # every site postcode once more for one company: it now holds over half of all rows
-    hot_pairs = pairs.unionByName(pairs.select(F.lit(hot).cast("bigint").alias(S.COMPANY_ID),
+    hot_pairs = pairs.unionByName(pairs.select(F.lit(hot).cast("bigint").alias(S.COMPANY_KEY),
                                                S.POSTCODE))
     q = AreaQuery(basis="sites", level="la")
     conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -39,10 +39,10 @@ def test_hot_company_long_form(spark, sf_dir):
     for k, v in conf.items():
         spark.conf.set(k, v)
     try:
-        df = area_table(fx.company(), fx.geography, q, site_pairs=hot_pairs)
+        df = area_table(fx.company_long(), fx.geography, q, site_pairs=hot_pairs)
         got = {r[S.LAD23NM]: (r[S.NO_SITES], r[S.OUT_GVA]) for r in df.collect()}
-        per_pair = hot_pairs.groupBy(S.COMPANY_ID, S.POSTCODE).count()
-        hot_rows = per_pair.filter(F.col(S.COMPANY_ID) == hot).count()
+        per_pair = hot_pairs.groupBy(S.COMPANY_KEY, S.POSTCODE).count()
+        hot_rows = per_pair.filter(F.col(S.COMPANY_KEY) == hot).count()
         distinct_pc = hot_pairs.select(S.POSTCODE).distinct().count()
     finally:
         for k, v in old.items():
@@ -51,10 +51,10 @@ def test_hot_company_long_form(spark, sf_dir):
             else:
                 spark.conf.set(k, v)
     # the hot company enters the company-keyed join as at most one row per postcode
-    assert hot_rows <= distinct_pc < hot_pairs.filter(F.col(S.COMPANY_ID) == hot).count()
+    assert hot_rows <= distinct_pc < hot_pairs.filter(F.col(S.COMPANY_KEY) == hot).count()
 
     # brute force in Python over the same inputs
-    comp = {r[0]: r[1] for r in fx.company().select(S.COMPANY_ID, S.GVA).collect()}
+    comp = {r[0]: r[1] for r in fx.company_long().select(S.COMPANY_KEY, S.GVA).collect()}
     pc_la = {r[0]: r[1] for r in fx.geography.postcode_to_la().collect()}
     la_nm = {r[0]: r[1] for r in fx.geography.la_regions().select(S.LAD23CD, S.LAD23NM).collect()}
     rows = [tuple(r) for r in hot_pairs.collect()]

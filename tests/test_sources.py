@@ -19,7 +19,7 @@ def _local(path: str) -> str:
 def test_area_table_file_format(spark):
     t = spark.createDataFrame([("London", 3, 1.5), (None, 1, None)],
                               "RGN23NM string, No_Companies bigint, GVA double")
-    path = W.write_area_table(t, scratch_path(spark, "fmt"))
+    path = W.write_area_table(t, scratch_path(spark, "fmt"), single_file=True)
     parts = glob.glob(os.path.join(_local(path), "part-*.csv"))
     assert len(parts) == 1                                   # one file for an area table
     raw = open(parts[0], encoding="utf-8").read()
@@ -43,7 +43,7 @@ def test_geojson_sequence_and_collection(spark, sf_dir):
     b = fixtures(spark, sf_dir).lad_boundary()
     props = [S.LAD23CD, S.LAD23NM]
     seq = W.write_geojson(b, scratch_path(spark, "seq"), props, sequence=True)
-    doc = W.write_geojson(b, scratch_path(spark, "doc"), props)
+    doc = W.write_geojson(b, scratch_path(spark, "doc"), props, sequence=False)
     a = R.scan_boundaries(spark, seq, props, sequence=True)
     d = R.scan_boundaries(spark, doc, props)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

@@ -16,9 +16,10 @@ def test_streaming_matches_batch(spark, sf_dir):
     q = AreaQuery(basis="sites", level="la")
     stream = streaming_area_table(read_company_stream(spark, src, max_files_per_trigger=1),
                                   fx.geography, q)
-    handle = start_area_stream(stream, "areastats_la_sites", scratch_path(spark, "ckpt"))
+    out = scratch_path(spark, "stream_out")
+    handle = start_area_stream(stream, out, scratch_path(spark, "ckpt"))
     handle.awaitTermination(300)
-    got = sorted((tuple(r) for r in spark.table("areastats_la_sites").collect()),
+    got = sorted((tuple(r) for r in spark.read.parquet(f"{out}/batch=3").collect()),
                  key=lambda r: (r[0] is None, r[0]))
     want = sorted((tuple(r) for r in area_table(fx.company(), fx.geography, q).collect()),
                   key=lambda r: (r[0] is None, r[0]))
