@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_path
 
@@ -46,6 +48,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have (Spark compares them without case)."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def every_column(df: DataFrame) -> list[Column]:
+    """All columns, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def map_in_arrow(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name: the function sees and gives c0, c1, ..."""
+    given = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema)])
+    return given.mapInArrow(run, plain).toDF(*schema.names)
+
+
+def batch_of(columns: list[pa.Array]) -> pa.RecordBatch:
+    """A batch with the column names of ``map_in_arrow``."""
+    return pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -66,10 +93,3 @@ def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
     if n <= rows:
         return df
     return df.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * rows / n))
-
-
-def batches(it: Iterator, *columns: str) -> Iterator:
-    """Arrow batches without the empty ones."""
-    for batch in it:
-        if batch.num_rows:
-            yield batch.select(list(columns)) if columns else batch

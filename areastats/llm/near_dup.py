@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import materialise
+from ._spark import every_column, free_name, materialise
 from ._text import mix, of_text, rolling, slices, utf8, word_hashes, word_spans
 
 SHINGLE = 5
@@ -288,7 +288,7 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 def _verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, weights, similarity: float) -> DataFrame:
     """The pairs (node, leader, similarity) at or above the threshold."""
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-    sizes = pairs.groupBy("leader").agg(F.count("*").alias("n"))
+    sizes = materialise(pairs.groupBy("leader").agg(F.count("*").alias("n")), "neardup-sizes")
     sized = pairs.join(sizes, "leader").withColumn("salts", salts)
     members = sized.select("node", "leader", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"),
                            F.lit(False).alias("leads"))
@@ -365,8 +365,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """``key``, class_id (smallest id of the class), class_size, n_links (verified pairs of the
     row) for every row."""
     nodes, grouped = _groups(docs, key, text, similarity)
-    named = (nodes.join(grouped, "node").groupBy("component")
-             .agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")))
+    named = materialise(nodes.join(grouped, "node").groupBy("component")
+                        .agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")), "neardup-names")
     marks = materialise(grouped.join(named, "component").select("node", "class_id", "class_size", "links"),
                         "neardup-classes")
     rows = docs.select(F.col(key), node_of(key, text).alias("node")).join(marks, "node", "left")
@@ -383,11 +383,12 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text",
             .agg(F.min(F.struct(F.col("id").isNull(), "id", "node"))["node"].alias("node")).select("node"))
     # nodes that go: members of classes other than the one kept
     gone = materialise(grouped.select("node").join(kept, "node", "left_anti"), "neardup-gone")
-    # rows with words, the same id and the same text are one document
-    repeated = docs.select(node_of(key, text).alias("node")).groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-    marked = docs.withColumn("_node", node_of(key, text))
-    rest = marked.join(gone.withColumnRenamed("node", "_node"), "_node", "left_anti")
-    again = materialise(repeated.withColumnRenamed("node", "_node"), "neardup-repeated")
-    once = rest.join(again, "_node", "left_anti")
-    twice = rest.join(again, "_node", "left_semi").dropDuplicates(["_node"])
-    return once.unionAll(twice).select(*docs.columns)
+    # rows with the same id and the same text are one document
+    mark = free_name(docs, "_node")
+    marked = docs.withColumn(mark, node_of(key, text))
+    repeated = materialise(marked.groupBy(mark).agg(F.count("*").alias("n")).where("n > 1").select(mark),
+                           "neardup-repeated")
+    rest = marked.join(gone.withColumnRenamed("node", mark), mark, "left_anti")
+    once = rest.join(repeated, mark, "left_anti")
+    twice = rest.join(repeated, mark, "left_semi").dropDuplicates([mark])
+    return once.unionByName(twice).select(every_column(docs))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import bounded_sample
+from ._spark import batch_of, bounded_sample, map_in_arrow
 from ._text import slices, utf8, word_hashes, word_spans
 
 DIM = 1 << 16
@@ -167,10 +167,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for b in slices(whole, whole.schema.names[at]):
                 data, off = utf8(b.column(at))
                 s = np.array([m.score(features(data[off[i]:off[i + 1]])) for i in range(b.num_rows)])
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))],
-                    names=[*b.schema.names, "score", "predicted"])
+                yield batch_of([*b.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))])
 
     full = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()),
                          T.StructField("predicted", T.IntegerType())])
-    return docs.mapInArrow(run, full)
+    return map_in_arrow(docs, run, full)

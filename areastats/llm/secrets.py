@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import batch_of, map_in_arrow
+
 _FLAGS = re.ASCII
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -185,10 +187,9 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             new = pa.array([redact_text(t.as_py()) for t in b.column(at)], b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(
-                [new if i == at else b.column(i) for i in range(b.num_columns)], names=b.schema.names)
+            yield batch_of([new if i == at else b.column(i) for i in range(b.num_columns)])
 
-    return docs.mapInArrow(run, schema)
+    return map_in_arrow(docs, run, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import shuffle_parts
+from ._spark import batch_of, free_name, map_in_arrow, shuffle_parts
 from ._text import mix, of_text, positions, slices, utf8, word_hashes, word_spans
 
 WINDOW, BLOCK = 13, 7
@@ -310,9 +310,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Columns of the input with these names are replaced.
     """
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    found = repeats(docs, key, text).withColumnsRenamed({c: f"_{c}" for c in ("id", "tie", "first", "words")})
-    rows = docs.join(found, (docs[key].cast("long") == found["_id"]) & (F.xxhash64(docs[text]) == found["_tie"]), "left")
-    rows = rows.select(*[docs[c] for c in docs.columns], "_first", "_words")
+    names = {c: free_name(docs, f"_{c}") for c in ("id", "tie", "first", "words")}
+    found = repeats(docs, key, text).withColumnsRenamed(names)
+    rows = docs.join(found, (docs[key].cast("long") == found[names["id"]])
+                     & (F.xxhash64(docs[text]) == found[names["tie"]]), "left").drop(names["id"], names["tie"])
     at = docs.columns.index(text)
     n = len(docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()),
@@ -336,12 +337,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                         words = left + words[end:]
                     removed.append(gone)
                     kept.append(b" ".join(words))
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns[:n], pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
-                     pa.array(kept, pa.binary()).cast(pa.string())],
-                    names=[*b.schema.names[:n], "n_words", "n_removed", "kept_text"])
+                yield batch_of([*b.columns[:n], pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
+                                pa.array(kept, pa.binary()).cast(pa.string())])
 
-    return rows.mapInArrow(cut, schema)
+    return map_in_arrow(rows, cut, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
