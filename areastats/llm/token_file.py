@@ -15,10 +15,8 @@ doc_ids, doc_lens, payload), both Parquet; parts and blocks ascend with the docu
 Reading (``read_documents``): any executor decodes any block and checks it. Offsets come from
 the token counts of the blocks: by part, then within the part.
 
-A task tokenizes each different word of its texts once: words between ASCII spaces are encoded
-by the library one by one (they never interact in a tokenizer that drops white space and
-splits at it), and kept in a bounded cache. Texts that hold an added token's string are
-encoded whole. Tokenizers for which that does not hold are used with ``by_word=False``.
+A task tokenizes each different unit of its texts once (see ``WordEncoder``). Tokenizers that
+do not split at white space, or keep it, are used with ``by_word=False``.
 
 Defined results: a null text is empty; an empty text has the end id alone; rows that repeat an
 id follow each other (in the order of a hash of their text); null ids come first; an empty
@@ -27,6 +25,7 @@ table gives an empty file. Whole texts are encoded. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -39,13 +38,33 @@ from pyspark.sql.window import Window
 
 from . import rans
 from ._spark import materialise, shuffle_parts
+from ._text import SPACES, utf8, word_hashes, word_spans
 
 BLOCK_TOKENS = 1 << 18
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_500_000
+
+
+_OTHER, _LETTER, _DIGIT, _ODD = 1, 2, 3, 4
+_CLASS = np.full(256, _ODD, np.uint8)
+_CLASS[33:127] = _OTHER
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[48:58] = _DIGIT
+_CLASS[ord("'")] = _ODD                               # may begin a contraction
+_CLASS[list(SPACES)] = 0
 
 
 class WordEncoder:
-    """Ids of whole texts by one tokenizer file, word by word, with a bounded cache."""
+    """Ids of whole texts by one tokenizer file, with a bounded cache of what was encoded.
+
+    A text is cut into units that never interact: words between ASCII spaces, and, where the
+    tokenizer file says that it lowers case and splits runs of letters, single digits and runs
+    of other marks, those parts of words of ASCII and precomposed Latin-1 letters. Each unit is
+    encoded by the library once and then found by a 64-bit hash, its length and its first
+    eight bytes. Texts that hold an added token's string are encoded whole.
+    """
+
+    #: The split whose parts of simple words are known without the library.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str, by_word: bool = True):
         from tokenizers import Tokenizer
@@ -53,26 +72,85 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.by_word = by_word
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        lowers = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self.simple = (lowers == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in steps] == ["Split", "ByteLevel"]
+                       and steps[0]["pattern"].get("Regex") == self.SPLIT and steps[0]["behavior"] == "Removed"
+                       and not steps[1]["add_prefix_space"])
+        if self.simple:                               # the same without normalizer and split
+            spec["normalizer"], spec["pre_tokenizer"] = None, steps[1]
+            self.part = Tokenizer.from_str(json.dumps(spec))
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.hash, self.head = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.size, self.at = np.zeros(0, np.int64), np.zeros(0, np.int64)      # at: entry of each sorted hash
         self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def _learn(self, words: list[str]) -> np.ndarray:
-        """Cache entries of the words, encoding those not yet known."""
-        new = [w for w in words if w not in self.at]
-        if new and len(self.at) + len(new) > CACHE_WORDS:
-            self._clear()
-            new = words
-        if new:
-            e = self.tok.encode(new, is_pretokenized=True, add_special_tokens=False)
-            n = np.bincount(np.array([w for w in e.word_ids], np.int64), minlength=len(new))
-            first = len(self.start) - 1
-            self.at.update(zip(new, range(first, first + len(new))))
-            self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(n)))
-            self.ids = np.concatenate((self.ids, np.array(e.ids, np.uint32)))
-        return np.fromiter((self.at[w] for w in words), np.int64, len(words))
+    def _units(self, data: np.ndarray, off: np.ndarray):
+        """Bytes (lowered in simple words), starts and ends of the units, which are simple."""
+        starts, ends, _ = word_spans(data, off)
+        if not self.simple or not len(starts):
+            return data, starts, ends, np.zeros(len(starts), bool)
+        kind = _CLASS[data]
+        pair = np.flatnonzero(data[:-1] == 0xC3)
+        second = data[pair + 1]
+        pair = pair[(second != 0x97) & (second != 0xB7)]   # the two marks among the letters
+        kind[pair] = kind[pair + 1] = _LETTER
+        odd = np.concatenate(([0], np.cumsum(kind == _ODD)))
+        plain = odd[ends] == odd[starts]
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[starts[plain]] += 1                    # starts differ from each other, as ends do
+        inside[ends[plain]] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+        low = data.copy()
+        low[inside & (data >= 65) & (data <= 90)] += 32
+        big = pair[(data[pair + 1] >= 0x80) & (data[pair + 1] <= 0x9E) & inside[pair]]
+        low[big + 1] += 32
+        first = np.zeros(len(data), bool)
+        first[1:] = inside[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)) & (kind[1:] != 0)
+        first[starts] = True
+        at = np.flatnonzero(first)
+        word = np.searchsorted(starts, at, side="right") - 1
+        end = np.minimum(np.append(at[1:], len(data)), ends[word])
+        return low, at, end, plain[word]
+
+    def _learn(self, h, data, starts, ends, simple) -> np.ndarray:
+        """Cache entries of the units with these (sorted, distinct) hashes."""
+        size = ends - starts
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        head = np.zeros(len(h), np.uint64)
+        for j in range(8):
+            head |= np.where(j < size, padded[starts + j], 0).astype(np.uint64) << np.uint64(8 * j)
+        while True:
+            i = np.searchsorted(self.hash, h)
+            i[i == len(self.hash)] = 0
+            hit = np.zeros(len(h), bool)
+            if len(self.hash):
+                hit = (self.hash[i] == h) & (self.head[i] == head) & (self.size[i] == size)
+            if hit.all():
+                return self.at[i]
+            if len(self.hash) and len(self.hash) + (~hit).sum() > CACHE_WORDS:
+                self._clear()
+                continue
+            raw = data.tobytes()
+            for tok, new in ((self.tok, np.flatnonzero(~hit & ~simple)),
+                             (self.part if self.simple else None, np.flatnonzero(~hit & simple))):
+                if not len(new):
+                    continue
+                words = [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())]
+                e = tok.encode(words, is_pretokenized=True, add_special_tokens=False)
+                n = np.bincount(np.array(e.word_ids, np.int64), minlength=len(words))
+                entry = len(self.start) - 1 + np.arange(len(words))
+                self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(n)))
+                self.ids = np.concatenate((self.ids, np.array(e.ids, np.uint32)))
+                where = np.searchsorted(self.hash, h[new])
+                self.hash = np.insert(self.hash, where, h[new])
+                self.head = np.insert(self.head, where, head[new])
+                self.size = np.insert(self.size, where, size[new])
+                self.at = np.insert(self.at, where, entry)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and each text's offsets among them."""
@@ -80,15 +158,14 @@ class WordEncoder:
         whole = np.full(len(texts), not self.by_word)
         for a in self.added if self.by_word else ():
             whole |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
-        split = pc.ascii_split_whitespace(texts)
-        first = split.offsets.to_numpy()
-        words = split.flatten()
-        coded = words.dictionary_encode()
-        entry = self._learn(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        data, off = utf8(texts)
+        low, starts, ends, simple = self._units(data, off)
+        h, at, back = np.unique(word_hashes(low, starts, ends), return_index=True, return_inverse=True)
+        entry = self._learn(h, low, starts[at], ends[at], simple[at])[back]
         n = np.diff(self.start)[entry]
         total = np.concatenate(([0], np.cumsum(n)))
-        at = np.arange(total[-1]) + np.repeat(self.start[entry] - total[:-1], n)
-        ids, off = self.ids[at], total[first - first[0]]
+        ids = self.ids[np.arange(total[-1]) + np.repeat(self.start[entry] - total[:-1], n)]
+        off = total[np.searchsorted(starts, off)]
         if not whole.any():
             return ids, off
         parts = [np.array(self.tok.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
