@@ -205,7 +205,7 @@ def _load_items(items: DataFrame, key: str, text: str, answer: str | None):
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
                   item_key: str = "item_id", item_text: str = "text", answer: str | None = None,
-                  threshold: float = THRESHOLD, question_overlap: float = 0.8,
+                  threshold: float = THRESHOLD, question_overlap: float = 0.6,
                   answer_overlap: float = 0.5, index_bytes: int = 32 << 20) -> DataFrame:
     """``key``, ``item_key``, score, question_overlap, answer_overlap, start_word: one row for
     each document and each test item found in it (its best passage)."""

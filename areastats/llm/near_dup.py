@@ -18,7 +18,8 @@
    by its smallest document id.
 
 With 36 samples in 12 bands of 3, a pair at similarity 0.8 meets in a bucket with probability
-0.9998. Pairs of two rows that both match a leader are not compared: they are in one class.
+0.9998. Two rows that both match a leader are not compared: they are in one class anyway. What is
+not looked for is a further link of a row that already has one to a row of another class.
 
 Words are runs of characters other than the ASCII spaces. Defined results: a text of fewer
 than five words is one shingle; a null text or one without words is alone in its class; rows
@@ -250,16 +251,26 @@ def _between_blocks(t: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.concatenate(m)), pa.array(np.concatenate(o))], names=["node", "leader"])
 
 
-def _candidates(sig: DataFrame) -> DataFrame:
-    """node, leader: the pairs to verify, each once."""
+def _bucket_rows(sig: DataFrame) -> DataFrame:
+    """The rows of all buckets of several rows, each bucket in blocks of about BLOCK rows."""
     rows = sig.select("node", "id", "sig", F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = materialise(sizes, "neardup-buckets")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    inside = (rows.join(sizes, "key").withColumn("blocks", blocks)
-              .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-              .withColumn("split", F.col("blocks") > 1)
-              .select("key", "block", "blocks", "split", "node", "id", "sig"))
+    return (rows.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            .withColumn("split", F.col("blocks") > 1)
+            .select("key", "block", "blocks", "split", "node", "id", "sig"))
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    """x < y of each pair, once, with its node and leader."""
+    return (pairs.where("node <> leader")
+            .select(F.least("node", "leader").alias("x"), F.greatest("node", "leader").alias("y"), "node", "leader")
+            .dropDuplicates(["x", "y"]))
+
+
+def _candidates(inside: DataFrame) -> DataFrame:
+    """The pairs of rows and leaders to verify, each once."""
     found = materialise(inside.groupBy("key", "block").applyInArrow(
         _by_leaders, "node long, leader long, sig binary, key long, block int, blocks int"), "neardup-leaders")
     pairs = found.where("leader is not null").select("node", "leader")
@@ -272,9 +283,35 @@ def _candidates(sig: DataFrame) -> DataFrame:
     meet = (pick(0).where(low < high).select("key", low.alias("a"), high.alias("b"), "node", "sig", "side")
             .unionByName(pick(1).where(low > high).select("key", high.alias("a"), low.alias("b"), "node", "sig", "side")))
     across = meet.groupBy("key", "a", "b").applyInArrow(_between_blocks, "node long, leader long")
-    return (pairs.unionAll(across).where("node <> leader")
-            .select(F.least("node", "leader").alias("x"), F.greatest("node", "leader").alias("y"),
-                    "node", "leader").dropDuplicates(["x", "y"]).select("node", "leader"))
+    return _once(pairs.unionAll(across))
+
+
+def _meet_lonely(t: pa.Table) -> pa.Table:
+    """Pairs of the lonely rows of a bucket with like rows of one of its blocks."""
+    lonely = t.column("lonely").to_numpy(zero_copy_only=False).astype(bool)
+    nodes, sig = t.column("node").to_numpy(), _sig_matrix(t.column("sig"))
+    a, b = np.flatnonzero(lonely), np.flatnonzero(~lonely)
+    m, o = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in a:
+        like = b[(sig[b] == sig[i]).sum(1) >= AGREE]
+        m.append(nodes[like])
+        o.append(np.full(len(like), nodes[i]))
+    return pa.table([pa.array(np.concatenate(m)), pa.array(np.concatenate(o))], names=["node", "leader"])
+
+
+def _second_candidates(inside: DataFrame, tested: DataFrame, edges: DataFrame) -> DataFrame:
+    """For rows that were tested but matched no one: their pairs with every like row of their
+    buckets, so that a row unlike its leader still meets the others."""
+    matched = edges.select("node").unionAll(edges.select(F.col("leader").alias("node")))
+    lonely = materialise(tested.select("node").unionAll(tested.select(F.col("leader").alias("node"))).distinct()
+                         .join(matched.distinct(), "node", "left_anti"), "neardup-lonely")
+    alone = inside.join(lonely, "node", "left_semi")
+    keys = materialise(alone.select("key").distinct(), "neardup-lonely-buckets")
+    everyone = inside.join(keys, "key", "left_semi").select("key", "block", "node", "sig", F.lit(False).alias("lonely"))
+    copies = alone.select("key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "node", "sig",
+                          F.lit(True).alias("lonely"))
+    found = everyone.unionAll(copies).groupBy("key", "block").applyInArrow(_meet_lonely, "node long, leader long")
+    return _once(found).join(tested.select("x", "y"), ["x", "y"], "left_anti")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -353,8 +390,13 @@ def _groups(docs: DataFrame, key: str, text: str, similarity: float) -> tuple[Da
     sketch, n = document_frequencies(docs, text)
     weights = sc.broadcast(Weights(sketch, n))        # 2 x 65,536 numbers, whatever the corpus
     sig = materialise(_signatures(docs, key, text, weights), "neardup-signatures")
-    pairs = materialise(_candidates(sig), "neardup-pairs")
+    inside = _bucket_rows(sig)
+    pairs = materialise(_candidates(inside), "neardup-pairs")
     edges = materialise(_verified(docs, pairs, key, text, weights, similarity), "neardup-links")
+    second = materialise(_second_candidates(inside, pairs, edges), "neardup-second-pairs")
+    if not second.isEmpty():
+        more = _verified(docs, second, key, text, weights, similarity)
+        edges = edges.unionAll(materialise(more, "neardup-second-links"))
     links = (edges.select("node").unionAll(edges.select(F.col("leader").alias("node")))
              .groupBy("node").agg(F.count("*").alias("links")))
     return sig.select("node", "id").distinct(), components(edges).join(links, "node")

@@ -103,6 +103,8 @@ def decode(block: bytes, table: Table, checkpoint: int = 0) -> np.ndarray:
             own[need] = (own[need] << _32) | words[pos:pos + len(need)]
             pos += len(need)
     out = table.symbols[out]
+    if (x != _LOW).any():                             # every lane must end where the encoder began
+        raise ValueError("a block does not end in the coder's first state")
     if checkpoint == 0 and zlib.crc32(out.astype("<u4").tobytes()) != crc:
         raise ValueError("checksum of a block does not match")
     return out

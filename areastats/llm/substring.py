@@ -138,11 +138,11 @@ def block_rows(ids: np.ndarray, ties: np.ndarray, texts: pa.Array, name: int, n_
     return out
 
 
-def _map_blocks(n_parts: int):
+def _map_blocks(n_parts: int, slice_bytes: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, k = TaskContext.get().partitionId(), 0
         for whole in it:
-            for b in slices(whole, "text", SLICE_BYTES):
+            for b in slices(whole, "text", slice_bytes):
                 rows = block_rows(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2),
                                   (task << 32) + k, n_parts)
                 k += 1
@@ -286,7 +286,8 @@ def spans_of(t: pa.Table) -> pa.Table:
     return pa.table([pa.array(ids[use]), pa.array(ties[use]), *lists], names=["id", "tie", "first", "words"])
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
+            slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """id, tie (hash of the text), first, words: the maximal repeats of every document that has
     some, as word positions and lengths; once for rows of the same id and text."""
     parts = shuffle_parts(docs.sparkSession)
@@ -296,7 +297,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     def windows(t: pa.Table) -> pa.Table:
         return pa.Table.from_batches([_rows(window_rows(t, parts))])
 
-    return (rows.mapInArrow(_map_blocks(parts), ROW)
+    return (rows.mapInArrow(_map_blocks(parts, slice_bytes), ROW)
             .groupBy("dest").applyInArrow(answer_blocks, ROW)
             .groupBy("slice").applyInArrow(windows, ROW)
             .groupBy("dest").applyInArrow(answer_windows, ROW)
@@ -304,14 +305,15 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             .dropDuplicates(["id", "tie"]))
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
+                   slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """All rows and columns, and n_words, n_removed, kept_text (kept words, one space between).
 
     Columns of the input with these names are replaced.
     """
     docs = docs.drop("n_words", "n_removed", "kept_text")
     names = {c: free_name(docs, f"_{c}") for c in ("id", "tie", "first", "words")}
-    found = repeats(docs, key, text).withColumnsRenamed(names)
+    found = repeats(docs, key, text, slice_bytes).withColumnsRenamed(names)
     rows = docs.join(found, (docs[key].cast("long") == found[names["id"]])
                      & (F.xxhash64(docs[text]) == found[names["tie"]]), "left").drop(names["id"], names["tie"])
     at = docs.columns.index(text)
