@@ -32,6 +32,18 @@ NORTH = {"E12000001", "E12000002", "E12000003"}
 ITL = {"E00000001": "I1", "E00000002": "I2", "E00000003": "I1"}
 
 
+@pytest.fixture(scope="module", autouse=True)
+def interpreted(spark):
+    """Tables of six rows: compiling the plans would take longer than running them."""
+    keys = ("spark.sql.codegen.wholeStage", "spark.sql.shuffle.partitions")
+    old = {k: spark.conf.get(k) for k in keys}
+    for k, v in zip(keys, ("false", "2")):
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
 @pytest.fixture(scope="module")
 def small(spark):
     c = spark.createDataFrame(COMPANIES, S.COMPANY_SCHEMA)
