@@ -1,6 +1,6 @@
 """Word and n-gram hashing over Arrow text columns, vectorised: no Python object per word.
 
-A batch is handled in slices of a few megabytes, so that memory stays bounded by the slice
+A batch is handled in slices of two megabytes unless said otherwise, so that memory stays bounded by the slice
 (or by its one longest text), whatever the batch holds.
 """
 
@@ -17,7 +17,7 @@ IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[list(SPACES)] = False
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _powers: list[np.ndarray] = []
 
 
@@ -35,7 +35,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]:off[-1]], off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with at most ``limit`` bytes of text, or one row."""
     _, off = utf8(batch.column(batch.schema.get_field_index(column)))
     at, n = 0, len(off) - 1

@@ -45,7 +45,7 @@ from ._spark import batch_of, free_name, map_in_arrow, shuffle_parts
 from ._text import mix, of_text, positions, slices, utf8, word_hashes, word_spans
 
 WINDOW, BLOCK = 13, 7
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 6 << 20
 #: Rows between the stages: where they go, what they are, of which slice, packed arrays.
 ROW = "dest int, kind int, slice long, payload binary"
 TABLE, FOUND, ASK = 0, 1, 2
