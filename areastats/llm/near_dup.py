@@ -19,7 +19,9 @@
 
 With 36 samples in 12 bands of 3, a pair at similarity 0.8 meets in a bucket with probability
 0.9998. Two rows that both match a leader are not compared: they are in one class anyway. What is
-not looked for is a further link of a row that already has one to a row of another class.
+not looked for: a further link of a row that already has one to a row of another class, and, in a
+bucket, links among rows whose samples agree with a leader that verification then finds under the
+threshold (they meet through their other eleven bands).
 
 Words are runs of characters other than the ASCII spaces. Defined results: a text of fewer
 than five words is one shingle; a null text or one without words is alone in its class; rows
@@ -301,7 +303,8 @@ def _meet_lonely(t: pa.Table) -> pa.Table:
 
 def _second_candidates(inside: DataFrame, tested: DataFrame, edges: DataFrame) -> DataFrame:
     """For rows that were tested but matched no one: their pairs with every like row of their
-    buckets, so that a row unlike its leader still meets the others."""
+    buckets in several blocks, where they have met one block's leaders and no other rows."""
+    inside = inside.where("split")
     matched = edges.select("node").unionAll(edges.select(F.col("leader").alias("node")))
     lonely = materialise(tested.select("node").unionAll(tested.select(F.col("leader").alias("node"))).distinct()
                          .join(matched.distinct(), "node", "left_anti"), "neardup-lonely")
