@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ._spark import map_in_arrow
 from ._text import rolling, slices, utf8, word_hashes
 
 THRESHOLD = 0.6
@@ -203,15 +204,10 @@ def _load_items(items: DataFrame, key: str, text: str, answer: str | None):
     return items.select(*cols).where(F.col("q").isNotNull() & (F.col("q") != "")).distinct()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
-                  item_key: str = "item_id", item_text: str = "text", answer: str | None = None,
-                  threshold: float = THRESHOLD, question_overlap: float = 0.6,
-                  answer_overlap: float = 0.5, index_bytes: int = 32 << 20) -> DataFrame:
-    """``key``, ``item_key``, score, question_overlap, answer_overlap, start_word: one row for
-    each document and each test item found in it (its best passage)."""
-    kind, item_kind = (d.schema[k].dataType.simpleString() for d, k in ((docs, key), (items, item_key)))
-    schema = (f"key {kind}, item {item_kind}, score double, question_overlap double, "
-              "answer_overlap double, start_word long")
+def _indexes(items: DataFrame, item_key: str, item_text: str, answer: str | None, threshold: float,
+             index_bytes: int) -> Iterator:
+    """The broadcast index of each group of items (one group, unless they exceed ``index_bytes``)."""
+    item_kind = items.schema[item_key].dataType.simpleString()
     rows = _load_items(items, item_key, item_text, answer)
 
     def words_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +227,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
                        F.sum(F.size("q") + F.size("a") + 8)).first())
     n, mean, volume = size[0], size[1], 8 * (size[2] or 0)
     groups = max(1, -(-volume // index_bytes))
-    found = None
     terms = parsed.select("key", "q", "a", F.explode(F.array_distinct(F.concat("q", "a"))).alias("t"))
     df_all = terms.groupBy("t").agg(F.count("*").alias("df"))
     for g in range(groups if n else 0):
@@ -242,10 +237,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         if not loaded:
             continue
         as_words = lambda x: np.array(x, np.int64).astype(np.uint64)
-        index = docs.sparkSession.sparkContext.broadcast(
+        yield items.sparkSession.sparkContext.broadcast(
             Index([(r["key"], as_words(r["q"]), as_words(r["a"])) for r in loaded], n, mean, df, threshold))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
+                  item_key: str = "item_id", item_text: str = "text", answer: str | None = None,
+                  threshold: float = THRESHOLD, question_overlap: float = 0.6,
+                  answer_overlap: float = 0.5, index_bytes: int = 32 << 20) -> DataFrame:
+    """``key``, ``item_key``, score, question_overlap, answer_overlap, start_word: one row for
+    each document and each test item found in it (its best passage)."""
+    kind, item_kind = (d.schema[k].dataType.simpleString() for d, k in ((docs, key), (items, item_key)))
+    schema = (f"key {kind}, item {item_kind}, score double, question_overlap double, "
+              "answer_overlap double, start_word long")
+    item_type = to_arrow_type(items.schema[item_key].dataType)
+    found = None
+    for index in _indexes(items, item_key, item_text, answer, threshold, index_bytes):
         part = (docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-                .mapInArrow(_searcher(index, question_overlap, answer_overlap, to_arrow_type(items.schema[item_key].dataType)), schema))
+                .mapInArrow(_searcher(index, question_overlap, answer_overlap, item_type), schema))
         found = part if found is None else found.unionAll(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema)
@@ -277,12 +286,32 @@ def _searcher(index, question_overlap: float, answer_overlap: float, item_type:
     return run
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in which no test item was found; same columns.
+def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
+                      item_key: str = "item_id", item_text: str = "text", answer: str | None = None,
+                      threshold: float = THRESHOLD, question_overlap: float = 0.6,
+                      answer_overlap: float = 0.5, index_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``docs`` in whose own text no test item was found; same columns.
 
-    The search result is bounded by nothing, so the anti join is left to the planner. Rows
-    with a null id are kept unless a row of the same null id matches.
+    Each row is decided where it is read, by its text alone: ids (``key``) may be null or
+    repeated. Nothing is shuffled.
     """
-    key = options.get("key", "doc_id")
-    bad = decontaminate(docs, items, **options).select(F.col(key).alias("_bad")).distinct()
-    return docs.join(bad, docs[key].eqNullSafe(bad["_bad"]), "left_anti")
+    at = docs.columns.index(text)
+    for index in _indexes(items, item_key, item_text, answer, threshold, index_bytes):
+        docs = map_in_arrow(docs, _dropper(index, f"c{at}", question_overlap, answer_overlap), docs.schema)
+    return docs
+
+
+def _dropper(index, text: str, question_overlap: float, answer_overlap: float):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix: Index = index.value
+        for whole in it:
+            for b in slices(whole, text):
+                words, first = term_hashes(b.column(b.schema.get_field_index(text)))
+                clean = np.ones(b.num_rows, bool)
+                for row, a, z, item, _ in ix.search(words, first):
+                    if clean[row]:
+                        q, ans = ix.overlaps(item, words[a:z])
+                        clean[row] = q < question_overlap or ans < answer_overlap
+                yield b if clean.all() else b.filter(pa.array(clean))
+
+    return run

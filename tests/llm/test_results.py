@@ -362,6 +362,20 @@ def test_decontamination_against_full_scores(spark, sf_dir):
     assert kept == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_decontamination_decides_row_by_row(spark):
+    """A clean and a contaminated row share a null id, and a repeated id."""
+    item = "Which river runs past the old mill at the north end of town? The long winding river of seven stone bridges."
+    clean = "Nothing of the kind stands in this text about gardens and their fences."
+    rows = [(None, clean), (None, f"{clean} {item}"), (7, f"{item} {clean}"), (7, clean), (7, None), (8, clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "Another item about clouds over hills. They seldom bring any rain here.")],
+                                  "item_id long, text string")
+    want = Counter([(None, clean), (7, clean), (7, None), (8, clean)])
+    for size in (32 << 20, 100):
+        got = decontaminate.drop_contaminated(docs, items, index_bytes=size)
+        assert got.columns == docs.columns and Counter(map(tuple, got.collect())) == want
+
+
 # ---- 9 ---------------------------------------------------------------------------------------------
 def test_topk_against_all_scores(spark):
     rng = np.random.default_rng(9)
