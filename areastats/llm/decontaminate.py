@@ -16,8 +16,11 @@ that stands in a text stands whole in some passage. Retrieval is exact for the t
    are scored, with full weights.
 3. Every item above the threshold is verified: of the word trigrams of its question at least
    ``question_overlap``, and of its answer at least ``answer_overlap``, occur in the passage.
-   The answer is the ``answer`` column if the items have one, else the last sentence, or the
-   last third of the words of a text of one sentence.
+   The answer is the ``answer`` column if the items have one. Else it is the last sentence, or
+   the last third of the words of a text of one sentence, with words moved between question and
+   answer until both are long enough to pass with any one word changed; an item too short for
+   that is all question. (Unchanged limits: an ``answer`` column is taken as it is, and items of
+   fewer than eight distinct trigrams need 0.6 of them.)
 
 Words are lower case runs of ASCII letters, digits and other code points that are not
 punctuation or symbols.
@@ -46,6 +49,7 @@ from ._spark import map_in_arrow
 from ._text import rolling, slices, utf8, word_hashes
 
 THRESHOLD = 0.6
+MIN_QUESTION, MIN_ANSWER = 8, 6    # distinct trigrams: less three, still 0.6 and 0.5 of them
 _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[97:123] = True
 _ALNUM[128:] = True
@@ -78,14 +82,34 @@ def term_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(data, starts, np.flatnonzero(last) + 1), np.searchsorted(starts, off)
 
 
+def fit_cut(words: np.ndarray, cut: int) -> int:
+    """Where to cut an item's words, near ``cut``, so that one changed word spoils neither part.
+
+    A changed word destroys up to three trigrams, so the answer is given words from before it
+    until it has MIN_ANSWER distinct trigrams, and a question with fewer than MIN_QUESTION is
+    given words of the answer. An item too short for both is one part, all question.
+    """
+    grams3 = rolling(words, np.array([0, len(words)]), 3)[0]
+    new = lambda g: np.cumsum(np.isin(np.arange(len(g)), np.unique(g, return_index=True)[1]))
+    least = int(np.searchsorted(new(grams3), MIN_QUESTION)) + 3
+    most = len(words) - int(np.searchsorted(new(grams3[::-1]), MIN_ANSWER)) - 3
+    return len(words) if least > most else min(max(cut, least), most)
+
+
 def split_item(text: str) -> tuple[str, str]:
     """Question and answer of an item that has one text only."""
     parts = [p for p in text.replace("\n", " ").split(". ") if p.strip()]
     if len(parts) > 1:
-        return ". ".join(parts[:-1]), parts[-1]
-    words = text.split()
-    cut = max(1, len(words) * 2 // 3)
-    return " ".join(words[:cut]), " ".join(words[cut:])
+        cut = sum(len(p.split()) for p in parts[:-1])
+        words = " ".join(parts).split()
+    else:
+        words = text.split()
+        cut = min(len(words), max(1, len(words) * 2 // 3))
+    hashes, off = term_hashes(pa.array(words, pa.string()))
+    # a cut inside a word (several terms, one word of the text) is moved to the nearer whole one
+    at = fit_cut(hashes, int(off[cut]))
+    cut = int(np.searchsorted(off, at)) if at < off[cut] else int(np.searchsorted(off, at, side="right")) - 1
+    return (" ".join(words), "") if at >= len(hashes) else (" ".join(words[:cut]), " ".join(words[cut:]))
 
 
 def grams(words: np.ndarray, n: int = 3) -> np.ndarray:

@@ -362,6 +362,28 @@ def test_decontamination_against_full_scores(spark, sf_dir):
     assert kept == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_one_word_edits_do_not_hide_an_item():
+    """A word changed, left out or put in at every position of every item."""
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table(f"{SF}/benchmark.parquet")["text"].to_pylist() if t]
+    texts += ["One two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen. Er."]
+    items = [(i, *(np.array(_words(p), np.uint64) for p in decontaminate.split_item(t))) for i, t in enumerate(texts)]
+    for (_, q, a), t in zip(items, texts):
+        assert np.concatenate((q, a)).tolist() == _words(t)
+    df = Counter(x for _, q, a in items for x in set(q.tolist()) | set(a.tolist()))
+    index = decontaminate.Index(items, len(items), np.mean([len(q) + len(a) for _, q, a in items]), df, 0.6)
+    for i, t in enumerate(texts):
+        w = t.split()
+        for k in range(len(w)):
+            for edited in (w[:k] + ["zzchanged"] + w[k + 1:], w[:k] + w[k + 1:], w[:k] + ["zzchanged"] + w[k:]):
+                words = np.array(_words(" ".join(edited)), np.uint64)
+                shares = [index.overlaps(item, words[a:z]) for _, a, z, item, _ in index.search(words, np.array([0, len(words)]))
+                          if index.ids[item] == i]
+                assert any(q >= 0.6 and a >= 0.5 for q, a in shares), (i, k, edited)
+    assert decontaminate.split_item(" ") == ("", "") and decontaminate.split_item("") == ("", "")
+
+
 def test_decontamination_decides_row_by_row(spark):
     """A clean and a contaminated row share a null id, and a repeated id."""
     item = "Which river runs past the old mill at the north end of town? The long winding river of seven stone bridges."
