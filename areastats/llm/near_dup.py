@@ -19,9 +19,7 @@
 
 With 36 samples in 12 bands of 3, a pair at similarity 0.8 meets in a bucket with probability
 0.9998. Two rows that both match a leader are not compared: they are in one class anyway. What is
-not looked for: a further link of a row that already has one to a row of another class, and, in a
-bucket, links among rows whose samples agree with a leader that verification then finds under the
-threshold (they meet through their other eleven bands).
+not looked for is a further link of a row that already has one to a row of another class.
 
 Words are runs of characters other than the ASCII spaces. Defined results: a text of fewer
 than five words is one shingle; a null text or one without words is alone in its class; rows
@@ -169,12 +167,12 @@ def node_of(key: str, text: str):
 
 
 def _signatures(docs: DataFrame, key: str, text: str, weights) -> DataFrame:
-    """node, id, sig (one byte per sample), bands (bucket keys) of all rows with words."""
+    """node, id, copy (text hash), sig (one byte per sample), bands (bucket keys) of all rows with words."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
         for whole in it:
             for b in slices(whole, "text", 1 << 20):
-                grams, counts, off = shingle_sets(b.column(2))
+                grams, counts, off = shingle_sets(b.column(3))
                 if not len(grams):
                     continue
                 s = samples(grams, w(grams, counts), off)
@@ -184,15 +182,28 @@ def _signatures(docs: DataFrame, key: str, text: str, weights) -> DataFrame:
                 at = pa.array(np.flatnonzero(np.diff(off)))
                 n = len(s)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(at), b.column(1).take(at),
+                    [b.column(0).take(at), b.column(1).take(at), b.column(2).take(at),
                      pa.array([x.tobytes() for x in (s & np.uint64(255)).astype(np.uint8)], pa.binary()),
                      pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS),
                                               pa.array(bands.ravel()))],
-                    names=["node", "id", "sig", "bands"])
+                    names=["node", "id", "copy", "sig", "bands"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return (docs.select(node_of(key, text).alias("node"), F.col(key).alias("id"), F.col(text).alias("text"))
-            .mapInArrow(run, f"node long, id {kind}, sig binary, bands array<long>"))
+    return (docs.select(node_of(key, text).alias("node"), F.col(key).alias("id"),
+                        F.xxhash64(F.col(text), F.lit("copy")).alias("copy"), F.col(text).alias("text"))
+            .mapInArrow(run, f"node long, id {kind}, copy long, sig binary, bands array<long>"))
+
+
+def _copies(sig: DataFrame) -> DataFrame:
+    """node, leader: each node of a text that several nodes have, with the first of them.
+
+    Texts are equal by hash and signature; copies need no meeting and no verification.
+    """
+    first = (sig.groupBy("copy", "sig").agg(F.min(F.struct("id", "node"))["node"].alias("leader"),
+                                            F.min("node").alias("low"), F.max("node").alias("high"))
+             .where("low <> high").select("copy", "sig", "leader"))
+    first = materialise(first, "neardup-copied")
+    return sig.select("node", "copy", "sig").join(first, ["copy", "sig"]).where("node <> leader").select("node", "leader").distinct()
 
 
 def _lead(nodes: np.ndarray, sig: np.ndarray) -> tuple[list, list, list]:
@@ -303,8 +314,7 @@ def _meet_lonely(t: pa.Table) -> pa.Table:
 
 def _second_candidates(inside: DataFrame, tested: DataFrame, edges: DataFrame) -> DataFrame:
     """For rows that were tested but matched no one: their pairs with every like row of their
-    buckets in several blocks, where they have met one block's leaders and no other rows."""
-    inside = inside.where("split")
+    buckets, so that a row unlike its leader still meets the others."""
     matched = edges.select("node").unionAll(edges.select(F.col("leader").alias("node")))
     lonely = materialise(tested.select("node").unionAll(tested.select(F.col("leader").alias("node"))).distinct()
                          .join(matched.distinct(), "node", "left_anti"), "neardup-lonely")
@@ -393,13 +403,15 @@ def _groups(docs: DataFrame, key: str, text: str, similarity: float) -> tuple[Da
     sketch, n = document_frequencies(docs, text)
     weights = sc.broadcast(Weights(sketch, n))        # 2 x 65,536 numbers, whatever the corpus
     sig = materialise(_signatures(docs, key, text, weights), "neardup-signatures")
-    inside = _bucket_rows(sig)
+    copies = materialise(_copies(sig), "neardup-copies")
+    inside = _bucket_rows(sig.join(copies.select("node"), "node", "left_anti"))
     pairs = materialise(_candidates(inside), "neardup-pairs")
     edges = materialise(_verified(docs, pairs, key, text, weights, similarity), "neardup-links")
     second = materialise(_second_candidates(inside, pairs, edges), "neardup-second-pairs")
     if not second.isEmpty():
         more = _verified(docs, second, key, text, weights, similarity)
         edges = edges.unionAll(materialise(more, "neardup-second-links"))
+    edges = edges.select("node", "leader").unionAll(copies)
     links = (edges.select("node").unionAll(edges.select(F.col("leader").alias("node")))
              .groupBy("node").agg(F.count("*").alias("links")))
     return sig.select("node", "id").distinct(), components(edges).join(links, "node")
