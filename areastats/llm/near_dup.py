@@ -11,15 +11,17 @@
 3. Samples are banded. Inside a bucket (at most ``BLOCK`` rows to a task, more are split into
    blocks whose leaders are compared block by block), leaders are picked in id order: a row
    whose samples agree enough with an earlier leader is paired with it, else it leads itself.
-   So no bucket yields all its pairs, and a bucket of unlike texts is still compared whole.
+   Exact copies (by text hash and signature) are linked to the first of them, and only that one
+   is in buckets. After verification the classes so far are found, and every two rows of a bucket
+   that agree enough, are of different classes and were not tested are paired as well.
 4. Every pair is verified on whole texts by exact weighted Jaccard similarity; a leader's pairs
    are split into salted groups with a copy of the leader in each.
 5. Verified pairs form classes (connected components by alternating stars). A class is named
    by its smallest document id.
 
 With 36 samples in 12 bands of 3, a pair at similarity 0.8 meets in a bucket with probability
-0.9998. Two rows that both match a leader are not compared: they are in one class anyway. What is
-not looked for is a further link of a row that already has one to a row of another class.
+0.9998. Two rows of a bucket that agree enough are compared, unless they are in one class anyway: a
+class of any size costs its rows once, but n unlike texts on one template up to n * n / 2 pairs.
 
 Words are runs of characters other than the ASCII spaces. Defined results: a text of fewer
 than five words is one shingle; a null text or one without words is alone in its class; rows
@@ -46,6 +48,7 @@ BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 AGREE = 20                       # of 36 samples: far below what a similarity of 0.8 gives
 BLOCK = 4096
+MEET = 1024                      # rows of each side of a second meeting: at most a million pairs
 SALT_ROWS = 256
 SKETCH_BITS = 16
 F0, IDF_FLOOR = 0.02, 0.8
@@ -299,32 +302,49 @@ def _candidates(inside: DataFrame) -> DataFrame:
     return _once(pairs.unionAll(across))
 
 
-def _meet_lonely(t: pa.Table) -> pa.Table:
-    """Pairs of the lonely rows of a bucket with like rows of one of its blocks."""
-    lonely = t.column("lonely").to_numpy(zero_copy_only=False).astype(bool)
-    nodes, sig = t.column("node").to_numpy(), _sig_matrix(t.column("sig"))
-    a, b = np.flatnonzero(lonely), np.flatnonzero(~lonely)
+def _meet_classes(t: pa.Table) -> pa.Table:
+    """Like pairs of different classes: rows outside a bucket's largest class with its others."""
+    guest = t.column("guest").to_numpy(zero_copy_only=False).astype(bool)
+    major = t.column("major").to_numpy(zero_copy_only=False).astype(bool)
+    nodes, of, sig = t.column("node").to_numpy(), t.column("class").to_numpy(), _sig_matrix(t.column("sig"))
+    a, b = np.flatnonzero(guest), np.flatnonzero(~guest)
+    own, own_of, own_sig, own_major = nodes[b], of[b], sig[b], major[b]
     m, o = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in a:
-        like = b[(sig[b] == sig[i]).sum(1) >= AGREE]
-        m.append(nodes[like])
-        o.append(np.full(len(like), nodes[i]))
+        # two guests meet twice: once is enough
+        at = np.flatnonzero((own_of != of[i]) & (own_major | (own < nodes[i])))
+        at = at[(own_sig[at] == sig[i]).sum(1) >= AGREE]
+        m.append(own[at])
+        o.append(np.full(len(at), nodes[i]))
     return pa.table([pa.array(np.concatenate(m)), pa.array(np.concatenate(o))], names=["node", "leader"])
 
 
-def _second_candidates(inside: DataFrame, tested: DataFrame, edges: DataFrame) -> DataFrame:
-    """For rows that were tested but matched no one: their pairs with every like row of their
-    buckets, so that a row unlike its leader still meets the others."""
-    matched = edges.select("node").unionAll(edges.select(F.col("leader").alias("node")))
-    lonely = materialise(tested.select("node").unionAll(tested.select(F.col("leader").alias("node"))).distinct()
-                         .join(matched.distinct(), "node", "left_anti"), "neardup-lonely")
-    alone = inside.join(lonely, "node", "left_semi")
-    keys = materialise(alone.select("key").distinct(), "neardup-lonely-buckets")
-    everyone = inside.join(keys, "key", "left_semi").select("key", "block", "node", "sig", F.lit(False).alias("lonely"))
-    copies = alone.select("key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "node", "sig",
-                          F.lit(True).alias("lonely"))
-    found = everyone.unionAll(copies).groupBy("key", "block").applyInArrow(_meet_lonely, "node long, leader long")
-    return _once(found).join(tested.select("x", "y"), ["x", "y"], "left_anti")
+def _second_candidates(inside: DataFrame, tested: DataFrame, found: DataFrame) -> DataFrame:
+    """All like pairs of rows in a bucket that are in different classes of the first round
+    (``found``: node, component) and were not tested there.
+
+    After them every like pair of a bucket is tested or in one class, so no round can add a
+    link. Buckets of two rows have met whole. The rows of a bucket's largest class need not
+    meet each other; the others go to each block of MEET rows, in groups of MEET rows.
+    """
+    rows = inside.select("key", "node", "sig").join(found, "node", "left").select(
+        "key", "node", "sig", F.coalesce("component", "node").alias("class"))
+    of_class = rows.groupBy("key", "class").agg(F.count("*").alias("n"))
+    open_ = materialise(of_class.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("top"))
+                        .where("n > 2 and top.n < n")
+                        .select("key", F.col("top.class").alias("largest"),
+                                F.ceil(F.col("n") / MEET).cast("int").alias("blocks"),
+                                F.ceil((F.col("n") - F.col("top.n")) / MEET).cast("int").alias("groups")),
+                        "neardup-open-buckets")
+    rows = rows.join(open_, "key").withColumn("major", F.col("class") == F.col("largest"))
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = rows.select("key", part("blocks").alias("a"), every("groups").alias("b"), "node", "sig", "class", "major",
+                      F.lit(False).alias("guest"))
+    guests = rows.where(~F.col("major")).select("key", every("blocks").alias("a"), part("groups").alias("b"), "node",
+                                                "sig", "class", "major", F.lit(True).alias("guest"))
+    met = own.unionAll(guests).groupBy("key", "a", "b").applyInArrow(_meet_classes, "node long, leader long")
+    return _once(met).join(tested.select("x", "y"), ["x", "y"], "left_anti")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -407,7 +427,8 @@ def _groups(docs: DataFrame, key: str, text: str, similarity: float) -> tuple[Da
     inside = _bucket_rows(sig.join(copies.select("node"), "node", "left_anti"))
     pairs = materialise(_candidates(inside), "neardup-pairs")
     edges = materialise(_verified(docs, pairs, key, text, weights, similarity), "neardup-links")
-    second = materialise(_second_candidates(inside, pairs, edges), "neardup-second-pairs")
+    found = materialise(components(edges), "neardup-first-classes")
+    second = materialise(_second_candidates(inside, pairs, found), "neardup-second-pairs")
     if not second.isEmpty():
         more = _verified(docs, second, key, text, weights, similarity)
         edges = edges.unionAll(materialise(more, "neardup-second-links"))

@@ -508,6 +508,25 @@ def test_pairs_inside_a_template_family(spark):
     assert sum(v == k for k, v in want.items()) >= 100 and all(want[120 + i] == want[60 + i] for i in range(60))
 
 
+@pytest.mark.parametrize("meet", [None, 8])
+def test_links_between_classes_of_a_template_family(spark, monkeypatch, meet):
+    """Chains a-x-y-b whose ends come first: x and y each have a link, and still find each other."""
+    if meet:
+        monkeypatch.setattr(near_dup, "BLOCK", meet)
+        monkeypatch.setattr(near_dup, "MEET", meet)
+    rng = random.Random(22)
+    family = _family(rng, 100, changed=5)
+    ends, middle = [], []
+    for t in family[:25]:
+        chain = [_edit(rng, t, 2)]
+        for _ in range(3):
+            chain.append(_edit(rng, chain[-1], 4))
+        ends += [chain[0], chain[3]]
+        middle += chain[1:3]
+    want = _same_classes(spark, family + ends + middle + middle[:10])
+    assert sum(want[100 + 2 * i] == want[101 + 2 * i] for i in range(25)) >= 15
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(11)
     w = near_dup.Weights(np.zeros((2, 1 << 16)), 10)
