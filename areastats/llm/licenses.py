@@ -1,9 +1,10 @@
 """Licence scan by sentence rules.
 
 1. A text is cut into units (sentence ends and line ends; a known sentence may also begin inside
-   one, at a word that begins such sentences). Units are normalised: lower case,
-   spelling and version forms unified, marks dropped. Up to ``MAX_UNITS`` consecutive units are
-   joined where a sentence is wrapped over lines.
+   one, at words that begin such sentences). Units are normalised: lower case,
+   spelling and version forms unified, marks dropped. Consecutive units are joined where a
+   sentence is wrapped over lines, up to ``LONGEST`` words, whatever the lines' width. A
+   sentence ends where a unit ends.
 2. A normalised sentence that is known maps to its identifier: fixed sentences by lookup, those
    with variable parts (names, versions, addresses) by a pattern over the whole sentence.
 3. The sequence of identifiers is matched against ordered rules, the longest first; up to
@@ -26,7 +27,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_UNITS = 8
 MAX_GAP = 2
 KEYWORDS = ("licen", "copyright", "redistribut", "warrant", "permission", "public domain",
             "damages", "free software", "of the mpl", "this software")
@@ -134,10 +134,16 @@ RULES = (
 _LOOKUP = {v: k for k, v in SENTENCES.items()}
 _COMPILED = [(k, re.compile(v)) for k, v in PATTERNS.items()]
 _STARTER = re.compile(r"\b(?:this (?:work|software|program|file|project|document|library)|licen[sc]ed|released|"
-                      r"distributed|available under|permission (?:is|to)|redistribution|spdx|copyright|"
-                      r"anyone is free)\b", re.IGNORECASE)
+                      r"distributed|available under|under|permission (?:is|to)|redistribution|spdx|copyright|"
+                      r"portions copyright|you (?:may|should)|neither the|see the|if a|in no|".replace(" ", r"[\W_]+")
+                      + "|".join(sorted({r"[\W_]+".join(v.split()[:2]) for v in SENTENCES.values()})) + r")\b",
+                      re.IGNORECASE)
 _UNIT = re.compile(r"[^\n]*?(?:[.!?;:](?=\s|$)|(?=\n)|$)")
-_LONGEST = 900
+#: Words of the longest known sentence; a variable part has up to 120 characters, so 60 words.
+LONGEST = max(*(len(v.split()) for v in SENTENCES.values()),
+              *(len(v.split()) + 60 * len(re.findall(r"\.[*+{]", v)) for v in PATTERNS.values()))
+_SINGLE = [k for k in KEYWORDS if " " not in k]
+_WRAPPED = re.compile("|".join(k.replace(" ", "[^a-z0-9]+") for k in KEYWORDS if " " in k))
 
 
 def normalise(sentence: str) -> str:
@@ -171,28 +177,35 @@ def units(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _from(text: str, spans: list, plain: list[str], i: int, start: int) -> tuple | None:
+    """The known sentence from ``start`` in unit i on, to the end of that or a later unit."""
+    hit, joined = None, ""
+    for j in range(i, len(spans)):
+        end = spans[j][1]
+        joined += " " + (plain[j] if j > i or start == spans[i][0] else normalise(text[start:end]))
+        if joined.count(" ") > LONGEST + 1:
+            break
+        known = identify(normalise(joined))
+        if known and (hit is None or known[0] != "copyright"):
+            hit = (*known, start, end, i, j)
+            if known[0] != "copyright":
+                break
+        if j > i and hit:
+            break
+    return hit
+
+
 def sentences_of(text: str) -> list[tuple[str, dict, int, int, int, int]]:
     """Known sentences: (identifier, details, start, end, first unit, last unit), in order."""
     spans = units(text)
+    plain = [normalise(text[a:b]) for a, b in spans]
     found, i = [], 0
     while i < len(spans):
-        hit = None
-        for j in range(i, min(i + MAX_UNITS, len(spans))):
-            start, end = spans[i][0], spans[j][1]
-            if end - start > _LONGEST:
-                break
-            known = identify(normalise(text[start:end]))
-            if known and (hit is None or known[0] != "copyright"):
-                hit = (*known, start, end, i, j)
-                if known[0] != "copyright":
-                    break
-            if j > i and hit:
-                break
         start, end = spans[i]
+        hit = _from(text, spans, plain, i, start)
         for m in _STARTER.finditer(text, start, end) if hit is None else ():
-            known = identify(normalise(text[m.start():end])) if end - m.start() <= _LONGEST else None
-            if known:
-                hit = (*known, m.start(), end, i, i)
+            hit = _from(text, spans, plain, i, m.start())
+            if hit:
                 break
         if hit:
             found.append(hit)
@@ -240,7 +253,7 @@ def scan_text(text: str | None) -> list[dict]:
     if not text:
         return []
     low = text.lower()
-    if not any(k in low for k in KEYWORDS):
+    if not any(k in low for k in _SINGLE) and not _WRAPPED.search(low):
         return []
     seen = sentences_of(text)
     out, at = [], 0

@@ -122,6 +122,19 @@ def test_license_rules(text, want):
             assert all(0 <= r["start"] < r["end"] <= len(context + text) for r in got)
 
 
+@pytest.mark.parametrize("width", [12, 30, 40, 50, 56, 72])
+def test_licences_wrapped_at_any_width(width):
+    import textwrap
+
+    found = lambda t: [(r["license"], r["rule"]) for r in licenses.scan_text(t)]
+    wrapped = "\n".join(textwrap.fill(p, width, break_long_words=False) for p in MIT.split("\n\n"))
+    assert [r["sentences"][-2:] for r in licenses.scan_text(wrapped)] == [["mit_grant", "mit_notice"]]
+    assert found(wrapped) == [("MIT", "mit_text")]
+    assert found("Some prose, and the code is released\nunder the MIT License.\nMore.") == [("MIT", "mit_line")]
+    assert found("This is free and unencumbered software released into the public\n# domain.") == [
+        ("Unlicense", "unlicense_text")]
+
+
 def test_every_known_sentence_has_a_keyword():
     for s in licenses.SENTENCES.values():
         assert any(k in s for k in licenses.KEYWORDS), s
