@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, langid, licenses, near_dup, packing, quality, secrets, substring, token_file, vafile
+from . import (decontaminate, fptree, langid, licenses, near_dup, packing, phrases, pii, quality, secrets, substring,
+               token_file, vafile)
 from ._spark import held_out, table
 
 
@@ -66,7 +67,22 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digest(docs, pii.fit(docs))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (fptree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+            .select("item_id", "rank", "doc_id", "score"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_quality, op3_licenses, op4_packing, op5_repeats, op6_secrets, op7_token_file, op8_decontamination, op9_topk,
-    op10_near_duplicates)}
-SQL: dict[str, str] = {"op4_packing": packing.SQL, "op5_repeats": substring.SQL, "op9_topk": vafile.SQL}
+    op10_near_duplicates, op11_collocations, op12_personal_data, op13_ranked_search)}
+SQL: dict[str, str] = {"op4_packing": packing.SQL, "op5_repeats": substring.SQL, "op9_topk": vafile.SQL,
+                       "op11_collocations": phrases.SQL, "op13_ranked_search": fptree.SQL}
