@@ -21,6 +21,7 @@ from .. import schemas as S
 from ..functions.measures import MILLION, Measure
 from .company import DEALROOM
 from .explode import explode_las, explode_sites
+from .hot_join import hot_keys, split_join
 from .lookups import Geography
 
 
@@ -95,16 +96,23 @@ def join_itl(rows: DataFrame, geo: Geography, raw: bool = False) -> DataFrame:
 
 def join_coordinates(rows: DataFrame, geo: Geography, location: str = S.POSTCODE) -> DataFrame:
     """Left join to the coordinate file: a postcode with several rows there gives several
-    rows, as in the reference (``Geography.check_keys`` and J12 report such keys)."""
-    co = geo.coordinates
-    return rows.join(co, rows[location] == co[S.PCDS], "left").drop(co[S.PCDS])
+    rows, as in the reference (``Geography.check_keys`` and J12 report such keys). Postcodes
+    with very many rows are dealt to several tasks, with all their lookup rows (``hot_join``)."""
+    counts = rows.groupBy(location).agg(F.count(F.lit(1)).alias("_rows"))
+    lookup = geo.coordinates.withColumnRenamed(S.PCDS, location)
+    return split_join(rows, lookup, location, hot_keys(counts, location, "_rows"), "left")
 
 
 def join_sites_boundary(rows: DataFrame, geo: Geography) -> DataFrame:
-    """Left join to the LA boundaries on ``ladcd`` (boundary name kept apart, T13)."""
-    b = geo.lad_boundary.select(F.col(S.LAD23CD).alias("_b_cd"),
+    """Left join to the LA boundaries on ``ladcd`` (boundary name kept apart, T13).
+
+    The geometry is attached last, to rows that are in place: rows meet names first, and what is
+    shuffled with a row is never a geometry. LAs with very many rows are dealt to several tasks.
+    """
+    counts = rows.groupBy(S.LADCD).agg(F.count(F.lit(1)).alias("_rows"))
+    b = geo.lad_boundary.select(F.col(S.LAD23CD).alias(S.LADCD),
                                 F.col(S.LAD23NM).alias("boundary_" + S.LAD23NM), S.GEOMETRY)
-    return rows.join(b, rows[S.LADCD] == b["_b_cd"], "left").drop("_b_cd")
+    return split_join(rows, b, S.LADCD, hot_keys(counts, S.LADCD, "_rows"), "left")
 
 
 def locate_rows(companies: DataFrame, geo: Geography, basis: Basis,

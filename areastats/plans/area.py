@@ -30,7 +30,7 @@ from ..functions.measures import (UNITS_TYPE, Measure, final_value, merge_state,
 from ..operators.company import SITE_COLUMNS, positive
 from ..operators.locate import BASES, Basis
 from ..operators.lookups import NORTH_REGION_CODES, Geography
-from ..operators.site_pairs import WEIGHT, site_pair_rows
+from ..operators.site_pairs import WEIGHT, distinct_pairs, join_companies, site_companies
 
 # level -> output key column
 LEVELS = {"national": None, "region": S.RGN23NM, "la": S.LAD23NM, "itl2": S.ITL221NM,
@@ -106,17 +106,14 @@ def _weighted_state(measures: list[Measure], prefix: str, weight, where=None) ->
     return cols
 
 
-def basis_rows(companies: DataFrame, basis: Basis, kinds: str,
-               site_pairs: DataFrame | None = None) -> tuple[DataFrame, bool]:
+def basis_rows(companies: DataFrame, basis: Basis, kinds: str) -> tuple[DataFrame, bool]:
     """(rows of the basis, whether they carry weights). With kind ``d`` equal site rows are one
     row with a weight; with kind ``p`` alone the others are filtered out (at the scan)."""
-    weighted = False
-    if basis.name == "sites" and site_pairs is not None:
-        rows, weighted = site_pair_rows(companies, site_pairs, whole_rows="d" in kinds), True
-    elif "d" in kinds:
+    weighted = "d" in kinds
+    if weighted:
         kept = [c for c in SITE_COLUMNS if c in companies.columns]
         rows = basis.rows(companies.select(*kept))
-        rows, weighted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias(WEIGHT)), True
+        rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias(WEIGHT))
     else:
         rows = basis.rows(companies)
     if kinds == "p":
@@ -124,6 +121,35 @@ def basis_rows(companies: DataFrame, basis: Basis, kinds: str,
     return rows, weighted
 
 
+def _long_form_states(companies: DataFrame, basis: Basis, kinds: str, pairs: DataFrame) -> tuple[DataFrame, list]:
+    """(site rows, state columns) from long-form sites: a measure's exact units are worked out
+    once per company and only added up per site."""
+    c = site_companies(companies, pairs)
+    if kinds == "p":
+        c = c.filter(positive())
+    sources = sorted({m.source for kind in kinds for m in state_measures(basis, kind)})
+    units = {m: f"_u_{m}" for m in sources}
+    c = c.withColumns({u: to_units(F.col(m)) for m, u in units.items()} | {"_positive": positive()})
+    value = [*units.values(), "_positive"]
+    if "d" in kinds:
+        rows = distinct_pairs(pairs, c, value)
+    else:
+        rows = join_companies(pairs, c.select(S.COMPANY_KEY, *value), pairs)
+    cols = []
+    for kind in kinds:
+        only = (lambda x: F.when(F.col("_positive"), x)) if kind == "p" and kinds != "p" else (lambda x: x)
+        weight = F.lit(1).cast("bigint") if kind == "d" or "d" not in kinds else F.col(WEIGHT)
+        times = (lambda u: u) if kind == "d" or "d" not in kinds else (lambda u: F.col(WEIGHT).cast(UNITS_TYPE) * u)
+        cols.append(F.coalesce(F.sum(only(weight)), F.lit(0)).cast("bigint").alias(f"{kind}_n"))
+        for m in state_measures(basis, kind):
+            u = F.col(units[m.source])
+            cols.append(F.sum(only(times(u))).cast(UNITS_TYPE).alias(f"{kind}_s_{m.name}"))
+            if m.strict:
+                cols.append(F.coalesce(F.sum(only(F.when(u.isNotNull(), weight))), F.lit(0)).cast("bigint")
+                            .alias(f"{kind}_c_{m.name}"))
+    return rows, cols
+
+
 def location_states(companies: DataFrame, basis_name: str, kinds: str,
                     site_pairs: DataFrame | None = None, whole: bool = False) -> DataFrame:
     """Mergeable states of the given kinds by location key (postcode, or LA code for the
@@ -133,7 +159,10 @@ def location_states(companies: DataFrame, basis_name: str, kinds: str,
     computed without list strings (``operators.site_pairs``); the states are identical.
     """
     basis = BASES[basis_name]
-    rows, weighted = basis_rows(companies, basis, kinds, site_pairs)
+    if basis.name == "sites" and site_pairs is not None:
+        rows, cols = _long_form_states(companies, basis, kinds, site_pairs)
+        return rows.agg(*cols) if whole else rows.groupBy(basis.location).agg(*cols)
+    rows, weighted = basis_rows(companies, basis, kinds)
     cols = []
     for kind in kinds:
         where = positive() if kind == "p" and kinds != "p" else None

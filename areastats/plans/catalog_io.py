@@ -63,21 +63,22 @@ def scan_region_lookup21(spark, sf_dir):
     return R.scan_region_lookup(spark, path, (S.LAD21CD, S.RGN21CD, S.RGN21NM))
 
 
-def _boundary_query(view: str, columns: list[str]):
+def _boundary_query(view: str, columns: list[str], sequence: bool):
     def run(spark, sf_dir):
         b = getattr(_fx(spark, sf_dir), view)()
-        path = W.write_geojson(b, scratch_path(spark, view + "_geojson"), columns)
-        return R.scan_boundaries(spark, path, columns, sequence=True)
+        path = W.write_geojson(b, scratch_path(spark, view + "_geojson"), columns, sequence=sequence)
+        return R.scan_boundaries(spark, path, columns, sequence=sequence)
     return run
 
 
-# Boundary layers written as a sequence of GeoJSON features, read back one row per area
+# Boundary layers written as GeoJSON (a sequence of features; one collection), read back one row per area
 for _name, _view, _cte, _columns in (
         ("scan_boundaries", "lad_boundary", "fx_lad_boundary", [S.LAD23CD, S.LAD23NM]),
         ("scan_boundaries21", "lad_boundary21", "lad_boundary21", [S.LAD21CD, S.LAD21NM]),
         ("scan_itl2_boundaries", "itl2_boundary", "fx_itl2_boundary", [S.ITL221CD, S.ITL221NM])):
-    register(_name, O.with_ctes([_cte], f"SELECT {_cols(*_columns, S.GEOMETRY)} FROM {_cte}"))(
-        _boundary_query(_view, _columns))
+    for _form, _sequence in (("", True), ("_collection", False)):
+        register(_name + _form, O.with_ctes([_cte], f"SELECT {_cols(*_columns, S.GEOMETRY)} FROM {_cte}"))(
+            _boundary_query(_view, _columns, _sequence))
 
 
 @register("normalise_columns", O.with_ctes(["fx_company"], "SELECT " + ", ".join(

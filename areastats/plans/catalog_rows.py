@@ -14,7 +14,7 @@ from ..operators import company as C
 from ..operators import explode as X
 from ..operators import locate as L
 from ..operators.lookups import NORTH_REGION_CODES, north_codes_generated, uniqueness_report
-from ..operators.site_pairs import WEIGHT, site_pair_rows
+from ..operators.site_pairs import WEIGHT, join_companies, site_pair_rows
 from . import layers as M
 from .area import la_headlines
 from .catalog import AREA, NORTH_SQL, SQL, _area_body, _area_ctes, _fx, _with_extra_cte, area, register
@@ -266,13 +266,18 @@ def join_site_postcode(spark, sf_dir):
     return rows.select(S.COMPANY_ID, S.POSTCODE, S.LADCD)
 
 
+def _site_places(fx):
+    """Company number and postcode of every site, from the long form."""
+    ids = fx.company_long().select(S.COMPANY_KEY, S.COMPANY_ID)
+    return join_companies(fx.site_pairs(), ids, fx.site_pairs()).select(S.COMPANY_ID, S.POSTCODE)
+
+
 @register("join_site_coordinates", O.with_ctes(["sites", "fx_coord"], (
     f"SELECT s.{S.COMPANY_ID} AS {S.COMPANY_ID}, s.{S.POSTCODE} AS {S.POSTCODE}, c.oslaua AS oslaua, "
     f"c.pcon AS pcon, c.lat AS lat, c.long AS long, c.lep1 AS lep1 FROM sites s LEFT JOIN fx_coord c ON s.Postcode = c.pcds")))
 def join_site_coordinates(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    rows = X.explode_sites(fx.company()).select(S.COMPANY_ID, S.POSTCODE)
-    return L.join_coordinates(rows, fx.geography).select(
+    return L.join_coordinates(_site_places(fx), fx.geography).select(
         S.COMPANY_ID, S.POSTCODE, S.OSLAUA, S.PCON, S.LAT, S.LONG, S.LEP1)
 
 
@@ -308,8 +313,7 @@ def join_summary_boundary(spark, sf_dir):
     f"FROM sites_located s LEFT JOIN fx_lad_boundary b ON s.ladcd = b.LAD23CD")))
 def join_sites_boundary(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    rows = L.join_postcode(X.explode_sites(fx.company()).select(S.COMPANY_ID, S.POSTCODE),
-                           fx.geography, S.POSTCODE)
+    rows = L.join_postcode(_site_places(fx), fx.geography, S.POSTCODE)
     return L.join_sites_boundary(rows, fx.geography).select(
         S.COMPANY_ID, S.POSTCODE, S.LADCD, "boundary_" + S.LAD23NM, S.GEOMETRY)
 

@@ -83,23 +83,39 @@ def scan_itl_lookup(spark: SparkSession, path: str, raw: bool = False) -> DataFr
     return df if raw else df.distinct()
 
 
-BOUNDARY_SCHEMA = ("type string, features array<struct<type: string, "
-                   "properties: map<string, string>, geometry: string>>")
+FEATURE_SCHEMA = "type string, properties map<string, string>, geometry string"
+#: A feature's type, as every feature of a collection has it once; the collection's own is another.
+FEATURE = '"Feature"'
+
+
+def collection_features(spark: SparkSession, path: str) -> DataFrame:
+    """The features of FeatureCollection documents, split inside a document.
+
+    The text is read in records that end at each ``"Feature"``, so Spark deals one file to
+    several tasks; what follows such a mark up to the end of its object is the rest of a feature
+    (whose members may come in any layout, but ``type`` first). What the mark means can't be
+    told where a property has the value ``Feature`` too; such a file raises, as does a feature
+    that is no whole object. ``multiLine`` reading with one task a file is for those.
+    """
+    raw = spark.read.option("lineSep", FEATURE).text(path).select(F.col("value").alias("rest"))
+    rest = raw.where(~F.ltrim(F.regexp_replace("rest", "^\ufeff", "")).startswith("{"))
+    parsed = rest.select("rest", F.from_json(F.concat(F.lit('{"type":' + FEATURE), "rest"), FEATURE_SCHEMA + ", _bad string",
+                                             {"columnNameOfCorruptRecord": "_bad"}).alias("f"))
+    broken = F.col("f").isNull() | F.col("f._bad").isNotNull() | F.col("f.properties").isNull()
+    bad = F.raise_error(F.concat(F.lit("not a feature of type, then other members: "), F.substring("rest", 1, 80)))
+    checked = parsed.select(F.when(broken, bad.cast("struct<properties: map<string, string>, geometry: string>"))
+                            .otherwise(F.struct("f.properties", "f.geometry")).alias("f"))
+    return checked.select("f.properties", "f.geometry")
 
 
 def scan_boundaries(spark: SparkSession, path: str, properties: list[str],
                     sequence: bool = False) -> DataFrame:
     """GeoJSON boundaries -> one row per area: the named properties + geometry as text.
 
-    A FeatureCollection is one JSON document per file (read whole by one task; boundary
-    files are bounded by the number of areas). ``sequence=True`` reads newline-delimited
-    features (GeoJSONSeq), which Spark splits across tasks.
+    A FeatureCollection is one JSON document per file, split inside the document
+    (``collection_features``). ``sequence=True`` reads newline-delimited features (GeoJSONSeq).
     """
-    if sequence:
-        f = spark.read.schema("type string, properties map<string, string>, geometry string").json(path)
-    else:
-        doc = spark.read.option("multiLine", True).schema(BOUNDARY_SCHEMA).json(path)
-        f = doc.select(F.explode("features").alias("f")).select("f.properties", "f.geometry")
+    f = (spark.read.schema(FEATURE_SCHEMA).json(path) if sequence else collection_features(spark, path))
     return f.select(*[F.col("properties")[p].alias(p) for p in properties], S.GEOMETRY)
 
 
