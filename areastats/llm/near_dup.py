@@ -9,19 +9,25 @@
    each weighted set; two sets agree on a sample with probability equal to their weighted
    Jaccard similarity. Its random variables come from tables addressed by shingle hash bits.
 3. Samples are banded. Inside a bucket (at most ``BLOCK`` rows to a task, more are split into
-   blocks whose leaders are compared block by block), leaders are picked in id order: a row
-   whose samples agree enough with an earlier leader is paired with it, else it leads itself.
+   blocks whose leaders are compared block by block), leaders are picked in the order of nodes: a
+   row whose samples agree enough with an earlier leader is paired with it, else it leads itself.
    Exact copies (by text hash and signature) are linked to the first of them, and only that one
-   is in buckets. After verification the classes so far are found, and every two rows of a bucket
-   that agree enough, are of different classes and were not tested are paired as well.
+   is in buckets.
 4. Every pair is verified on whole texts by exact weighted Jaccard similarity; a leader's pairs
    are split into salted groups with a copy of the leader in each.
-5. Verified pairs form classes (connected components by alternating stars). A class is named
+5. The classes so far are found. Rows of a bucket that are in different classes meet in rounds:
+   a pair counts if its samples agree enough, if it was not tested, and if the weights of both
+   rows by ``HIST`` parts of the shingles' hashes (which never give less than the similarity)
+   allow the threshold. A row asks its best partner in each of its ``ASK`` best classes, the
+   answers are verified, classes are joined, and the next round asks four times as many, until
+   no pair is left to ask. So no link is lost, and rows that are linked already, or can't be,
+   cost no test.
+6. Verified pairs form classes (connected components by alternating stars). A class is named
    by its smallest document id.
 
 With 36 samples in 12 bands of 3, a pair at similarity 0.8 meets in a bucket with probability
-0.9998. Two rows of a bucket that agree enough are compared, unless they are in one class anyway: a
-class of any size costs its rows once, but n unlike texts on one template up to n * n / 2 pairs.
+0.9998. Comparing the parts is done inside the tasks, block by block; what is written and
+verified are the asked pairs only.
 
 Words are runs of characters other than the ASCII spaces. Defined results: a text of fewer
 than five words is one shingle; a null text or one without words is alone in its class; rows
@@ -48,7 +54,9 @@ BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 AGREE = 20                       # of 36 samples: far below what a similarity of 0.8 gives
 BLOCK = 4096
-MEET = 1024                      # rows of each side of a second meeting: at most a million pairs
+MEET = 1024                      # rows of each side of a later meeting: at most a million pairs
+HIST = 128
+ASK = 4
 SALT_ROWS = 256
 SKETCH_BITS = 16
 F0, IDF_FLOOR = 0.02, 0.8
@@ -164,13 +172,35 @@ def samples(grams: np.ndarray, weights: np.ndarray, off: np.ndarray) -> np.ndarr
     return out
 
 
+def parts_of(grams: np.ndarray, weights: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """Of each text with shingles: its weight, a unit, and its weight in each of HIST parts of the
+    hashes in units, rounded up to a byte. The shared weight of two texts is at most the sum of
+    the lesser part of each two."""
+    full = np.flatnonzero(np.diff(off))
+    text = np.repeat(np.arange(len(full)), np.diff(off)[full])
+    part = ((grams >> np.uint64(37)) % np.uint64(HIST)).astype(np.int64)
+    own = np.bincount(text * HIST + part, weights, len(full) * HIST).reshape(-1, HIST)
+    unit = (own.max(axis=1) / 255 * 1.0001).astype(np.float32)
+    head = np.column_stack((own.sum(axis=1).astype(np.float32), unit)).astype("<f4")
+    steps = np.minimum(np.ceil(own / unit[:, None]), 255).astype(np.uint8)
+    return [h.tobytes() + q.tobytes() for h, q in zip(head, steps)]
+
+
+def _parts(column) -> tuple[np.ndarray, np.ndarray]:
+    """Total weights and weights by part, back from bytes."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 8 + HIST)
+    head = np.ascontiguousarray(raw[:, :8]).view("<f4")
+    return head[:, 0], raw[:, 8:].astype(np.float32) * head[:, 1:]
+
+
 def node_of(key: str, text: str):
     """One node for rows with the same id and text."""
     return F.xxhash64(F.col(key), F.col(text), F.lit("node"))
 
 
 def _signatures(docs: DataFrame, key: str, text: str, weights) -> DataFrame:
-    """node, id, copy (text hash), sig (one byte per sample), bands (bucket keys) of all rows with words."""
+    """One row for each node with words: node, id, copy (text hash), sig (one byte per sample), bands
+    (bucket keys), parts (see ``parts_of``). Rows with the same id and text are one node."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
         for whole in it:
@@ -178,7 +208,8 @@ def _signatures(docs: DataFrame, key: str, text: str, weights) -> DataFrame:
                 grams, counts, off = shingle_sets(b.column(3))
                 if not len(grams):
                     continue
-                s = samples(grams, w(grams, counts), off)
+                weight = w(grams, counts)
+                s = samples(grams, weight, off)
                 bands = np.stack([s[:, i * ROWS] * np.uint64(3) + s[:, i * ROWS + 1] * np.uint64(5)
                                   + s[:, i * ROWS + 2] * np.uint64(7) + np.uint64(i) for i in range(BANDS)], axis=1)
                 bands = mix(bands).astype(np.int64)
@@ -188,13 +219,15 @@ def _signatures(docs: DataFrame, key: str, text: str, weights) -> DataFrame:
                     [b.column(0).take(at), b.column(1).take(at), b.column(2).take(at),
                      pa.array([x.tobytes() for x in (s & np.uint64(255)).astype(np.uint8)], pa.binary()),
                      pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS),
-                                              pa.array(bands.ravel()))],
-                    names=["node", "id", "copy", "sig", "bands"])
+                                              pa.array(bands.ravel())),
+                     pa.array(parts_of(grams, weight, off), pa.binary())],
+                    names=["node", "id", "copy", "sig", "bands", "parts"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return (docs.select(node_of(key, text).alias("node"), F.col(key).alias("id"),
-                        F.xxhash64(F.col(text), F.lit("copy")).alias("copy"), F.col(text).alias("text"))
-            .mapInArrow(run, f"node long, id {kind}, copy long, sig binary, bands array<long>"))
+    every = (docs.select(node_of(key, text).alias("node"), F.col(key).alias("id"),
+                         F.xxhash64(F.col(text), F.lit("copy")).alias("copy"), F.col(text).alias("text"))
+             .mapInArrow(run, f"node long, id {kind}, copy long, sig binary, bands array<long>, parts binary"))
+    return every.dropDuplicates(["node"])             # partial on every task, whatever repeats
 
 
 def _copies(sig: DataFrame) -> DataFrame:
@@ -233,7 +266,7 @@ _PAIR = pa.schema([("node", pa.int64()), ("leader", pa.int64()), ("sig", pa.bina
 
 def _by_leaders(t: pa.Table) -> pa.Table:
     """Candidate pairs of one block of one bucket, and its leaders (leader null, with sig)."""
-    t = t.sort_by([("id", "ascending"), ("node", "ascending")])
+    t = t.sort_by("node")
     nodes = t.column("node").to_numpy()
     members, of, leaders = _lead(nodes, _sig_matrix(t.column("sig")))
     m, o = np.concatenate(members), np.concatenate(of)
@@ -269,13 +302,13 @@ def _between_blocks(t: pa.Table) -> pa.Table:
 
 def _bucket_rows(sig: DataFrame) -> DataFrame:
     """The rows of all buckets of several rows, each bucket in blocks of about BLOCK rows."""
-    rows = sig.select("node", "id", "sig", F.explode("bands").alias("key"))
+    rows = sig.select("node", "sig", F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = materialise(sizes, "neardup-buckets")
     return (rows.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
             .withColumn("split", F.col("blocks") > 1)
-            .select("key", "block", "blocks", "split", "node", "id", "sig"))
+            .select("key", "block", "blocks", "split", "node", "sig"))
 
 
 def _once(pairs: DataFrame) -> DataFrame:
@@ -302,33 +335,56 @@ def _candidates(inside: DataFrame) -> DataFrame:
     return _once(pairs.unionAll(across))
 
 
-def _meet_classes(t: pa.Table) -> pa.Table:
-    """Like pairs of different classes: rows outside a bucket's largest class with its others."""
-    guest = t.column("guest").to_numpy(zero_copy_only=False).astype(bool)
-    major = t.column("major").to_numpy(zero_copy_only=False).astype(bool)
-    nodes, of, sig = t.column("node").to_numpy(), t.column("class").to_numpy(), _sig_matrix(t.column("sig"))
-    a, b = np.flatnonzero(guest), np.flatnonzero(~guest)
-    own, own_of, own_sig, own_major = nodes[b], of[b], sig[b], major[b]
-    m, o = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in a:
-        # two guests meet twice: once is enough
-        at = np.flatnonzero((own_of != of[i]) & (own_major | (own < nodes[i])))
-        at = at[(own_sig[at] == sig[i]).sum(1) >= AGREE]
-        m.append(own[at])
-        o.append(np.full(len(at), nodes[i]))
-    return pa.table([pa.array(np.concatenate(m)), pa.array(np.concatenate(o))], names=["node", "leader"])
+def _asker(similarity: float, most: int):
+    """Pairs of different classes to verify: rows outside a bucket's largest class ask others."""
+    def run(t: pa.Table) -> pa.Table:
+        guest = t.column("guest").to_numpy(zero_copy_only=False).astype(bool)
+        major = t.column("major").to_numpy(zero_copy_only=False).astype(bool)
+        nodes, of, sig = t.column("node").to_numpy(), t.column("class").to_numpy(), _sig_matrix(t.column("sig"))
+        total, part = _parts(t.column("parts"))
+        asked = t.column("asked").to_pylist()
+        b = np.flatnonzero(~guest)
+        m, o = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        own, own_of, own_sig, own_major, own_part, own_total = nodes[b], of[b], sig[b], major[b], part[b], total[b]
+        for i in np.flatnonzero(guest):
+            # two guests meet twice: once is enough
+            at = np.flatnonzero((own_of != of[i]) & (own_major | (own < nodes[i])))
+            at = at[(own_sig[at] == sig[i]).sum(1) >= AGREE]
+            shared = np.minimum(own_part[at], part[i]).sum(axis=1)
+            bound = shared / np.maximum(own_total[at] + total[i] - shared, 1e-9)
+            like = bound >= similarity - 1e-3
+            at, bound = at[like], bound[like]
+            if len(at) and asked[i]:
+                new = ~np.isin(own[at], asked[i])
+                at, bound = at[new], bound[new]
+            order = np.lexsort((own[at], -bound))
+            classes: set[int] = set()
+            got = []
+            for j in order:
+                if int(own_of[at[j]]) in classes or int(nodes[i]) in (asked[b[at[j]]] or ()):
+                    continue
+                classes.add(int(own_of[at[j]]))
+                got.append(own[at[j]])
+                if len(got) == most:
+                    break
+            m.append(np.full(len(got), nodes[i]))
+            o.append(np.array(got, np.int64))
+        return pa.table([pa.array(np.concatenate(m)), pa.array(np.concatenate(o))], names=["node", "leader"])
 
+    return run
 
-def _second_candidates(inside: DataFrame, tested: DataFrame, found: DataFrame) -> DataFrame:
-    """All like pairs of rows in a bucket that are in different classes of the first round
-    (``found``: node, component) and were not tested there.
 
-    After them every like pair of a bucket is tested or in one class, so no round can add a
-    link. Buckets of two rows have met whole. The rows of a bucket's largest class need not
-    meet each other; the others go to each block of MEET rows, in groups of MEET rows.
+def _later_candidates(inside: DataFrame, sig: DataFrame, tested: DataFrame, found: DataFrame, similarity: float,
+                      most: int) -> DataFrame:
+    """Pairs of rows of a bucket that are in different classes (``found``: node, component), were
+    not tested and may be similar: of each row the best of at most ``most`` classes.
+
+    Buckets of two rows have met whole. The rows of a bucket's largest class need not meet each
+    other; the others go to each block of MEET rows, in groups of MEET rows. If this finds
+    nothing, every like pair of a bucket is tested, in one class, or can't reach the threshold.
     """
-    rows = inside.select("key", "node", "sig").join(found, "node", "left").select(
-        "key", "node", "sig", F.coalesce("component", "node").alias("class"))
+    rows = inside.select("key", "node").join(found, "node", "left").select(
+        "key", "node", F.coalesce("component", "node").alias("class"))
     of_class = rows.groupBy("key", "class").agg(F.count("*").alias("n"))
     open_ = materialise(of_class.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("top"))
                         .where("n > 2 and top.n < n")
@@ -336,14 +392,18 @@ def _second_candidates(inside: DataFrame, tested: DataFrame, found: DataFrame) -
                                 F.ceil(F.col("n") / MEET).cast("int").alias("blocks"),
                                 F.ceil((F.col("n") - F.col("top.n")) / MEET).cast("int").alias("groups")),
                         "neardup-open-buckets")
-    rows = rows.join(open_, "key").withColumn("major", F.col("class") == F.col("largest"))
+    rows = materialise(rows.join(open_, "key").withColumn("major", F.col("class") == F.col("largest")), "neardup-open")
+    # whom a row was paired with as the member of a pair: a leader a bucket, and whom it asked
+    asked = tested.groupBy("node").agg(F.collect_set("leader").alias("asked"))
+    marks = (sig.select("node", "sig", "parts").join(rows.select("node").distinct(), "node").join(asked, "node", "left"))
+    rows = rows.join(materialise(marks, "neardup-marks"), "node")
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = rows.select("key", part("blocks").alias("a"), every("groups").alias("b"), "node", "sig", "class", "major",
-                      F.lit(False).alias("guest"))
-    guests = rows.where(~F.col("major")).select("key", every("blocks").alias("a"), part("groups").alias("b"), "node",
-                                                "sig", "class", "major", F.lit(True).alias("guest"))
-    met = own.unionAll(guests).groupBy("key", "a", "b").applyInArrow(_meet_classes, "node long, leader long")
+    carried = ["node", "sig", "parts", "asked", "class", "major"]
+    own = rows.select("key", part("blocks").alias("a"), every("groups").alias("b"), *carried, F.lit(False).alias("guest"))
+    guests = rows.where(~F.col("major")).select("key", every("blocks").alias("a"), part("groups").alias("b"), *carried,
+                                                F.lit(True).alias("guest"))
+    met = own.unionAll(guests).groupBy("key", "a", "b").applyInArrow(_asker(similarity, most), "node long, leader long")
     return _once(met).join(tested.select("x", "y"), ["x", "y"], "left_anti")
 
 
@@ -366,6 +426,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, weights, s
         F.col("leader").alias("node"), "leader", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"),
         F.lit(True).alias("leads"))
     texts = docs.select(node_of(key, text).alias("node"), F.col(text).alias("text"))
+    many = materialise(texts.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"),
+                       "neardup-repeated-nodes")
+    texts = texts.join(many, "node", "left_anti").unionAll(
+        texts.join(many, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
     rows = texts.join(members.unionAll(heads), "node").select("leader", "salt", "leads", "node", "text")
 
     def verify(t: pa.Table) -> pa.Table:
@@ -375,8 +439,6 @@ def _verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, weights, s
         head = None
         order = sorted(range(len(leads)), key=lambda i: not leads[i])
         for i in order:
-            if leads[i] and head is not None:
-                continue                              # a repeated row of the leader
             grams, counts, _ = shingle_sets(t.column("text").slice(i, 1).combine_chunks())
             own = (grams, w(grams, counts))
             if leads[i]:
@@ -427,15 +489,20 @@ def _groups(docs: DataFrame, key: str, text: str, similarity: float) -> tuple[Da
     inside = _bucket_rows(sig.join(copies.select("node"), "node", "left_anti"))
     pairs = materialise(_candidates(inside), "neardup-pairs")
     edges = materialise(_verified(docs, pairs, key, text, weights, similarity), "neardup-links")
-    found = materialise(components(edges), "neardup-first-classes")
-    second = materialise(_second_candidates(inside, pairs, found), "neardup-second-pairs")
-    if not second.isEmpty():
-        more = _verified(docs, second, key, text, weights, similarity)
-        edges = edges.unionAll(materialise(more, "neardup-second-links"))
+    most = ASK
+    while True:
+        found = materialise(components(edges), "neardup-classes-so-far")
+        more = materialise(_later_candidates(inside, sig, pairs, found, similarity, most), "neardup-asked")
+        if more.isEmpty():
+            break
+        links = _verified(docs, more, key, text, weights, similarity)
+        edges = materialise(edges.unionAll(links), "neardup-links")
+        pairs = materialise(pairs.unionByName(more), "neardup-tested")
+        most *= 4
     edges = edges.select("node", "leader").unionAll(copies)
     links = (edges.select("node").unionAll(edges.select(F.col("leader").alias("node")))
              .groupBy("node").agg(F.count("*").alias("links")))
-    return sig.select("node", "id").distinct(), components(edges).join(links, "node")
+    return sig.select("node", "id"), components(edges).join(links, "node")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
