@@ -13,15 +13,15 @@
    row whose samples agree enough with an earlier leader is paired with it, else it leads itself.
    Exact copies (by text hash and signature) are linked to the first of them, and only that one
    is in buckets.
-4. Every pair is verified on whole texts by exact weighted Jaccard similarity; a leader's pairs
-   are split into salted groups with a copy of the leader in each.
+4. A pair is dropped if the weights of both rows by ``HIST`` parts of the shingles' hashes don't
+   allow the threshold (they never give less than the similarity). Every other pair is verified
+   on whole texts by exact weighted Jaccard similarity; a leader's pairs are split into salted
+   groups with a copy of the leader in each.
 5. The classes so far are found. Rows of a bucket that are in different classes meet in rounds:
-   a pair counts if its samples agree enough, if it was not tested, and if the weights of both
-   rows by ``HIST`` parts of the shingles' hashes (which never give less than the similarity)
-   allow the threshold. A row asks its best partner in each of its ``ASK`` best classes, the
-   answers are verified, classes are joined, and the next round asks four times as many, until
-   no pair is left to ask. So no link is lost, and rows that are linked already, or can't be,
-   cost no test.
+   a pair counts if its samples agree enough, if it was not tested, and if the parts allow the
+   threshold. In the first round a row asks its best partner in each of a few classes,
+   the answers are verified and classes joined; the next asks more (``ASK``), the last all that
+   is left. So no link is lost, and rows that are linked already, or can't be, cost no test.
 6. Verified pairs form classes (connected components by alternating stars). A class is named
    by its smallest document id.
 
@@ -56,7 +56,7 @@ AGREE = 20                       # of 36 samples: far below what a similarity of
 BLOCK = 4096
 MEET = 1024                      # rows of each side of a later meeting: at most a million pairs
 HIST = 128
-ASK = 4
+ASK = ((16, 2), (1 << 62, 1 << 62))   # partners of a row, and those of one class, by round
 SALT_ROWS = 256
 SKETCH_BITS = 16
 F0, IDF_FLOOR = 0.02, 0.8
@@ -335,7 +335,7 @@ def _candidates(inside: DataFrame) -> DataFrame:
     return _once(pairs.unionAll(across))
 
 
-def _asker(similarity: float, most: int):
+def _asker(similarity: float, most: int, of_class: int):
     """Pairs of different classes to verify: rows outside a bucket's largest class ask others."""
     def run(t: pa.Table) -> pa.Table:
         guest = t.column("guest").to_numpy(zero_copy_only=False).astype(bool)
@@ -357,31 +357,31 @@ def _asker(similarity: float, most: int):
             if len(at) and asked[i]:
                 new = ~np.isin(own[at], asked[i])
                 at, bound = at[new], bound[new]
-            order = np.lexsort((own[at], -bound))
-            classes: set[int] = set()
-            got = []
-            for j in order:
-                if int(own_of[at[j]]) in classes or int(nodes[i]) in (asked[b[at[j]]] or ()):
-                    continue
-                classes.add(int(own_of[at[j]]))
-                got.append(own[at[j]])
-                if len(got) == most:
-                    break
+            if not len(at):
+                continue
+            known = [j for j in range(len(at)) if asked[b[at[j]]] is not None and nodes[i] in asked[b[at[j]]]]
+            at, bound = np.delete(at, known), np.delete(bound, known)
+            order = np.lexsort((own[at], -bound, own_of[at]))     # the best of each class first
+            classes = own_of[at][order]
+            place = np.arange(len(order)) - np.searchsorted(classes, classes)
+            order = order[place < of_class]
+            order = order[np.argsort(-bound[order], kind="stable")][:most]
+            got = own[at][order]
             m.append(np.full(len(got), nodes[i]))
-            o.append(np.array(got, np.int64))
+            o.append(got)
         return pa.table([pa.array(np.concatenate(m)), pa.array(np.concatenate(o))], names=["node", "leader"])
 
     return run
 
 
 def _later_candidates(inside: DataFrame, sig: DataFrame, tested: DataFrame, found: DataFrame, similarity: float,
-                      most: int) -> DataFrame:
+                      ask: tuple[int, int]) -> DataFrame:
     """Pairs of rows of a bucket that are in different classes (``found``: node, component), were
-    not tested and may be similar: of each row the best of at most ``most`` classes.
+    not tested and may be similar: of each row at most ``ask`` partners (in all, in a class).
 
     Buckets of two rows have met whole. The rows of a bucket's largest class need not meet each
-    other; the others go to each block of MEET rows, in groups of MEET rows. If this finds
-    nothing, every like pair of a bucket is tested, in one class, or can't reach the threshold.
+    other; the others go to each block of MEET rows, in groups of MEET rows. After the last round
+    every like pair of a bucket is tested, in one class, or can't reach the threshold.
     """
     rows = inside.select("key", "node").join(found, "node", "left").select(
         "key", "node", F.coalesce("component", "node").alias("class"))
@@ -403,7 +403,7 @@ def _later_candidates(inside: DataFrame, sig: DataFrame, tested: DataFrame, foun
     own = rows.select("key", part("blocks").alias("a"), every("groups").alias("b"), *carried, F.lit(False).alias("guest"))
     guests = rows.where(~F.col("major")).select("key", every("blocks").alias("a"), part("groups").alias("b"), *carried,
                                                 F.lit(True).alias("guest"))
-    met = own.unionAll(guests).groupBy("key", "a", "b").applyInArrow(_asker(similarity, most), "node long, leader long")
+    met = own.unionAll(guests).groupBy("key", "a", "b").applyInArrow(_asker(similarity, *ask), "node long, leader long")
     return _once(met).join(tested.select("x", "y"), ["x", "y"], "left_anti")
 
 
@@ -415,6 +415,22 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return shared / total if total else 0.0
 
 
+def _possible(pairs: DataFrame, sig: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (node, leader) whose weights by parts allow the threshold."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if b.num_rows:
+                (x, own), (y, other) = _parts(b.column(2)), _parts(b.column(3))
+                shared = np.minimum(own, other).sum(axis=1)
+                like = shared / np.maximum(x + y - shared, 1e-9) >= similarity - 1e-3
+                yield b.select(["node", "leader"]).filter(pa.array(like))
+
+    own = sig.select("node", F.col("parts").alias("own"))
+    other = sig.select(F.col("node").alias("leader"), F.col("parts").alias("other"))
+    return (pairs.select("node", "leader").join(own, "node").join(other, "leader").select("node", "leader", "own", "other")
+            .mapInArrow(run, "node long, leader long"))
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, weights, similarity: float) -> DataFrame:
     """The pairs (node, leader, similarity) at or above the threshold."""
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
@@ -488,17 +504,16 @@ def _groups(docs: DataFrame, key: str, text: str, similarity: float) -> tuple[Da
     copies = materialise(_copies(sig), "neardup-copies")
     inside = _bucket_rows(sig.join(copies.select("node"), "node", "left_anti"))
     pairs = materialise(_candidates(inside), "neardup-pairs")
-    edges = materialise(_verified(docs, pairs, key, text, weights, similarity), "neardup-links")
-    most = ASK
-    while True:
+    likely = materialise(_possible(pairs, sig, similarity), "neardup-likely")
+    edges = materialise(_verified(docs, likely, key, text, weights, similarity), "neardup-links")
+    for ask in ASK:
         found = materialise(components(edges), "neardup-classes-so-far")
-        more = materialise(_later_candidates(inside, sig, pairs, found, similarity, most), "neardup-asked")
+        more = materialise(_later_candidates(inside, sig, pairs, found, similarity, ask), "neardup-asked")
         if more.isEmpty():
             break
         links = _verified(docs, more, key, text, weights, similarity)
         edges = materialise(edges.unionAll(links), "neardup-links")
         pairs = materialise(pairs.unionByName(more), "neardup-tested")
-        most *= 4
     edges = edges.select("node", "leader").unionAll(copies)
     links = (edges.select("node").unionAll(edges.select(F.col("leader").alias("node")))
              .groupBy("node").agg(F.count("*").alias("links")))
