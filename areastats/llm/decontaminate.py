@@ -5,8 +5,10 @@ own full score, so a passage that contains an item scores 1 against it and one t
 serves all items. Items are ordered by length and cut into blocks; each term also keeps its
 largest weight in each block (block-max).
 
-Passages are twice as many words as the longest item, one longest item apart, so every item
-that stands in a text stands whole in some passage. Retrieval is exact for the threshold:
+Items are searched by classes of length: up to 8 words, 16, 32 and so on. The passages of a class
+are twice that many words, one such length apart, so every item that stands in a text stands whole
+in some passage; an item's passages depend on its own length alone, not on what else is in the
+benchmark or in its group. Retrieval is exact for the threshold:
 
 1. WAND: the most frequent terms, as long as together they can't reach half the threshold for
    any item, are non-essential: they count with that one bound. A passage whose other terms'
@@ -119,7 +121,7 @@ def grams(words: np.ndarray, n: int = 3) -> np.ndarray:
 
 
 class Index:
-    """Postings with normalised BM25 weights, block maxima, and the items' words."""
+    """The items' words and terms, and a ``_LengthClass`` for each class of lengths."""
 
     def __init__(self, items: list[tuple], n: int, mean: float, df: dict[int, int],
                  threshold: float, block: int = 16, k1: float = 1.2, b: float = 0.75):
@@ -127,8 +129,6 @@ class Index:
         items = sorted(items, key=lambda i: len(i[1]) + len(i[2]))
         self.ids = [i[0] for i in items]
         self.parts = [(i[1], i[2]) for i in items]
-        self.longest = max(len(q) + len(a) for q, a in self.parts)
-        self.threshold, self.block = threshold, block
         triples = []
         for at, (q, a) in enumerate(self.parts):
             terms, tf = np.unique(np.concatenate((q, a)), return_counts=True)
@@ -137,27 +137,14 @@ class Index:
             w = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * (len(q) + len(a)) / mean))
             triples.append((terms, np.full(len(terms), at), w / w.sum()))
         terms, item, w = (np.concatenate([t[j] for t in triples]) for j in range(3))
-        order = np.lexsort((item, terms))
-        terms, self.item, self.weight = terms[order], item[order], w[order]
-        self.terms, start = np.unique(terms, return_index=True)
-        self.start = np.append(start, len(terms))
-        self.n_blocks = -(-len(items) // block)
-        code = np.repeat(np.arange(len(self.terms)), np.diff(self.start)) * self.n_blocks + self.item // block
-        at = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-        self.block_of = code[at] % self.n_blocks
-        self.block_max = np.maximum.reduceat(self.weight, at)
-        self.block_start = np.searchsorted(code[at], np.arange(len(self.terms) + 1) * self.n_blocks)
-        top = np.maximum.reduceat(self.weight, self.start[:-1])
-        # non-essential terms: frequent ones first, while together under half the threshold
-        sums, common = np.zeros(len(items)), np.zeros(len(self.terms), bool)
-        for t in np.argsort(-np.diff(self.start), kind="stable"):
-            p = slice(self.start[t], self.start[t + 1])
-            if (sums[self.item[p]] + self.weight[p]).max() > threshold / 2:
-                break
-            sums[self.item[p]] += self.weight[p]
-            common[t] = True
-        self.base = float(sums.max())
-        self.essential_max = np.append(np.where(common, 0.0, top), 0.0)
+        self.terms, number = np.unique(terms, return_inverse=True)
+        length = np.array([len(q) + len(a) for q, a in self.parts])
+        size = 8 << np.maximum(0, np.ceil(np.log2(np.maximum(length, 1) / 8)).astype(int))
+        self.classes = []
+        for c in np.unique(size):
+            own, members = np.flatnonzero(size[item] == c), np.flatnonzero(size == c)
+            self.classes.append(_LengthClass(int(c), members, number[own], np.searchsorted(members, item[own]), w[own],
+                                             len(self.terms), threshold, block))
         bits = max(16, int(4 * len(self.terms)).bit_length() + 2)
         self.mask = np.uint64((1 << bits) - 1)
         self.known = np.zeros(1 << bits, bool)
@@ -173,6 +160,54 @@ class Index:
         out[maybe[hit]] = at[hit]
         return out
 
+    def search(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+        """(text number, first word, last word + 1, item, score) of all hits, unverified."""
+        number = self.numbers(words)
+        for c in self.classes:
+            yield from c.search(number, first)
+
+    def overlaps(self, item: int, passage: np.ndarray) -> tuple[float, float]:
+        """Shares of the question's and of the answer's trigrams that the passage has."""
+        out = []
+        for part in self.parts[item]:
+            if not len(part):
+                out.append(1.0)
+                continue
+            n = min(3, len(part))
+            own = grams(part, n)
+            out.append(float(np.isin(own, grams(passage, n)).mean()) if len(passage) >= n else 0.0)
+        return out[0], out[1]
+
+
+class _LengthClass:
+    """Postings with normalised BM25 weights and block maxima of the items of one class."""
+
+    def __init__(self, size: int, members: np.ndarray, terms: np.ndarray, item: np.ndarray, weight: np.ndarray,
+                 n_terms: int, threshold: float, block: int):
+        """members: the index's numbers of the items; terms, item, weight: their postings."""
+        self.size, self.members, self.threshold, self.block, self.n_terms = size, members, threshold, block, n_terms
+        order = np.lexsort((item, terms))
+        terms, self.item, self.weight = terms[order], item[order], weight[order]
+        self.start = np.searchsorted(terms, np.arange(n_terms + 1))
+        self.n_blocks = -(-len(members) // block)
+        code = terms * self.n_blocks + self.item // block
+        at = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        self.block_of = code[at] % self.n_blocks
+        self.block_max = np.maximum.reduceat(self.weight, at)
+        self.block_start = np.searchsorted(code[at], np.arange(n_terms + 1) * self.n_blocks)
+        top = np.zeros(n_terms + 1)
+        np.maximum.at(top, terms, self.weight)
+        # non-essential terms: frequent ones first, while together under half the threshold
+        sums = np.zeros(len(members))
+        for t in np.argsort(-np.diff(self.start), kind="stable"):
+            p = slice(self.start[t], self.start[t + 1])
+            if p.start == p.stop or (sums[self.item[p]] + self.weight[p]).max() > threshold / 2:
+                break
+            sums[self.item[p]] += self.weight[p]
+            top[t] = 0.0
+        self.base = float(sums.max())
+        self.essential_max = top
+
     def _gather(self, terms: np.ndarray, start: np.ndarray) -> np.ndarray:
         n = start[terms + 1] - start[terms]
         return np.repeat(start[terms] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
@@ -189,38 +224,23 @@ class Index:
             return []
         p = self._gather(terms, self.start)
         p = p[alive[self.item[p] // self.block]]
-        score = np.bincount(self.item[p], self.weight[p], len(self.ids))
-        return [(int(i), float(score[i])) for i in np.flatnonzero(score >= self.threshold - eps)]
+        score = np.bincount(self.item[p], self.weight[p], len(self.members))
+        return [(int(self.members[i]), float(score[i])) for i in np.flatnonzero(score >= self.threshold - eps)]
 
-    def search(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
-        """(text number, first word, last word + 1, item, score) of all hits, unverified."""
-        number = self.numbers(words)
+    def search(self, number: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
         sums = np.concatenate(([0.0], np.cumsum(self.essential_max[number])))
-        width, step = 2 * self.longest, self.longest
+        width, step = 2 * self.size, self.size
         n = np.diff(first)
         count = np.where(n > 0, 1 + np.maximum(0, -(-(n - width) // step)), 0)
         text = np.repeat(np.arange(len(n)), count)
         k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         a = first[text] + k * step
         z = np.minimum(a + width, first[text + 1])
-        live = np.flatnonzero(self.base + sums[z] - sums[a] >= self.threshold - 1e-6)
-        for i in live:
+        for i in np.flatnonzero(self.base + sums[z] - sums[a] >= self.threshold - 1e-6):
             terms = np.unique(number[a[i]:z[i]])
-            for item, score in self.retrieve(terms[terms < len(self.terms)]):
+            for item, score in self.retrieve(terms[terms < self.n_terms]):
                 yield int(text[i]), int(a[i]), int(z[i]), item, score
 
-    def overlaps(self, item: int, passage: np.ndarray) -> tuple[float, float]:
-        """Shares of the question's and of the answer's trigrams that the passage has."""
-        out = []
-        for part in self.parts[item]:
-            if not len(part):
-                out.append(1.0)
-                continue
-            n = min(3, len(part))
-            own = grams(part, n)
-            out.append(float(np.isin(own, grams(passage, n)).mean()) if len(passage) >= n else 0.0)
-        return out[0], out[1]
-
 
 def _load_items(items: DataFrame, key: str, text: str, answer: str | None):
     cols = [F.col(key).alias("key"), F.col(text).alias("q"),

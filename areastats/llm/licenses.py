@@ -2,9 +2,11 @@
 
 1. A text is cut into units (sentence ends and line ends; a known sentence may also begin inside
    one, at words that begin such sentences). Units are normalised: lower case,
-   spelling and version forms unified, marks dropped. Consecutive units are joined where a
-   sentence is wrapped over lines, up to ``LONGEST`` words, whatever the lines' width. A
-   sentence ends where a unit ends.
+   spelling and version forms unified, marks dropped; units without words don't count.
+   Consecutive units are joined where a sentence is wrapped over lines, up to ``LONGEST`` words,
+   whatever the lines' width, and only as long as some known sentence can go on like this (its
+   word prefixes; patterns by partial matching). A sentence ends where a unit ends, and holds
+   one of the ``KEYWORDS``: units too far before the next of them begin none.
 2. A normalised sentence that is known maps to its identifier: fixed sentences by lookup, those
    with variable parts (names, versions, addresses) by a pattern over the whole sentence.
 3. The sequence of identifiers is matched against ordered rules, the longest first; up to
@@ -21,9 +23,11 @@ extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,7 +78,7 @@ SENTENCES = {
 #: Sentences with variable parts. Named groups become the licence's details.
 PATTERNS = {
     "spdx": r"spdx license identifier (?P<name>.+)",
-    "copyright": r"(?:portions )?copyright (?:c )?[0-9 ]*.*",
+    "copyright": r"(?:portions )?copyright (?:c|by|[0-9]{4})(?: .*)?|(?:portions )?copyright .{1,120} all rights reserved",
     "apache_copy": r"you may obtain a copy of the license at(?: .*)?",
     "apache_short": r"(?:this .{1,60} is |released |distributed |licensed |available )*(?:licensed |released )?under "
                     r"(?:the )?apache license(?: version)? (?P<version>2\.0)(?: license)?",
@@ -132,7 +136,10 @@ RULES = (
 )
 
 _LOOKUP = {v: k for k, v in SENTENCES.items()}
-_COMPILED = [(k, re.compile(v)) for k, v in PATTERNS.items()]
+#: Every run of first words of a fixed sentence.
+_PREFIXES = {" ".join(v.split()[:n]) for v in SENTENCES.values() for n in range(1, len(v.split()) + 1)}
+_COMPILED = [(k, regex.compile(v)) for k, v in PATTERNS.items()]
+_VERSION = re.compile(r"\bv(?:er(?:sion)?)? ?(?=[0-9])|\bversion +(?=[0-9])")
 _STARTER = re.compile(r"\b(?:this (?:work|software|program|file|project|document|library)|licen[sc]ed|released|"
                       r"distributed|available under|under|permission (?:is|to)|redistribution|spdx|copyright|"
                       r"portions copyright|you (?:may|should)|neither the|see the|if a|in no|".replace(" ", r"[\W_]+")
@@ -144,25 +151,29 @@ LONGEST = max(*(len(v.split()) for v in SENTENCES.values()),
               *(len(v.split()) + 60 * len(re.findall(r"\.[*+{]", v)) for v in PATTERNS.values()))
 _SINGLE = [k for k in KEYWORDS if " " not in k]
 _WRAPPED = re.compile("|".join(k.replace(" ", "[^a-z0-9]+") for k in KEYWORDS if " " in k))
+_KEYWORD = re.compile("|".join(k.replace(" ", "[^a-z0-9]+") for k in KEYWORDS))
 
 
 def normalise(sentence: str) -> str:
     s = sentence.lower().replace("licence", "license")
     s = re.sub(r"[^a-z0-9.]+", " ", s)
     s = re.sub(r"\.(?![0-9])|(?<![0-9])\.", " ", s)
-    s = re.sub(r"\bv(?:er(?:sion)?)? ?(?=[0-9])|\bversion +(?=[0-9])", "version ", s)
+    s = _VERSION.sub("version ", s)
     return " ".join(s.split())
 
 
-def identify(sentence: str) -> tuple[str, dict] | None:
-    """Identifier and details of a normalised sentence, if it is known."""
+def identify(sentence: str) -> tuple[tuple[str, dict] | None, bool]:
+    """Identifier and details of a normalised sentence, if it is known, and whether a known one
+    can begin with these words."""
     if sentence in _LOOKUP:
-        return _LOOKUP[sentence], {}
+        return (_LOOKUP[sentence], {}), True
+    open_ = sentence in _PREFIXES
     for name, p in _COMPILED:
-        m = p.fullmatch(sentence)
-        if m:
-            return name, {k: v.strip() for k, v in m.groupdict().items() if v}
-    return None
+        m = p.fullmatch(sentence, partial=True)
+        if m and not m.partial:
+            return (name, {k: v.strip() for k, v in m.groupdict().items() if v}), True
+        open_ = open_ or m is not None or p.fullmatch(sentence + " ", partial=True) is not None
+    return None, open_
 
 
 def units(text: str) -> list[tuple[int, int]]:
@@ -182,28 +193,50 @@ def _from(text: str, spans: list, plain: list[str], i: int, start: int) -> tuple
     hit, joined = None, ""
     for j in range(i, len(spans)):
         end = spans[j][1]
-        joined += " " + (plain[j] if j > i or start == spans[i][0] else normalise(text[start:end]))
+        more = plain[j] if j > i or start == spans[i][0] else normalise(text[start:end])
+        joined = f"{joined} {more}" if joined else more
+        if j > i and more[0].isdigit():
+            joined = _VERSION.sub("version ", joined)
         if joined.count(" ") > LONGEST + 1:
             break
-        known = identify(normalise(joined))
+        known, open_ = identify(joined)
         if known and (hit is None or known[0] != "copyright"):
             hit = (*known, start, end, i, j)
             if known[0] != "copyright":
                 break
-        if j > i and hit:
+        if (j > i and hit) or not open_:
             break
     return hit
 
 
+def _near_keywords(text: str, spans: list, plain: list[str]) -> list[bool]:
+    """Whether a keyword stands in the LONGEST + 2 words from a unit's start on."""
+    low = text.lower()
+    if len(low) != len(text):                              # positions would not be the text's
+        return [True] * len(spans)
+    at = [m.start() for m in _KEYWORD.finditer(low)]
+    words, out = [0], []
+    for p in plain:
+        words.append(words[-1] + p.count(" ") + 1)
+    starts = [a for a, _ in spans]
+    ahead = -1                                              # the unit that holds the next keyword
+    for i in range(len(spans) - 1, -1, -1):
+        while at and at[-1] >= starts[i]:
+            ahead = bisect_right(starts, at.pop()) - 1
+        out.append(ahead >= 0 and words[ahead] - words[i] <= LONGEST + 2)
+    return out[::-1]
+
+
 def sentences_of(text: str) -> list[tuple[str, dict, int, int, int, int]]:
     """Known sentences: (identifier, details, start, end, first unit, last unit), in order."""
-    spans = units(text)
-    plain = [normalise(text[a:b]) for a, b in spans]
+    pairs = [(u, p) for u in units(text) if (p := normalise(text[u[0]:u[1]]))]
+    spans, plain = [u for u, _ in pairs], [p for _, p in pairs]
+    near = _near_keywords(text, spans, plain)
     found, i = [], 0
     while i < len(spans):
         start, end = spans[i]
-        hit = _from(text, spans, plain, i, start)
-        for m in _STARTER.finditer(text, start, end) if hit is None else ():
+        hit = _from(text, spans, plain, i, start) if near[i] else None
+        for m in _STARTER.finditer(text, start, end) if hit is None and near[i] else ():
             hit = _from(text, spans, plain, i, m.start())
             if hit:
                 break

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -135,6 +137,68 @@ def test_licences_wrapped_at_any_width(width):
         ("Unlicense", "unlicense_text")]
 
 
+def _plain_sentences(text):
+    """Every span of units from every unit and starter, each normalised and identified anew."""
+    spans = [u for u in licenses.units(text) if licenses.normalise(text[u[0]:u[1]])]
+
+    def known(start, i):
+        hit = None
+        for j in range(i, len(spans)):
+            s = licenses.normalise(" ".join([text[start:spans[i][1]]] + [text[a:b] for a, b in spans[i + 1:j + 1]]))
+            if s.count(" ") > licenses.LONGEST:
+                break
+            got = licenses._LOOKUP.get(s)
+            for name, p in licenses.PATTERNS.items():
+                got = got or (name if re.fullmatch(p, s) else None)
+            if got and (hit is None or got != "copyright"):
+                hit = (got, start, spans[j][1], j)
+                if got != "copyright":
+                    break
+            if j > i and hit:
+                break
+        return hit
+
+    out, i = [], 0
+    while i < len(spans):
+        starts = [spans[i][0], *(m.start() for m in licenses._STARTER.finditer(text, *spans[i]))]
+        hit = next((h for h in (known(s, i) for s in starts) if h), None)
+        out += [hit[:3]] if hit else []
+        i = hit[3] + 1 if hit else i + 1
+    return out
+
+
+def test_sentences_against_every_span():
+    rng = random.Random(33)
+    known = list(licenses.SENTENCES.values()) + [
+        "Copyright (c) 2020 Some One", "Licensed under CC BY-NC 4.0", "released under the MIT License", "SPDX-License-Identifier: MIT",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or at your option any later version"]
+    junk = ["!!", "...", "a", "one two", "Some prose about permission and warranty", "the software", "is free", "version", "2.0", "Copyright law"]
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            t = rng.choice(known + junk * 2)
+            w = t.split()
+            if rng.random() < 0.4:
+                w[rng.randrange(len(w))] = rng.choice(junk)
+            sep = [" ", "\n", "\n# "]
+            parts.append("".join(x + rng.choice(sep if rng.random() < 0.3 else [" "]) for x in w))
+        text = rng.choice([". ", "\n", "!! "]).join(parts)
+        assert [(s[0], s[2], s[3]) for s in licenses.sentences_of(text)] == _plain_sentences(text), text
+
+
+def test_licence_scan_is_linear_and_leaves_prose_alone():
+    for text in ("permission " + "!! " * 10_000, "copyright. " + "a. " * 10_000, "license\n" + "this work is\n" * 5_000):
+        at = time.perf_counter()
+        licenses.scan_text(text)
+        assert time.perf_counter() - at < 20
+    for prose in ("Copyright law is a matter of national policy.", "Copyright is complicated.",
+                  "He has permission to use the software without warranty."):
+        assert licenses.scan_text(prose) == []
+    assert [r["rule"] for r in licenses.scan_text("Copyright 2021 Some One")] == ["copyright"]
+    assert [r["rule"] for r in licenses.scan_text("Copyright The Authors. All rights reserved")] in ([], ["copyright"])
+
+
 def test_every_known_sentence_has_a_keyword():
     for s in licenses.SENTENCES.values():
         assert any(k in s for k in licenses.KEYWORDS), s
@@ -322,7 +386,8 @@ def _leaks(docs, items, threshold=0.6):
     parts = {i: tuple(map(_words, decontaminate.split_item(t))) for i, t in items if t}
     full = {i: q + a for i, (q, a) in parts.items() if q + a}
     df = Counter(t for w in full.values() for t in set(w))
-    mean, longest = np.mean([len(w) for w in full.values()]), max(len(w) for w in full.values())
+    mean = np.mean([len(w) for w in full.values()])
+    size = {i: next(8 << k for k in range(40) if len(w) <= 8 << k) for i, w in full.items()}
     weight = {}
     for i, w in full.items():
         tf = Counter(w)
@@ -333,10 +398,10 @@ def _leaks(docs, items, threshold=0.6):
     out = set()
     for doc, text in docs:
         w = _words(text or "")
-        for a in range(0, max(1, len(w)), longest):
-            passage = w[a:a + 2 * longest]
-            own = set(passage)
-            for i in full:
+        for i, a in ((i, a) for i in full for a in range(0, max(1, len(w) - size[i]), size[i])):
+            if w:
+                passage = w[a:a + 2 * size[i]]
+                own = set(passage)
                 if sum(x for t, x in weight[i].items() if t in own) < threshold - 1e-9:
                     continue
                 shares = []
@@ -346,11 +411,24 @@ def _leaks(docs, items, threshold=0.6):
                     shares.append(len(grams & trigrams(passage, n)) / len(grams) if grams else 1.0)
                 if shares[0] >= 0.6 and shares[1] >= 0.5:
                     out.add((doc, i))
-            if a + 2 * longest >= len(w):
-                break
     return out
 
 
+def test_an_item_is_found_the_same_beside_any_others(spark):
+    """Scattered trigrams of a short item are no leak, however long the other items are."""
+    rng = random.Random(88)
+    short = " ".join(f"s{i}" for i in range(14))
+    long = " ".join(f"l{rng.randrange(6000)}" for _ in range(3000))
+    pieces = [" ".join(f"s{j}" for j in range(i, i + 3)) for i in range(12)]
+    scattered = " ".join(p + " " + " ".join(f"z{rng.randrange(500)}" for _ in range(200)) for p in pieces)
+    docs = spark.createDataFrame([(1, scattered), (2, f"a b {short} c d"), (3, f"x y {long} z")], "doc_id long, text string")
+    for others in ([], [(2, long)], [(2, long), (3, "one two three four five six seven eight nine")]):
+        items = spark.createDataFrame([(1, short), *others], "item_id long, text string")
+        for size in (32 << 20, 100):
+            got = {(r.doc_id, r.item_id) for r in decontaminate.decontaminate(docs, items, index_bytes=size).collect()}
+            assert got == {(2, 1)} | ({(3, 2)} if others else set())
+
+
 def test_decontamination_against_full_scores(spark, sf_dir):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
