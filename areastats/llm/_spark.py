@@ -93,3 +93,20 @@ def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
     if n <= rows:
         return df
     return df.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * rows / n))
+
+
+def distinct_sample(df: DataFrame, mark: str, rows: int) -> DataFrame:
+    """The rows of about ``rows`` values of the hash column ``mark``: the same at every run.
+
+    Repeated rows have one mark and count once, so a hot one neither empties nor fills the
+    sample. ``capped`` afterwards makes the bound strict.
+    """
+    n = df.agg(F.approx_count_distinct(mark, 0.02)).first()[0]
+    if n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(mark, F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * rows / n))
+
+
+def capped(df: DataFrame, mark: str, rows: int) -> DataFrame:
+    """One row of each ``mark``, at most ``rows`` of them, by a hash. For small rows."""
+    return df.dropDuplicates([mark]).orderBy(F.xxhash64(mark, F.lit(17)), mark).limit(rows)

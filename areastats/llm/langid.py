@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_sample
+from ._spark import capped, distinct_sample
 from ._text import slices, utf8
 
 DIM = 1 << 15
@@ -147,7 +147,8 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
         key: str = "doc_id", sample_rows: int = 4000) -> Model | None:
     """A model from the rows where ``learn`` holds and text and language are not null."""
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).rlike(LETTER)).select(
-        F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key"))
+        F.col(text).alias("text"), F.col(lang).alias("lang"),
+        F.xxhash64(F.col(key), F.col(text), F.col(lang)).alias("mark"))
     counts = _fit_counts(rows.select("text", "lang"))
     if not counts:
         return None
@@ -161,11 +162,12 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
             for b in slices(whole, "text"):
                 data, off = utf8(b.column(0))
                 got = [m.margins(histogram(data[off[i]:off[i + 1]])) for i in range(b.num_rows)]
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array([g.tolist() for g in got])],
-                                                 names=["lang", "m"])
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array([g.tolist() for g in got]), b.column(2)],
+                                                 names=["lang", "m", "mark"])
 
-    sample = (bounded_sample(rows, F.col("key"), sample_rows).select("text", "lang")
-              .mapInArrow(measure, "lang string, m array<double>").toArrow())
+    measured = (distinct_sample(rows, "mark", sample_rows)
+                .mapInArrow(measure, "lang string, m array<double>, mark long"))
+    sample = capped(measured, "mark", sample_rows).toArrow()
     if sample.num_rows:
         index = {x: i for i, x in enumerate(langs)}
         model.weigh(np.array(sample.column("m").to_pylist()).reshape(-1, bits),

@@ -6,13 +6,15 @@ repeats its predecessor. Class log-count ratios r scale the indicators, and a li
 hinge-loss model is fitted on the scaled vectors by dual coordinate descent. The weights are
 interpolated with the plain naive Bayes weights as usual for this method.
 
-The classifier is fitted on a bounded sample of the labelled rows (``sample_rows``, default
-8,000, chosen by a hash of the id; documented bound), so the fit has the same size for any
-corpus. Everything else reads all rows and whole texts.
+The classifier is fitted on a bounded sample of the labelled ids (``sample_rows``, default
+8,000, chosen by a hash of the id; documented bound) with one document each, and of their
+features (``sample_features``), so the fit has the same size for any corpus. Everything else
+reads all rows and whole texts.
 
 Defined results: empty and null texts are scored like any text (they have no features, so the
 bias alone decides); several label rows of one id count as their majority (a tie: 1); null
-labels or ids are not learned from; with one class only, or no labels, the score is that
+labels or ids are not learned from; of several documents of one labelled id, the one whose
+text has the smallest hash is learned from; with one class only, or no labels, the score is that
 class (1 where nothing is known). Repeated rows are each scored. Extra columns are ignored.
 """
 
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import batch_of, bounded_sample, map_in_arrow
+from ._spark import batch_of, capped, distinct_sample, map_in_arrow
 from ._text import slices, utf8, word_hashes, word_spans
 
 DIM = 1 << 16
@@ -56,15 +58,18 @@ def _grams(x: np.ndarray, orders: int, salt: int) -> list[np.ndarray]:
 def features(data: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
     """Sorted distinct feature numbers of one whole text."""
     seen = np.zeros(DIM, bool)
+    before = np.zeros(0, np.uint8)                    # the last shapes of the pieces so far
     for a in range(0, len(data), piece):
-        x = data[a:a + piece + 2]
-        for g in _grams(x, 3, 1):
+        for g in _grams(data[a:a + piece + 2], 3, 1):
             seen[g] = True
-        s = _SHAPE[x]
+        s = _SHAPE[data[a:a + piece]]
         keep = np.ones(len(s), bool)
         keep[1:] = s[1:] != s[:-1]
-        for g in _grams(s[keep], 3, 2):
+        keep[0] = not len(before) or s[0] != before[-1]
+        s = np.concatenate((before, s[keep]))
+        for g in _grams(s, 3, 2):
             seen[g] = True
+        before = s[-2:]
     if len(data):
         starts, ends, _ = word_spans(data, np.array([0, len(data)]))
         w = word_hashes(data, starts, ends)
@@ -75,6 +80,21 @@ def features(data: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
     return np.flatnonzero(seen).astype(np.uint16)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Feature numbers, or one bit for each possible feature where that is shorter (8 KB)."""
+    if 2 * len(x) < DIM // 8:
+        return x.tobytes()
+    seen = np.zeros(DIM, bool)
+    seen[x] = True
+    return np.packbits(seen).tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    if len(blob) < DIM // 8:
+        return np.frombuffer(blob, np.uint16)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8))).astype(np.uint16)
+
+
 def dual_descent(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, cost: float = 1.0,
                  epochs: int = 15, tol: float = 1e-3) -> tuple[np.ndarray, float]:
     """L2-regularised squared hinge loss by dual coordinate descent; a bias is a last feature.
@@ -119,27 +139,42 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
-        key: str = "doc_id", label: str = "quality", sample_rows: int = 8000) -> Model:
-    """A model from ``labels`` rows where ``learn`` (a condition on ``key``) holds."""
+        key: str = "doc_id", label: str = "quality", sample_rows: int = 8000,
+        sample_features: int = 1 << 24) -> Model:
+    """A model from ``labels`` rows where ``learn`` (a condition on ``key``) holds.
+
+    ``sample_rows`` bounds the documents learned from, ``sample_features`` the sum of their
+    features (documents in the order of a hash, as long as they fit).
+    """
     marks = (labels.select(F.col(key).alias("key"), F.col(label).alias("y"))
              .where(F.col("key").isNotNull() & F.col("y").isNotNull())
              .withColumnRenamed("key", key).where(learn).withColumnRenamed(key, "key")
              .groupBy("key").agg((F.avg("y") >= 0.5).alias("y")))
-    # at most about sample_rows small rows: a proven bound for the broadcast
-    marks = F.broadcast(bounded_sample(marks, F.col("key"), sample_rows))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(marks, "key")
+    # at most sample_rows small rows: a proven bound for the broadcast
+    marks = marks.withColumn("mark", F.xxhash64("key"))
+    marks = F.broadcast(capped(distinct_sample(marks, "mark", sample_rows), "mark", sample_rows))
+    rows = (docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(marks, "key")
+            .select("text", "y", "mark", F.xxhash64("text").alias("tie")))
 
     def extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
             for b in slices(whole, "text"):
                 data, off = utf8(b.column(0))
-                got = [features(data[off[i]:off[i + 1]]).tobytes() for i in range(b.num_rows)]
-                yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), b.column(1)],
-                                                 names=["x", "y"])
-
-    got = rows.select("text", "y").mapInArrow(extract, "x binary, y boolean").toArrow()
-    order = sorted(zip((v.as_py() for v in got.column("x")), got.column("y").to_pylist()))
-    x = [np.frombuffer(v, np.uint16) for v, _ in order]
+                got = [_packed(features(data[off[i]:off[i + 1]])) for i in range(b.num_rows)]
+                yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), *b.columns[1:]],
+                                                 names=["x", "y", "mark", "tie"])
+
+    got = (rows.mapInArrow(extract, "x binary, y boolean, mark long, tie long")
+           .groupBy("mark").agg(F.min(F.struct("tie", "x", "y")).alias("r"))
+           .select("r.x", "r.y", F.xxhash64("mark", F.lit(17)).alias("by")).toArrow())
+    order, held = [], 0
+    for _, v, m in sorted(zip(got.column("by").to_pylist(), got.column("x").to_pylist(), got.column("y").to_pylist())):
+        u = _unpacked(v)
+        held += len(u)
+        if held > sample_features:
+            break
+        order.append((u, m))
+    x = [u for u, _ in order]
     y = np.array([1.0 if m else -1.0 for _, m in order])
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(DIM), np.zeros(DIM), -10.0 if len(y) and y[0] < 0 else 10.0)

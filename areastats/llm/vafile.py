@@ -13,7 +13,10 @@ a block nor a query's candidates pass through one task whole.
 Defined results: a null vector, one with a null or non-finite component, an empty one or one
 with a null id takes no part. Vectors are compared only with vectors of the same length. Rows
 that share the query's id are its own row. Ties go to the smaller id; among repeated rows of
-one id each counts. Fewer than k candidates: all are returned.
+one id each counts. Fewer than k candidates: all are returned. Scores are exact at any size:
+where the corpus's extremes allow sums from 2^53 on, products are summed as unbounded
+integers. An integer component of 2^62 or more, or a k-best score that 64 bits can't hold,
+raises instead of saturating.
 """
 
 from __future__ import annotations
@@ -39,17 +42,23 @@ def integers(df: DataFrame, key: str, vector: str, scale: int, is_query: Column)
                     .alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query")))
 
 
-def _matrix(column) -> np.ndarray:
+def _matrix(column, kind: type) -> np.ndarray:
     col = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
+    return col.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(col), -1)
 
 
 def block_topk(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray,
                low: np.ndarray, step: np.ndarray, k: int):
-    """The k best rows of this block for every query: yields (query id, ids, scores).
+    """The k best rows of this block for every query: yields (query id, ids, scores as integers).
 
-    All scores are sums of products of integers below 2^53 and therefore exact.
+    Arrays of float64 are for sums below 2^53, which are exact; beyond, ``queries`` and
+    ``vectors`` hold Python integers, whose sums are exact at any size, and the cells' bounds
+    are widened by more than float64 can be wrong by.
     """
+    exact_q, exact_v, slack = queries, vectors, 0.0
+    if queries.dtype == object:
+        queries, vectors = queries.astype(np.float64), vectors.astype(np.float64)
+        slack = 2.0 ** -40
     cells = np.clip(np.floor((vectors - low) / step), 0, CELLS - 1).astype(np.uint8)
     floor_ = low + cells * step                      # every component lies in [floor_, ceil_]
     ceil_ = np.minimum(floor_ + step - 1, low + CELLS * step - 1)
@@ -58,6 +67,9 @@ def block_topk(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray,
         up_q, down_q = np.maximum(q, 0), np.minimum(q, 0)
         upper = up_q @ ceil_.T + down_q @ floor_.T
         lower = up_q @ floor_.T + down_q @ ceil_.T
+        if slack:                                    # by the sum of the terms' absolute values
+            wide = slack * (np.abs(q) @ (np.maximum(np.abs(floor_), np.abs(ceil_)) + step).T + 1)
+            upper, lower = upper + wide, lower - wide
         own = query_ids[a:a + 128, None] == ids[None, :]
         upper[own] = lower[own] = -np.inf
         kth = (np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k
@@ -66,16 +78,17 @@ def block_topk(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray,
             maybe = np.flatnonzero((upper[i] >= kth[i]) & ~own[i])
             maybe = maybe[np.argsort(-upper[i][maybe], kind="stable")]
             best_at = np.zeros(0, np.int64)
-            best = np.zeros(0)
+            best = np.zeros(0, exact_v.dtype)
             for c in range(0, len(maybe), 64):
                 part = maybe[c:c + 64]
                 if len(best) >= k and upper[i][part[0]] < best[k - 1]:
                     break                            # no unread row can reach the k-th score
                 best_at = np.concatenate((best_at, part))
-                best = np.concatenate((best, vectors[part] @ q[i]))
-                top = np.lexsort((ids[best_at], -best))[:k]
+                best = np.concatenate((best, exact_v[part] @ exact_q[a + i]))
+                by_id = np.argsort(ids[best_at], kind="stable")
+                top = by_id[np.argsort(-best[by_id], kind="stable")][:k]
                 best_at, best = best_at[top], best[top]
-            yield query_ids[a + i], ids[best_at], best
+            yield query_ids[a + i], ids[best_at], [int(s) for s in best]
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
@@ -99,7 +112,12 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     for dim, parts in grid.items():
         low = np.array([p[1] for p in sorted(parts)], np.float64)
         high = np.array([p[2] for p in sorted(parts)], np.float64)
-        bounds[dim] = (low, np.maximum(1, np.ceil((high - low + 1) / CELLS)))
+        most = [max(abs(p[1]), abs(p[2])) for p in parts]
+        if max(most) >= 1 << 62:
+            raise ValueError(f"components of {vector} are beyond 62 bits after scaling by {scale}")
+        # a sum of products, and any part of it, stays below the sum of the squares of the extremes
+        kind = np.float64 if sum((m + 1) ** 2 for m in most) < 1 << 52 else object
+        bounds[dim] = (low, np.maximum(1, np.ceil((high - low + 1) / CELLS)), kind)
     n_rows = max([1, *(e["n"] for e in extremes)])
     n_queries = max([1, *(e["q"] for e in extremes)])
     n_blocks, n_query_blocks = -(-n_rows // block_rows), -(-n_queries // query_block)
@@ -112,13 +130,15 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     def search(q: pa.Table, r: pa.Table) -> pa.Table:
         a, b, c = [], [], []
         if q.num_rows and r.num_rows:
-            low, step = bounds[q.column("dim")[0].as_py()]
+            low, step, kind = bounds[q.column("dim")[0].as_py()]
             for qid, ids, scores in block_topk(
-                    _matrix(q.column("v")), q.column("key").to_numpy(),
-                    _matrix(r.column("v")), r.column("key").to_numpy(), low, step, k):
+                    _matrix(q.column("v"), kind), q.column("key").to_numpy(),
+                    _matrix(r.column("v"), kind), r.column("key").to_numpy(), low, step, k):
+                if any(not -(1 << 63) <= s < 1 << 63 for s in scores):
+                    raise OverflowError(f"a score of {qid} is beyond 64 bits")
                 a.append(np.full(len(ids), qid, np.int64))
                 b.append(ids)
-                c.append(scores.astype(np.int64))
+                c.append(np.array(scores, np.int64))
         cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
         return pa.table([cat(a), cat(b), cat(c)], names=["query_id", "key", "score"])
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 
+import numpy as np
 import pytest
 from odd_rows import EXTRA, LONG, ODD
 from pyspark.sql import functions as F
@@ -163,3 +164,85 @@ def test_pipeline_stages(spark, odd, none, labels, items):
     docs.write.parquet(f"{d}/documents.parquet")
     assert P.run(spark, d).columns[:2] == ["doc_id", "n_tokens"]
     assert EXTRA and LONG
+
+
+def test_quality_sample_is_bounded_by_rows(spark):
+    """One labelled id on many rows, repeated rows, a tight bound: one document for each id."""
+    hot = [(1, f"alpha beta {i} gamma.") for i in range(400)] + [(1, "same words here.")] * 400
+    docs = spark.createDataFrame(hot + [(i, f"noise!!! {i} {i}") for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 60)], "doc_id long, quality int")
+    seen = []
+    learn, quality.dual_descent = quality.dual_descent, lambda rows, y, r: seen.append(len(rows)) or learn(rows, y, r)
+    try:
+        quality.fit(docs, labels, F.lit(True))
+        quality.fit(docs, labels, F.lit(True), sample_rows=10)
+        quality.fit(docs, labels, F.lit(True), sample_features=300)
+    finally:
+        quality.dual_descent = learn
+    assert seen[0] == 59
+    assert all(n <= 10 for n in seen[1:2]) and all(n < 59 for n in seen[1:])
+
+
+def test_quality_features_do_not_depend_on_pieces():
+    rng = np.random.default_rng(5)
+    for text in (b"aaa   BBB111...zz" * 40, bytes(rng.choice(list(b"aB1. \n"), 3000)), b"a" * 500, b"ab"):
+        data = np.frombuffer(text, np.uint8)
+        whole = quality.features(data).tolist()
+        for piece in (1, 2, 3, 7, 64):
+            assert quality.features(data, piece).tolist() == whole
+
+
+def test_packed_features_come_back():
+    for n in (0, 5, 4095, 4096, 30000, quality.DIM):
+        x = np.sort(np.random.default_rng(n).permutation(quality.DIM)[:n]).astype(np.uint16)
+        assert np.array_equal(quality._unpacked(quality._packed(x)), x)
+
+
+def test_samples_of_hot_rows(spark):
+    from areastats.llm._spark import capped, distinct_sample
+
+    df = spark.range(3000).select(F.when(F.col("id") < 1000, F.lit(-1)).otherwise(F.col("id")).alias("mark"))
+    got = capped(distinct_sample(df, "mark", 100), "mark", 100).collect()
+    assert 50 <= len(got) <= 100 and len(set(got)) == len(got)
+    assert capped(distinct_sample(df.where("mark = -1"), "mark", 100), "mark", 100).count() == 1
+    docs = spark.createDataFrame([(None, f"wort {i} der", "de") for i in range(900)]
+                                 + [(None, f"word {i} the", "en") for i in range(900)],
+                                 "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True), sample_rows=50)       # null ids only: the sample isn't empty
+    assert sorted(model.langs) == ["de", "en"]
+    assert {r.lang_pred for r in langid.predict(docs.where("lang = 'de'"), model).collect()} == {"de"}
+
+
+@pytest.mark.parametrize("size", [1e3, 2e5, 1.5e6])
+def test_topk_is_exact_at_any_size(spark, size):
+    """Large components: sums past 2^53 are exact integers, in the order of brute force."""
+    rng = np.random.default_rng(int(size))
+    v = np.round(rng.normal(0, size, (300, 8)), 2)
+    v[200:] = v[:100]                                         # ties
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in vafile.top_k(df, F.col("vec_id") % 50 == 0, block_rows=64).collect()]
+    ints = [[int(np.floor(256 * x)) for x in row] for row in v]
+    want = []
+    for q in range(0, 300, 50):
+        s = sorted((-sum(a * b for a, b in zip(ints[q], ints[c])), c) for c in range(300) if c != q)
+        want += [(q, r + 1, c, -x) for r, (x, c) in enumerate(s[:5])]
+    assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("size", [1e10, 1e17])
+def test_topk_raises_where_64_bits_cannot_hold_it(spark, size):
+    df = spark.createDataFrame([(i, [size * (i + 1)] * 4) for i in range(60)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits|62 bits"):
+        vafile.top_k(df, F.col("vec_id") % 50 == 0).collect()
+
+
+def test_quality_stage_keeps_columns_named_like_its_own(spark, odd, labels):
+    import corpus_pipeline as P
+
+    from unittest import mock
+
+    docs = odd.select("doc_id", "text", F.lit(7).alias("Score"), F.lit("x").alias("_in_Score"), F.lit(3).alias("PREDICTED"))
+    with mock.patch.object(P, "table", lambda *a: labels):
+        got = P.quality_stage(spark, docs, "")
+        assert got.columns == docs.columns
+        assert {(r[2], r[3], r[4]) for r in got.collect()} <= {(7, "x", 3)}
