@@ -20,18 +20,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areastats.llm import decontaminate, near_dup, packing, quality, secrets
-from areastats.llm._spark import materialise, table
-from areastats.llm._spark import ship
+from areastats.llm._spark import free_name, materialise, ship, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All labelled documents of the input are learned from: nothing is held out here."""
     ship(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    scored = quality.score(docs.withColumnsRenamed({c: f"_in_{c}" for c in ("score", "predicted") if c in docs.columns}),
-                           model)
-    kept = scored.where("predicted = 1").drop("score", "predicted")
-    return kept.withColumnsRenamed({f"_in_{c}": c for c in ("score", "predicted") if c in docs.columns})
+    given = docs.columns                              # columns named like the operator's, in any case, step aside
+    aside = docs
+    for c in given:
+        if c.lower() in ("score", "predicted"):
+            aside = aside.withColumnRenamed(c, free_name(aside, f"_in_{c}"))
+    kept = quality.score(aside, model).where("predicted = 1").drop("score", "predicted")
+    return kept.toDF(*given)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
