@@ -100,6 +100,17 @@ def write_area_table(spark, sf_dir):
     return R.typed(raw, numeric)
 
 
+@register("write_area_table_parts", (
+    "SELECT row_number() OVER (ORDER BY LAD23NM NULLS LAST) AS line, * FROM (" + SQL["la_registered_totals"] + ")"))
+def write_area_table_parts(spark, sf_dir):
+    """S8 in several parts: the LA table in the order of its key over all of them, read back with
+    every row's place."""
+    t = area(_fx(spark, sf_dir), AREA["la_registered_totals"])
+    path = W.write_area_table(t, scratch_path(spark, "la_reg_address_parts"))
+    numeric = {"line": "bigint", **{c: k for c, k in t.dtypes if c != S.LAD23NM}}
+    return R.typed(R.read_ordered_parts(spark, path, t.columns), numeric)
+
+
 _FMT_COLS = [S.NO_SITES, S.OUT_GVA, S.OUT_TURNOVER, S.OUT_EMPLOYEES, S.OUT_INNOVATE, S.OUT_DEALROOM]
 
 

@@ -203,6 +203,14 @@ def explode_sites(spark, sf_dir):
     return X.explode_sites(_fx(spark, sf_dir).company()).select(S.COMPANY_ID, S.POSTCODE, S.NO_SITES, *PER_SITE)
 
 
+@register("explode_sites_long_cells", O.with_ctes(["sites"], (
+    f"SELECT {_cols(S.COMPANY_ID, S.POSTCODE, S.NO_SITES, *PER_SITE)} FROM sites")))
+def explode_sites_long_cells(spark, sf_dir):
+    """U1 for list cells of any length, spread over tasks."""
+    rows = X.explode_sites(_fx(spark, sf_dir).company(), long_cells=True)
+    return rows.select(S.COMPANY_ID, S.POSTCODE, S.NO_SITES, *PER_SITE)
+
+
 @register("explode_las", O.with_ctes(["la_rows"], (
     f"SELECT {_cols(S.COMPANY_ID, S.LACODE, S.NO_LAS, *PER_LA)} FROM la_rows")))
 def explode_las(spark, sf_dir):
@@ -266,6 +274,15 @@ def join_site_postcode(spark, sf_dir):
     return rows.select(S.COMPANY_ID, S.POSTCODE, S.LADCD)
 
 
+@register("join_site_postcode_long_cells", O.with_ctes(["sites_located"], (
+    f"SELECT {_cols(S.COMPANY_ID, S.POSTCODE, S.LADCD)} FROM sites_located")))
+def join_site_postcode_long_cells(spark, sf_dir):
+    """J5 on list cells of any length."""
+    fx = _fx(spark, sf_dir)
+    rows = L.join_postcode(X.explode_sites(fx.company(), long_cells=True), fx.geography, S.POSTCODE)
+    return rows.select(S.COMPANY_ID, S.POSTCODE, S.LADCD)
+
+
 def _site_places(fx):
     """Company number and postcode of every site, from the long form."""
     ids = fx.company_long().select(S.COMPANY_KEY, S.COMPANY_ID)

@@ -139,28 +139,76 @@ def _parse_formatted_number(v: Column) -> Column:
             .otherwise(F.regexp_replace(v, ",", "").try_cast("double")))
 
 
+def numbered_csv(spark: SparkSession, path: str, columns: int) -> DataFrame:
+    """Rows of a headerless CSV as text with their place: ``_file``, ``_chunk`` (where the part of
+    the file that one task reads begins) and ``_row``, which grows within a chunk.
+
+    The functions of the running task give file and chunk: the planner pushes no filter below
+    them, which would choose files, and with them other chunks, for one scan of two that meet."""
+    raw = (spark.read.schema(", ".join(f"_c{i} string" for i in range(columns))).option("header", False)
+           .option("escape", '"').csv(path))
+    return raw.select("*", F.input_file_name().alias("_file"), F.input_file_block_start().alias("_chunk"),
+                      F.monotonically_increasing_id().alias("_row"))
+
+
+_CHUNK = ["_file", "_chunk"]
+
+
+def _before(c: str, n: Column) -> Column:
+    """The sum of ``n`` over the chunks of a file before each one."""
+    return (F.sum(n).over(Window.partitionBy("_file").orderBy("_chunk")) - n).alias(c)
+
+
+def ordered_rows(rows: DataFrame, order: str = "_line") -> DataFrame:
+    """The rows of ``numbered_csv`` with their line number in the file (0, 1, ...), from counts per
+    chunk and numbers within it."""
+    before = rows.groupBy(_CHUNK).agg(F.count("*").alias("_n")).select(*_CHUNK, _before("_lines", F.col("_n")))
+    within = F.row_number().over(Window.partitionBy(_CHUNK).orderBy("_row")) - 1
+    return (rows.withColumn("_within", within).join(before, _CHUNK)
+            .select(*rows.columns, (F.col("_within") + F.col("_lines")).alias(order)))
+
+
+def read_ordered_parts(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """A headed CSV of several parts (``write_area_table``) as text, with ``line`` (from 1): the
+    row's place over all parts, in the order of their numbers."""
+    rows = ordered_rows(numbered_csv(spark, path, len(columns))).where("_line > 0")    # below each part's header
+    part = F.regexp_extract("_file", r"part-([0-9]+)[^/]*$", 1).cast("bigint")
+    files = rows.groupBy("_file").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(part)) - F.col("_n")          # a row for each part
+    rows = rows.join(files.select("_file", before.alias("_before")), "_file")
+    return rows.select((F.col("_before") + F.col("_line")).alias("line"),
+                       *[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def read_formatted_sections(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """S9 with stacked sections: a spreadsheet-saved result file holding several tables one
     under another (totals, then percentages, ...), separated by blank rows, each under its
     own header row.
 
     Returns the rows of every section with a ``section`` number (0, 1, ...) and ``columns``:
-    the first as text (``NA``/empty -> NULL), the others as numbers. Rows are numbered within
-    each file: such a file is one published table, bounded by the number of areas.
+    the first as text (``NA``/empty -> NULL), the others as numbers. A section begins at a row
+    that isn't blank after one that is. Such rows are numbered inside the chunks that tasks read
+    (at most ``spark.sql.files.maxPartitionBytes``); one row for each chunk carries the count on
+    to the next, so no task holds a whole file.
     """
-    raw = (spark.read.schema(", ".join(f"_c{i} string" for i in range(len(columns)))).option("header", False)
-           .option("escape", '"').csv(path))
-    cols = raw.columns
+    raw = numbered_csv(spark, path, len(columns))
+    cols = raw.columns[:len(columns)]
     blank = F.coalesce(*[F.when(F.trim(F.col(c)) != "", F.lit(False)) for c in cols], F.lit(True))
-    df = raw.select(*cols, F.input_file_name().alias("_file"),
-                    F.monotonically_increasing_id().alias("_row"), blank.alias("_blank"))
-    in_file = Window.partitionBy("_file").orderBy("_row")
-    df = df.withColumn("_gap", F.sum(F.col("_blank").cast("int")).over(in_file))
-    df = df.filter(~F.col("_blank"))
-    # each run of non-blank rows is a section; its first row is the section's header
-    df = df.withColumn("_section", F.dense_rank().over(Window.partitionBy("_file").orderBy("_gap")) - 1)
-    df = df.withColumn("_first", F.min("_row").over(Window.partitionBy("_file", "_section")))
-    body = df.filter(F.col("_row") != F.col("_first"))
+    df = raw.withColumn("_blank", blank)
+    in_chunk = Window.partitionBy(_CHUNK).orderBy("_row")
+    # a chunk's first row has no row before it here: what it is gets known with the chunks
+    begins = ~F.col("_blank") & F.lag("_blank").over(in_chunk)
+    df = df.withColumn("_begins", begins).withColumn("_inside", F.sum(F.coalesce(F.col("_begins").cast("int"), F.lit(0))).over(in_chunk))
+    chunk = df.groupBy(_CHUNK).agg(F.min_by("_blank", "_row").alias("_first"), F.max_by("_blank", "_row").alias("_last"),
+                                   F.max("_inside").alias("_n"))
+    after_blank = F.coalesce(F.lag("_last").over(Window.partitionBy("_file").orderBy("_chunk")), F.lit(True))
+    chunk = chunk.withColumn("_opens", ~F.col("_first") & after_blank)
+    own = F.col("_n") + F.col("_opens").cast("int")
+    chunk = chunk.select(*_CHUNK, "_opens", _before("_sections", own))
+    df = df.join(chunk, _CHUNK)
+    header = F.coalesce(F.col("_begins"), ~F.col("_blank") & F.col("_opens"))
+    body = df.filter(~F.col("_blank") & ~header)
     out = [clean_text(F.col(cols[0])).alias(columns[0])]
     out += [_parse_formatted_number(clean_text(F.col(c))).alias(n) for c, n in zip(cols[1:], columns[1:])]
-    return body.select(F.col("_section").alias("section"), *out)
+    section = F.col("_sections") + F.col("_opens").cast("int") + F.col("_inside") - 1
+    return body.select(section.cast("int").alias("section"), *out)

@@ -2,8 +2,8 @@
 
 ``write_area_table`` produces what ``write_excel_csv`` produces: UTF-8 with a byte-order
 mark, a header, ``NA`` for missing values. A single file needs a single task, so it is meant
-for final area tables (bounded by the number of areas); ``single_file=False`` writes one part
-per partition for anything larger.
+for final area tables (bounded by the number of areas); ``single_file=False`` writes several
+parts for anything larger, whose rows are ordered across the parts too.
 """
 
 from __future__ import annotations
@@ -32,11 +32,16 @@ def write_area_table(df: DataFrame, path: str, single_file: bool = False, bom: b
 
     ``single_file`` writes one file in one task: for final area tables, which are bounded by
     the number of areas. ``order_by`` (default: the first column, NULL last) is the row order
-    in the file; ``columns`` are the ones written (default: all)."""
+    in the file; ``columns`` are the ones written (default: all). Without ``single_file`` rows
+    are dealt to parts by ranges, so the order holds over the parts in the order of their names;
+    rows that tie are dealt by their other columns, so a hot value takes as many parts as it needs."""
     order = order_by if order_by is not None else ((F.asc_nulls_last(df.columns[0]),) if df.columns else ())
-    out = df.coalesce(1) if single_file else df
-    if order:
-        out = out.sortWithinPartitions(*order)
+    if single_file:
+        out = df.coalesce(1)
+        out = out.sortWithinPartitions(*order) if order else out
+    else:
+        ties = [F.col(c) for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+        out = df.orderBy(*order, *ties) if order else df
     out = out.select(*[plain_number(F.col(c)).alias(c) if t in ("double", "float") else F.col(c)
                        for c, t in df.dtypes if columns is None or c in columns])
     if bom and out.columns:
