@@ -1,11 +1,11 @@
 """Packing into optimal length buckets.
 
 1. The lengths (words of the whole text) are written once to the shared folder.
-2. Their global histogram goes to the driver: lengths below 4,096 have a bin each, longer ones
-   a bin per 1/2048 of their size, so it has a few thousand rows at any input size. A bin's
-   edge is the longest length in it.
-3. Dynamic programming over the bins finds the ``buckets`` boundaries with the least padding in
-   total (exact integers; among equals the earliest boundaries).
+2. Their global histogram, one row for each different length, goes to the driver as two columns
+   of integers. d different lengths need d * (d + 1) / 2 words, so it has less than
+   sqrt(2 * words of the corpus) rows: some thousands for gigabytes, under six million for 100 TB.
+3. Dynamic programming over the lengths finds the ``buckets`` boundaries with the least padding
+   in total (exact integers of any size; among equals the earliest boundaries).
 4. Inside each bucket, documents in the order of their id form batches of
    ``max(1, token_budget // bucket length)``. The running number comes from range shards: a
    number within the shard plus the counts of the shards before it, so no bucket passes
@@ -26,7 +26,6 @@ from pyspark.sql.window import Window
 
 from ._spark import materialise, shuffle_parts
 
-EXACT_BELOW = 4096
 BUCKETS = 16
 TOKEN_BUDGET = 16384
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,40 +35,44 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def bin_of(n: Column) -> Column:
-    """The bin of a length: itself when short, else the power of two and 2,048 steps within it."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double"))) - 11).cast("long")
-    return F.when(n < EXACT_BELOW, n).otherwise(n - F.pmod(n, F.greatest(step, F.lit(1))))
-
-
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """The upper lengths of the buckets with the least padding.
 
     ``lengths`` ascending, each with its count. cost(i, j) = padding when items i+1..j share a
-    bucket; best positions move right with j, so each layer is solved by divide and conquer.
+    bucket; best positions move right with j, so each layer is solved by divide and conquer, one
+    level of it (the middles of all its intervals) at a time.
     """
     n = len(lengths)
     if n == 0:
         return []
-    c = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
-    s = np.concatenate(([0], np.cumsum(counts.astype(np.int64) * lengths, dtype=np.int64)))
     far = np.iinfo(np.int64).max // 4
-    prev = np.full(n + 1, far, np.int64)
+    kind = np.int64 if (int(lengths[-1]) + 1) * (int(counts.sum()) + 1) < far else object
+    if kind is object:
+        far = (int(lengths[-1]) + 1) * (int(counts.sum()) + 1)
+    size = np.concatenate(([0], lengths)).astype(kind)
+    c = np.concatenate(([0], np.cumsum(counts.astype(kind))))
+    s = np.concatenate(([0], np.cumsum(counts.astype(kind) * size[1:])))
+    prev = np.full(n + 1, far, kind)
     prev[0] = 0
     choice = []
     for _ in range(min(buckets, n)):
-        cur, arg = np.full(n + 1, far, np.int64), np.zeros(n + 1, np.int64)
-        todo = [(1, n, 0, n - 1)]
-        while todo:
-            lo, hi, a, b = todo.pop()
-            if lo > hi:
-                continue
+        cur, arg = np.full(n + 1, far, kind), np.zeros(n + 1, np.int32)
+        lo, hi, a, b = (np.array([x], np.int64) for x in (1, n, 0, n - 1))
+        while len(lo):
             j = (lo + hi) // 2
-            i = np.arange(a, min(b, j - 1) + 1)
-            total = prev[i] + lengths[j - 1] * (c[j] - c[i]) - (s[j] - s[i])
-            at = int(np.argmin(total))
-            cur[j], arg[j] = total[at], i[at]
-            todo += [(lo, j - 1, a, int(i[at])), (j + 1, hi, int(i[at]), b)]
+            many = np.minimum(b, j - 1) - a + 1
+            first = np.cumsum(many) - many
+            i = np.arange(many.sum()) + np.repeat(a - first, many)
+            at = np.repeat(j, many)
+            total = prev[i] + size[at] * (c[at] - c[i]) - (s[at] - s[i])
+            least = np.minimum.reduceat(total, first)
+            equal = np.flatnonzero(total == np.repeat(least, many))
+            best = i[equal[np.searchsorted(equal, first)]]
+            cur[j], arg[j] = least, best
+            lo, hi, a, b = (np.concatenate(x) for x in (
+                (lo, j + 1), (j - 1, hi), (a, best), (best, b)))
+            left = lo <= hi
+            lo, hi, a, b = lo[left], hi[left], a[left], b[left]
         choice.append(arg)
         prev = cur
     out, j = [], n
@@ -85,11 +88,8 @@ def pack(docs: DataFrame, length: Column | None = None, key: str = "doc_id", tex
     n = word_count(F.col(text)) if length is None else length.cast("long")
     lens = materialise(docs.select(F.col(key).alias("key"), n.alias("n_tokens"),
                                    F.monotonically_increasing_id().alias("row")), "pack-lengths")
-    hist = (lens.groupBy(bin_of(F.col("n_tokens")).alias("bin"))
-            .agg(F.max("n_tokens").alias("top"), F.count("*").alias("n"),
-                 F.sum("n_tokens").alias("s")).orderBy("bin").collect())
-    edges = boundaries(np.array([h["top"] for h in hist], np.int64),
-                       np.array([h["n"] for h in hist], np.int64), buckets) or [0]
+    hist = lens.groupBy("n_tokens").agg(F.count("*").alias("n")).toArrow().sort_by("n_tokens")
+    edges = boundaries(hist.column("n_tokens").to_numpy(), hist.column("n").to_numpy(), buckets) or [0]
     upper = F.array(*[F.lit(e).cast("long") for e in edges])
     bucket = F.size(F.filter(upper, lambda e: e < F.col("n_tokens")))
     shards = shuffle_parts(docs.sparkSession)
@@ -108,18 +108,15 @@ def pack(docs: DataFrame, length: Column | None = None, key: str = "doc_id", tex
                     (length_of - F.col("n_tokens")).alias("padding")))
 
 
-#: The same in DuckDB: layer k of the recursion holds, for every bin j, the least padding of
-#: bins 1..j in k buckets and the boundaries that give it.
+#: The same in DuckDB: layer k of the recursion holds, for every length j, the least padding of
+#: lengths 1..j in k buckets and the boundaries that give it.
 SQL = f"""
 WITH RECURSIVE lens AS (
   SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens
   FROM documents),
-binned AS (
-  SELECT *, CASE WHEN n_tokens < {EXACT_BELOW} THEN n_tokens
-    ELSE n_tokens - n_tokens % greatest(CAST(pow(2, floor(log2(n_tokens)) - 11) AS BIGINT), 1) END AS bin FROM lens),
 hist AS (
-  SELECT row_number() OVER (ORDER BY bin) AS j, CAST(max(n_tokens) AS BIGINT) AS top, CAST(count(*) AS BIGINT) AS n,
-    CAST(count(*) * max(n_tokens) AS BIGINT) AS s FROM binned GROUP BY bin),
+  SELECT row_number() OVER (ORDER BY n_tokens) AS j, n_tokens AS top, CAST(count(*) AS BIGINT) AS n,
+    CAST(count(*) * n_tokens AS BIGINT) AS s FROM lens GROUP BY n_tokens),
 cum AS (
   SELECT j, top, CAST(sum(n) OVER (ORDER BY j) AS BIGINT) AS c, CAST(sum(s) OVER (ORDER BY j) AS BIGINT) AS s FROM hist
   UNION ALL SELECT 0, 0, 0, 0),

@@ -236,6 +236,16 @@ def test_boundaries_are_optimal():
         assert got == sorted(set(got)) and len(got) <= k and padding(got) == best
 
 
+def test_boundaries_of_long_lengths_are_exact():
+    """Lengths that differ by one stay apart at any size; costs may pass 64 bits."""
+    for big in (100_000, 10 ** 12):
+        lengths = np.array([big, big + 1, big + 2, big + 3], np.int64)
+        counts = np.array([1, 10 ** 7, 10 ** 7, 1], np.int64)
+        assert packing.boundaries(lengths, counts, 4) == lengths.tolist()
+        assert packing.boundaries(lengths, counts, 3) == [big + 1, big + 2, big + 3]
+        assert packing.boundaries(lengths, counts, 2) == [big + 1, big + 3]
+
+
 # ---- 5 ---------------------------------------------------------------------------------------------
 def _repeats(rows):
     first: dict = {}
