@@ -4,7 +4,9 @@ Writing (``write``):
 
 1. Texts are dealt into ranges of the document id (bounds from its quantiles), sorted and
    tokenized there, and written as blocks of whole documents of about ``BLOCK_TOKENS`` ids.
-   Only this step moves texts, once; they travel zstd-compressed.
+   Only this step moves texts, once; they travel zstd-compressed. An id (or the null id) that
+   fills several ranges has ranges of its own, by a hash of the text, and a text that fills
+   several of those is dealt over parts row by row.
 2. The token counts of all blocks give one shared frequency table.
 3. Each block is encoded by itself (``rans``) and written with the ids and lengths of its
    documents. Nothing else is needed to decode it but the shared table.
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -182,33 +185,107 @@ def encoder(path: str, by_word: bool) -> WordEncoder:
     return _encoders[path, by_word]
 
 
+class _Steps:
+    """Slots between ascending bounds; a bound of some width has as many slots of its own.
+
+    Values up to a bound and above the one before share a slot, which the bound's own follow.
+    """
+
+    def __init__(self, widths: dict[int, int]):
+        self.at = np.array(sorted(widths), np.int64)
+        self.width = np.array([*(widths[b] for b in sorted(widths)), 0], np.int64)
+        self.base = np.cumsum(self.width + 1) - self.width - 1
+        self.slots = int(self.base[-1]) + 1
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slot, number of the bound not under it, and whether it has slots of its own."""
+        i = np.searchsorted(self.at, x)
+        own = self.width[i] > 0
+        own[own] = self.at[i[own]] == x[own]
+        return self.base[i], i, own
+
+    def spread(self, ties: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Slots where rows that fill a bound are interchangeable."""
+        slot, i, own = self.place(ties)
+        slot[own] += 1 + rows[own] % self.width[i[own]]
+        return slot
+
+
+class Ranges:
+    """Parts in the order of (id, hash of the text), with about the same number of rows each.
+
+    Quantiles give the bounds. An id that is several of them is hot: the space of hashes is
+    cut evenly for it, and each hash of more rows than a part should have gets several slots.
+    What goes through the driver has at most one row for each part.
+    """
+
+    def __init__(self, rows: DataFrame, parts: int):
+        self.inner, self.null = {}, None
+        if parts == 1:
+            self.outer = _Steps({})
+            self.parts = 1
+            return
+        n, known = rows.agg(F.count("*"), F.count("id")).first()
+        share, cuts = max(1, n // parts), parts * known // max(1, n)
+        at = rows.agg(F.percentile_approx("id", F.array(*[F.lit(i / cuts) for i in range(1, cuts)]),
+                                          max(10000, 10 * cuts))).first()[0] if cuts > 1 else None
+        times = Counter(at or [])
+        wide = {i: m for i, m in times.items() if m > 1}
+        if n - known >= 2 * share:
+            wide[None] = (n - known) // share
+        ties: dict = {i: {} for i in wide}
+        if wide:
+            hot = F.col("id").isin([i for i in wide if i is not None])
+            if None in wide:
+                hot = hot | F.col("id").isNull()
+            heavy = rows.where(hot).groupBy("id", "tie").count().where(F.col("count") > share).collect()
+            for r in heavy:
+                ties[r["id"]][r["tie"]] = -(-r["count"] // share)
+        step = {i: _Steps({**{-(1 << 63) + (j << 64) // m: 0 for j in range(1, m)}, **ties[i]})
+                for i, m in wide.items()}
+        self.null = step.pop(None, _Steps({}))
+        self.outer = _Steps({i: step[i].slots if i in step else 0 for i in times})
+        self.inner = {int(np.searchsorted(self.outer.at, i)): s for i, s in step.items()}
+        self.first = self.null.slots if known < n else 0
+        self.parts = self.first + self.outer.slots
+
+    def __call__(self, ids: pa.Array, ties: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        if self.parts == 1:
+            return np.zeros(len(ids), np.int32)
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        slot, at, own = self.outer.place(ids.fill_null(0).to_numpy())
+        slot += self.first
+        own &= ~null
+        for i in np.unique(at[own]):
+            mine = np.flatnonzero(own & (at == i))
+            slot[mine] += 1 + self.inner[int(i)].spread(ties[mine], rows[mine])
+        if null.any():
+            slot[null] = self.null.spread(ties[null], rows[null])
+        return slot.astype(np.int32)
+
+
 _RAW = "part int, block int, doc_ids array<long>, doc_lens array<long>, ids binary"
 
 
 def _tokenized(docs: DataFrame, path: str, end_id: int, key: str, text: str, by_word: bool) -> DataFrame:
     """Blocks of whole documents in the order of their id: the rows of ``_RAW``."""
-    spark = docs.sparkSession
-    parts = shuffle_parts(spark)
-    ids = docs.select(F.col(key).cast("long").alias("id"))
-    at = ids.select(F.percentile_approx("id", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10000)
-                    ).first()[0] if parts > 1 else None
-    bounds = sorted(set(at or []))
-    part = (F.coalesce(F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("id"))),
-                       F.lit(0)) if bounds else F.lit(0))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"),
+                       F.xxhash64(text).alias("tie"))
+    ranges = Ranges(rows.select("id", "tie"), shuffle_parts(docs.sparkSession))
 
     def squeeze(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         z = zstandard.ZstdCompressor(level=3)
         for b in it:
-            packed = pa.array([z.compress((t.as_py() or "").encode()) for t in b.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), packed],
+            part = ranges(b.column(0), b.column(2).to_numpy(), b.column(3).to_numpy())
+            packed = pa.array([z.compress((t.as_py() or "").encode()) for t in b.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(part), b.column(0), b.column(2), packed],
                                              names=["part", "id", "tie", "text"])
 
-    dealt = (docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-             .select(part.cast("int").alias("part"), "id", "text", F.xxhash64("text").alias("tie"))
+    dealt = (rows.withColumn("row", F.monotonically_increasing_id())
              .mapInArrow(squeeze, "part int, id long, tie long, text binary")
-             .repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "id", "tie"))
+             .repartitionById(ranges.parts, F.col("part")).sortWithinPartitions("part", "id", "tie"))
 
     def tokenize(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard

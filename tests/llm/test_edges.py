@@ -112,6 +112,33 @@ def test_token_file(spark, odd, none):
     assert token_file.read_documents(spark, nothing).count() == 0
 
 
+def _dealt(spark, rows):
+    """Documents of each part of a token file, in order."""
+    import public_tokenizers
+
+    out = scratch_path(spark, "tokens")
+    token_file.write(rows, out, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    got = sorted(token_file.read_documents(spark, out).collect(), key=lambda r: r.start)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    blocks = spark.read.parquet(f"{out}/blocks").groupBy("part").agg(F.sum(F.size("doc_ids")).alias("n"))
+    return got, sorted(r.n for r in blocks.collect())
+
+
+@pytest.mark.parametrize("hot", ["id", "id and text", "null", "null and text"])
+def test_token_file_deals_hot_ids(spark, hot):
+    n = 4000
+    own = F.col("id") % 2 == 0                         # half of the rows
+    doc = F.when(own, F.lit(None if "null" in hot else 1001)).otherwise(F.col("id"))
+    text = F.concat(F.lit("text "), F.when(own & F.lit("text" in hot), F.lit(0)).otherwise(F.col("id")))
+    rows = spark.range(n).select(doc.cast("long").alias("doc_id"), text.alias("text"))
+    got, sizes = _dealt(spark, rows)
+    want = sorted((r.doc_id for r in rows.collect()), key=lambda i: -1 if i is None else i)
+    assert [r.doc_id for r in got] == want
+    assert sum(sizes) == n and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    again, _ = _dealt(spark, rows.repartition(3))      # the same rows, read in another order
+    assert got == again
+
+
 def test_decontamination(odd, none, items):
     rows = decontaminate.decontaminate(odd, items, question_overlap=0.0).collect()
     assert sorted((r.doc_id, r.item_id) for r in rows) == [(1, 1), (1, 1)]
