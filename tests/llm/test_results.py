@@ -516,6 +516,43 @@ def test_topk_against_all_scores(spark):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("hot", ["vectors", "ids", "rows"])
+def test_topk_of_copies(spark, hot):
+    """A third of the rows share the vector, the id, or both: what is reduced loses nothing."""
+    rng = np.random.default_rng(19)
+    v = rng.normal(0, 0.3, (360, 6))
+    ids = [i % 300 for i in range(360)]
+    for i in range(120):
+        if hot != "ids":
+            v[3 * i] = v[0]
+        if hot != "vectors":
+            ids[3 * i] = 77
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "vec_id long, embedding array<double>")
+    for rows in (40, 1000):
+        got = sorted(map(tuple, vafile.top_k(df, F.col("vec_id") % 50 == 0, block_rows=rows).collect()))
+        n = np.floor(256 * v).astype(np.int64)
+        want = []
+        for q in sorted({i for i in ids if i % 50 == 0}):
+            best = sorted((-int(n[c] @ n[i]), ids[c]) for i in range(360) if ids[i] == q
+                          for c in range(360) if ids[c] != q)[:5]
+            want += [(q, r + 1, c, -x) for r, (x, c) in enumerate(best)]
+        assert got == want
+
+
+def test_cells_leave_few_vectors_to_read():
+    rng = np.random.default_rng(29)
+    v = np.floor(256 * rng.normal(0, 0.125, (4000, 64)))
+    low, step = v.min(0), np.maximum(1, np.ceil((v.max(0) - v.min(0) + 1) / vafile.CELLS))
+    cells = np.floor((v - low) / step).astype(np.uint8)
+    ids = np.arange(4000)
+    for i, (at, upper, best) in enumerate(vafile.screen(v[:40], ids[:40], cells, ids, low, step, 5)):
+        scores = v @ v[i]
+        assert (upper >= scores[at]).all() and i not in at and len(at) < 100
+        scores[i] = -np.inf
+        top = np.argsort(-scores, kind="stable")[:5]
+        assert np.isin(top, at).all() and (best <= scores[top]).all()
+
+
 # ---- 10 --------------------------------------------------------------------------------------------
 def _classes(rows, weights):
     sets = []
