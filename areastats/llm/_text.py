@@ -104,6 +104,42 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out)
 
 
+def stable_order(codes: np.ndarray, most: int) -> np.ndarray:
+    """``argsort(codes, kind="stable")`` of codes from 0 to ``most``: code and place are sorted as one number."""
+    places = max(len(codes) - 1, 1).bit_length()
+    if int(most).bit_length() + places > 63:
+        return np.argsort(codes, kind="stable")
+    both = (codes.astype(np.int64, copy=False) << places) | np.arange(len(codes))
+    both.sort()
+    both &= (1 << places) - 1
+    return both
+
+
+def unique_hashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct hashes, the first place of each and the number of every hash among them.
+
+    The leading bits of a hash are sorted with its place as one number. Where hashes that differ
+    share those bits, all bits are sorted.
+    """
+    n = len(hashes)
+    if not n:
+        return hashes, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    places = np.uint64(max(n - 1, 1).bit_length())
+    both = ((hashes >> places) << places) | np.arange(n, dtype=np.uint64)
+    both.sort()
+    order = (both & ((np.uint64(1) << places) - np.uint64(1))).view(np.int64)
+    both >>= places
+    new = np.ones(n, bool)
+    np.not_equal(both[1:], both[:-1], out=new[1:])
+    del both
+    if not np.array_equal(hashes[order[1:]] != hashes[order[:-1]], new[1:]):
+        return np.unique(hashes, return_index=True, return_inverse=True)
+    first = order[new]
+    ids = np.empty(n, np.int64)
+    ids[order] = np.cumsum(new) - 1
+    return hashes[first], first, ids
+
+
 def rolling(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every k consecutive words of one text, and each text's offsets among them."""
     counts = np.maximum(np.diff(first) - k + 1, 0)

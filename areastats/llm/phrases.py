@@ -32,28 +32,43 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ._spark import bounded_sample, map_in_arrow, materialise, shuffle_parts
-from ._text import mix, slices, utf8, word_hashes
+from ._text import mix, slices, stable_order, unique_hashes, utf8, word_hashes
 
 DEPTH = 4
 _SLICE = 8 << 20
 _CHUNK = 1 << 20
+_LINES = 1 << 17                          # written as one batch
+_SPELLED = 1 << 18                        # bytes looked up at once
 _BYTES_A_WORD = 6
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOWER = _LOWER.tobytes()
 _KIND = np.zeros(256, np.uint8)           # 0: of a word, 1: between words, 2: between pieces
 _KIND[[0x20, 0x09]] = 1
 _KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
+_KIND = _KIND.tobytes()
+
+
+def _places(at: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Places in ``data``, in half the memory where they fit."""
+    return at.astype(np.int32) if len(data) < 1 << 31 else at
 
 
 def spell(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of the given spans one after another (``gap`` free bytes after each) and their offsets."""
     n = ends - starts + gap
     off = np.concatenate(([0], np.cumsum(n)))
-    at = np.arange(off[-1]) + np.repeat(starts - off[:-1], n)
-    if gap:
-        np.minimum(at, max(len(data) - 1, 0), out=at)
-    return data[at], off
+    out = np.empty(off[-1], np.uint8)
+    i = 0
+    while i < len(n):                         # indexes take eight times the bytes they look up
+        j = max(i + 1, int(np.searchsorted(off, off[i] + _SPELLED, side="right")) - 1)
+        at = np.arange(off[i], off[j]) + np.repeat(starts[i:j] - off[i:j], n[i:j])
+        if gap:
+            np.minimum(at, max(len(data) - 1, 0), out=at)
+        out[off[i]:off[j]] = data[at]
+        i = j
+    return out, off
 
 
 def strings(data: np.ndarray, off: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -67,14 +82,17 @@ def same_bytes(data: np.ndarray, s1: np.ndarray, s2: np.ndarray, n: np.ndarray)
     for i in np.flatnonzero(long):
         if not np.array_equal(data[s1[i]:s1[i] + n[i]], data[s2[i]:s2[i] + n[i]]):
             return False
-    s1, s2, n = s1[~long], s2[~long], n[~long]
-    for j in range(int(n.max()) if len(n) else 0):
-        if j and not j % 4:
-            more = n > j
-            s1, s2, n = s1[more], s2[more], n[more]
-        a = np.minimum(j, n - 1)
-        if not np.array_equal(data[s1 + a], data[s2 + a]):
-            return False
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    for i in range(0, len(n), _SPELLED):
+        own = ~long[i:i + _SPELLED]
+        a, b, left = s1[i:i + _SPELLED][own], s2[i:i + _SPELLED][own], n[i:i + _SPELLED][own]
+        while (left > 0).any():
+            more = left > 0
+            a, b, left = a[more], b[more], left[more]
+            beyond = (8 - np.minimum(left, 8)).astype(np.uint64) << np.uint64(3)
+            if ((eight[a] ^ eight[b]) << beyond).any():
+                return False
+            a, b, left = a + 8, b + 8, left - 8
     return True
 
 
@@ -86,7 +104,7 @@ def word_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     """
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    hashes, first, ids = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    hashes, first, ids = unique_hashes(word_hashes(data, starts, ends))
     n = ends - starts
     if not (np.array_equal(n, n[first][ids]) and same_bytes(data, starts, starts[first][ids], n)):
         own = word_hashes(data, starts, ends)
@@ -104,7 +122,7 @@ def suffixes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if n == 0:
         none = np.zeros(0, np.int64)
         return none, none, none, none
-    kind = _KIND[data]
+    kind = np.frombuffer(data.tobytes().translate(_KIND), np.uint8)
     word = kind == 0
     first = np.empty(n, bool)
     first[0] = True
@@ -116,9 +134,10 @@ def suffixes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     np.logical_not(word[1:], out=last[:-1])
     last[off[off > 0] - 1] = True
     last &= word
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    starts, ends = _places(np.flatnonzero(first), data), _places(np.flatnonzero(last) + 1, data)
+    del word, first, last
     text = np.searchsorted(off, starts, side="right") - 1
-    piece = np.cumsum(kind == 2, dtype=np.int64)[starts] + text      # grows with either
+    piece = np.searchsorted(np.flatnonzero(kind == 2), starts) + text        # grows with either
     goes_on = np.zeros(len(starts) + DEPTH, bool)
     if len(starts):
         goes_on[:len(starts) - 1] = piece[1:] == piece[:-1]
@@ -153,7 +172,7 @@ def quicksort(keys: np.ndarray, weight: np.ndarray, least: tuple[int, ...]) -> t
         deep = np.repeat(depth, 3)
         keep = total >= bound[deep]
         count = np.bincount(code, minlength=3 * n)
-        order = np.argsort(code, kind="stable")
+        order = stable_order(code, 3 * n)
         first = ptr[order[np.minimum(np.cumsum(count) - count, len(ptr) - 1)]]
         equal = np.zeros(3 * n, bool)
         equal[1::3] = keep[1::3]
@@ -179,7 +198,7 @@ def _sliced(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for whole in it:
         for b in slices(whole, "c1", _SLICE):
             data, off = utf8(b.column(1))
-            data = _LOWER[data]
+            data = np.frombuffer(data.tobytes().translate(_LOWER), np.uint8)
             yield b.column(0), data, *suffixes(data, off)
 
 
@@ -235,50 +254,71 @@ def _route(buckets: int, hot_pairs):
                 [w.column(0), none.cast(pa.int64()), none.cast(pa.bool_()), w.column(1).cast(pa.binary()),
                  none.cast(pa.binary()), w.column(2)], names=[f"c{i}" for i in range(6)])
             code = langs.indices.to_numpy(zero_copy_only=False)[text].astype(np.int64)
+            words, off = spell(data, starts, ends, gap=1)
+            words[off[1:] - 1] = 0x20                        # a line is a part of these bytes
+            del w, none, data, starts, ends, text
             at = np.flatnonzero(length > 1)
             for i in range(0, len(at), _CHUNK):
-                yield _messages(langs.dictionary, code, data, starts[rep], ends[rep], ids, hashes, length,
-                                at[i:i + _CHUNK], buckets, hot_list)
+                yield from _messages(langs.dictionary, code, words, off, ids, hashes, length, at[i:i + _CHUNK],
+                                     buckets, hot_list)
 
     return run
 
 
-def _messages(langs, code, data, starts, ends, ids, hashes, length, at, buckets, hot_list) -> pa.RecordBatch:
-    more = np.concatenate((ids, np.zeros(DEPTH, np.int64)))
-    n = length[at]
-    third = np.where(n > 2, more[at + 2] + 1, 0)
-    fourth = np.where(n > 3, more[at + 3] + 1, 0)
-    lang, lead, tail = code[at], (ids[at] << 32) | more[at + 1], (third << 32) | fourth
-    order = np.lexsort((tail, lead, lang))
-    lang, lead, tail = lang[order], lead[order], tail[order]
+def _messages(langs, code, words, off, ids, hashes, length, at, buckets, hot_list) -> Iterator[pa.RecordBatch]:
+    n, last = length[at], len(ids) - 1
+    lead = hashes[ids[at]]
+    pair = _pair_hash(lead, hashes[ids[at + 1]])
+    third, fourth = (np.where(n > j, ids[np.minimum(at + j, last)], -1) for j in (2, 3))
+    deep = mix(pair + np.where(n > 2, hashes[third], 0) * np.uint64(3))
+    deep = mix(deep + np.where(n > 3, hashes[fourth], 0) * np.uint64(5))
+    hot = np.zeros(len(at), bool)
+    if len(hot_list):
+        hot = hot_list[np.minimum(np.searchsorted(hot_list, pair), len(hot_list) - 1)] == pair
+    group = (code[at] * 2 + hot) * buckets + (np.where(hot, deep, pair) % np.uint64(buckets)).astype(np.int64)
+    order = _like_lines(group, lead, pair, deep)
+    del lead, pair, deep, hot
+    at, n, group, third, fourth = at[order], n[order], group[order], third[order], fourth[order]
     new = np.ones(len(at), bool)
-    new[1:] = (lang[1:] != lang[:-1]) | (lead[1:] != lead[:-1]) | (tail[1:] != tail[:-1])
-    new = np.flatnonzero(new)
-    count = np.diff(np.append(new, len(at)))
-    lang, lead, tail = lang[new], lead[new], tail[new]
-    line = np.column_stack((lead >> 32, lead & 0xFFFFFFFF, (tail >> 32) - 1, (tail & 0xFFFFFFFF) - 1))
-    pair = _pair_hash(hashes[line[:, 0]], hashes[line[:, 1]])
-    hot = np.isin(pair, hot_list) if len(hot_list) else np.zeros(len(line), bool)
-    deep = mix(pair + hashes[line[:, 2]] * np.uint64(3))
-    deep = mix(deep + hashes[line[:, 3]] * np.uint64(5))
-    bucket = (np.where(hot, deep, pair) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((bucket, hot, lang))
-    line, count, bucket, hot, lang = line[order], count[order], bucket[order], hot[order], lang[order]
-    new = np.ones(len(line), bool)
-    new[1:] = (bucket[1:] != bucket[:-1]) | (hot[1:] != hot[:-1]) | (lang[1:] != lang[:-1])
+    new[1:] = False
+    for x in (group, ids[at], ids[at + 1], third, fourth):
+        new[1:] |= x[1:] != x[:-1]
     new = np.flatnonzero(new)
-    there = line >= 0
-    words = line[there]                                      # row by row
-    size = there.sum(axis=1)
-    raw, off = spell(data, starts[words], ends[words], gap=1)
-    raw[off[1:] - 1] = 0x20
-    last = np.cumsum(size)
-    raw[off[last] - 1] = 0x0A
-    text_off = off[np.append(last[new] - size[new], last[-1])]
+    count = np.diff(np.append(new, len(at))).astype("<i4")
+    at, n, group = at[new], n[new], group[new]
+    del third, fourth, order, new
+    for i in range(0, len(at), _LINES):
+        yield _written(langs, words, off[at[i:i + _LINES]], off[at[i:i + _LINES] + n[i:i + _LINES]],
+                       count[i:i + _LINES], group[i:i + _LINES], buckets)
+
+
+def _like_lines(group: np.ndarray, lead: np.ndarray, pair: np.ndarray, deep: np.ndarray) -> np.ndarray:
+    """An order by group; in it lines of one first word, of one pair, equal ones lie together.
+
+    All is sorted as one number: the group, bits of the three hashes, the place. Equal lines that
+    another one with the same bits parts are two lines of the message.
+    """
+    places = max(len(group) - 1, 1).bit_length()
+    bits = 64 - places - int(group.max()).bit_length()
+    if bits < 16:
+        return np.lexsort((deep, pair, lead, group))
+    both = group.astype(np.uint64)
+    for x, own in ((lead, bits // 3), (pair, bits // 4), (deep, bits - bits // 3 - bits // 4)):
+        both = (both << np.uint64(own)) | (x >> np.uint64(64 - own))
+    both = (both << np.uint64(places)) | np.arange(len(group), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64((1 << places) - 1)).view(np.int64)
+
+
+def _written(langs, words, starts, ends, count, group, buckets) -> pa.RecordBatch:
+    new = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    raw, off = spell(words, starts, ends)
+    raw[off[1:] - 1] = 0x0A
+    own = group[new]
     return pa.RecordBatch.from_arrays(
-        [langs.take(pa.array(lang[new])), pa.array(bucket[new]), pa.array(hot[new]),
-         strings(raw, text_off, pa.binary()),
-         strings(count.astype("<i4").view(np.uint8), np.append(new, len(line)) * 4, pa.binary()),
+        [langs.take(pa.array(own // (2 * buckets))), pa.array(own % buckets), pa.array(own // buckets % 2 == 1),
+         strings(raw, off[np.append(new, len(count))], pa.binary()),
+         strings(count.view(np.uint8), np.append(new, len(count)) * 4, pa.binary()),
          pa.nulls(len(new), pa.int64())], names=[f"c{i}" for i in range(6)])
 
 
@@ -286,26 +326,21 @@ def count_lines(payloads: list[bytes], counts: list[bytes], least: tuple[int, ..
     """Phrases of two to DEPTH words in lines of suffixes: (bytes, offsets, words, count)."""
     data = np.frombuffer(b"".join(payloads), np.uint8)
     weight = np.frombuffer(b"".join(counts), "<i4").astype(np.float64)
-    space = np.flatnonzero((data == 0x20) | (data == 0x0A))
-    starts, ends = np.append(0, space[:-1] + 1), space
-    ids, rep, _ = word_ids(data, starts, ends)
+    space = _places(np.flatnonzero((data == 0x20) | (data == 0x0A)), data)
+    starts, ends = np.append(space[:1] * 0, space[:-1] + 1), space
+    ids = word_ids(data, starts, ends)[0]
     line_end = data[space] == 0x0A
-    line = np.cumsum(line_end) - line_end
-    first = np.append(0, np.flatnonzero(line_end)[:-1] + 1)
-    keys = np.zeros((len(weight), DEPTH), np.int64)
-    keys[line, np.arange(len(space)) - first[line]] = ids + 1
+    size = np.diff(np.flatnonzero(line_end), prepend=-1)
+    first = np.cumsum(size) - size                           # of each line, among the words
+    keys = np.zeros((len(weight), DEPTH), np.int32)
+    for j in range(DEPTH):
+        there = np.flatnonzero(size > j)
+        keys[there, j] = ids[first[there] + j] + 1
+    del ids, line_end, size
     ptr, depth, total = quicksort(keys, weight, least)
     ptr, depth, total = (x[depth > 1] for x in (ptr, depth, total))
-    take = np.arange(DEPTH) < depth[:, None]
-    words = rep[(keys[ptr] - 1)[take]]
-    raw, off = spell(data, starts[words], ends[words], gap=1)
-    if len(raw):
-        raw[off[1:] - 1] = 0x20
-    keep = np.ones(len(raw), bool)
-    last = np.cumsum(depth)
-    keep[off[last] - 1] = False                              # no space after a phrase
-    text_off = off[np.append(0, last)] - np.arange(len(ptr) + 1)
-    return raw[keep], text_off, depth, total
+    raw, off = spell(data, starts[first[ptr]], ends[first[ptr] + depth - 1])     # one space between words
+    return raw, off, depth, total
 
 
 def _counter(least: int):

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd_rows import ODD
 from pyspark.sql import functions as F
@@ -101,6 +102,81 @@ def test_collocations_hot_pairs(spark, monkeypatch):
     assert seen[0] > 0                                        # the hot way was taken
 
 
+class _Broadcast:
+    def __init__(self, value):
+        self.value = value
+
+
+def _routed(texts, buckets, hot):
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], names=["c0", "c1"])
+    return phrases._route(buckets, _Broadcast(np.array(hot, np.uint64)))(iter([batch]))
+
+
+@pytest.mark.parametrize("lines, spelled, chunk", [(1 << 17, 1 << 18, 1 << 20), (7, 16, 50), (1, 1, 3)])
+def test_messages_in_pieces_lose_no_suffix(monkeypatch, lines, spelled, chunk):
+    """However small the pieces that messages are written in, their lines and counts are those of the texts."""
+    for name, value in (("_LINES", lines), ("_SPELLED", spelled), ("_CHUNK", chunk)):
+        monkeypatch.setattr(phrases, name, value)
+    texts = ["one two  one\ttwo three, one two one two three four", "é two. " * 9, "", "one " * 12 + "four" * 40]
+    bytes_of = [np.frombuffer(w, np.uint8) for w in (b"one", b"two")]
+    own = [phrases.word_hashes(d, np.array([0]), np.array([len(d)])) for d in bytes_of]
+    got, want, by = Counter(), Counter(), Counter()
+    for b in _routed(texts, 3, phrases._pair_hash(*own)):
+        for bucket, hot, text, counts in zip(*(c.to_pylist() for c in b.columns[1:5])):
+            if bucket is not None:
+                for line, n in zip(text.decode().splitlines(), np.frombuffer(counts, "<i4").tolist(), strict=True):
+                    got[line] += n
+                    assert hot == line.startswith("one two")
+                    by[line.split(" ")[0], line.split(" ")[1], bucket] += 0
+    for t in texts:
+        for piece in re.split("[.,;:!?]", t):
+            words = re.findall("[^ \t]+", piece)
+            want.update(" ".join(words[i:i + 4]) for i in range(len(words) - 1))
+    assert got == want
+    pairs = [p[:2] for p in by if p[:2] != ("one", "two")]
+    assert len(pairs) == len(set(pairs))                      # other pairs have one bucket each
+    payload, counts = "".join(f"{k}\n" for k in got).encode(), np.array(list(got.values()), "<i4").tobytes()
+    raw, off, depth, total = phrases.count_lines([payload], [counts], (1,) * 4)
+    exp = Counter()
+    for k, n in want.items():
+        for d in range(2, len(k.split(" ")) + 1):
+            exp[" ".join(k.split(" ")[:d])] += n
+    found = [raw[a:b].tobytes().decode() for a, b in zip(off, off[1:])]
+    assert dict(zip(found, total.tolist(), strict=True)) == exp and len(found) == len(exp)
+    assert [len(f.split(" ")) for f in found] == depth.tolist()
+
+
+def test_messages_of_a_slice_stay_small():
+    """A slice of eight megabytes is routed in a bounded multiple of its size."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    words = np.array([f"w{i:x}" for i in range(60_000)])
+    texts = [" ".join(words[rng.integers(0, len(words), 5000)]) for _ in range(300)]
+    size = sum(map(len, texts))
+    assert 6 << 20 < size < 10 << 20
+    tracemalloc.start()
+    try:
+        n = sum(b.num_rows for b in _routed(texts, 64, [1]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n > 0 and peak < 28 * size
+
+
+def test_hashes_that_share_leading_bits():
+    from areastats.llm._text import stable_order, unique_hashes
+
+    rng = np.random.default_rng(9)
+    for h in (rng.integers(0, 50, 1000), rng.integers(0, 1 << 62, 1000), rng.integers(0, 50, 300) << 40, np.zeros(0), np.ones(1)):
+        h = np.asarray(h).astype(np.uint64)
+        want = np.unique(h, return_index=True, return_inverse=True)
+        assert all(np.array_equal(a, b) for a, b in zip(unique_hashes(h), want))
+    codes = rng.integers(0, 9, 1000)
+    for most in (9, 1 << 60):
+        assert np.array_equal(stable_order(codes, most), np.argsort(codes, kind="stable"))
+
+
 def test_quicksort_counts_prefixes():
     rng = np.random.default_rng(5)
     keys = rng.integers(1, 5, (400, 4))
