@@ -7,7 +7,7 @@ Writing (``write``):
    Only this step moves texts, once; they travel zstd-compressed. An id (or the null id) that
    fills several ranges has ranges of its own, by a hash of the text, and a text that fills
    several of those is dealt over parts row by row.
-2. The token counts of all blocks give one shared frequency table.
+2. The token counts of all tasks, kept while they tokenize, give one shared frequency table.
 3. Each block is encoded by itself (``rans``) and written with the ids and lengths of its
    documents. Nothing else is needed to decode it but the shared table.
 
@@ -41,7 +41,7 @@ from pyspark.sql.window import Window
 
 from . import rans
 from ._spark import materialise, shuffle_parts
-from ._text import SPACES, utf8, word_hashes, word_spans
+from ._text import SPACES, unique_hashes, utf8, word_hashes, word_spans
 
 BLOCK_TOKENS = 1 << 18
 CACHE_WORDS = 1_500_000
@@ -54,6 +54,8 @@ _CLASS[65:91] = _CLASS[97:123] = _LETTER
 _CLASS[48:58] = _DIGIT
 _CLASS[ord("'")] = _ODD                               # may begin a contraction
 _CLASS[list(SPACES)] = 0
+_CLASS = _CLASS.tobytes()
+_LATIN = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}   # byte-level marks of bytes
 
 
 class WordEncoder:
@@ -82,9 +84,8 @@ class WordEncoder:
         self.simple = (lowers == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in steps] == ["Split", "ByteLevel"]
                        and steps[0]["pattern"].get("Regex") == self.SPLIT and steps[0]["behavior"] == "Removed"
                        and not steps[1]["add_prefix_space"])
-        if self.simple:                               # the same without normalizer and split
-            spec["normalizer"], spec["pre_tokenizer"] = None, steps[1]
-            self.part = Tokenizer.from_str(json.dumps(spec))
+        self.simple = self.simple and spec["model"]["type"] == "BPE" and not (spec["truncation"] or spec["padding"])
+        self.part = self.tok.model                    # what is left for units without normalizer and splits
         self._clear()
 
     def _clear(self) -> None:
@@ -97,13 +98,14 @@ class WordEncoder:
         starts, ends, _ = word_spans(data, off)
         if not self.simple or not len(starts):
             return data, starts, ends, np.zeros(len(starts), bool)
-        kind = _CLASS[data]
+        kind = np.frombuffer(data.tobytes().translate(_CLASS), np.uint8).copy()
         pair = np.flatnonzero(data[:-1] == 0xC3)
         second = data[pair + 1]
         pair = pair[(second != 0x97) & (second != 0xB7)]   # the two marks among the letters
         kind[pair] = kind[pair + 1] = _LETTER
-        odd = np.concatenate(([0], np.cumsum(kind == _ODD)))
-        plain = odd[ends] == odd[starts]
+        odd = np.flatnonzero(kind == _ODD)
+        plain = np.ones(len(starts), bool)
+        plain[np.searchsorted(starts, odd, side="right") - 1] = False       # each lies in a word
         inside = np.zeros(len(data) + 1, np.int8)
         inside[starts[plain]] += 1                    # starts differ from each other, as ends do
         inside[ends[plain]] -= 1
@@ -116,17 +118,18 @@ class WordEncoder:
         first[1:] = inside[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)) & (kind[1:] != 0)
         first[starts] = True
         at = np.flatnonzero(first)
-        word = np.searchsorted(starts, at, side="right") - 1
+        of_word = np.zeros(len(data), bool)
+        of_word[starts] = True
+        word = np.cumsum(of_word[at]) - 1
         end = np.minimum(np.append(at[1:], len(data)), ends[word])
         return low, at, end, plain[word]
 
     def _learn(self, h, data, starts, ends, simple) -> np.ndarray:
         """Cache entries of the units with these (sorted, distinct) hashes."""
         size = ends - starts
-        padded = np.concatenate((data, np.zeros(8, np.uint8)))
-        head = np.zeros(len(h), np.uint64)
-        for j in range(8):
-            head |= np.where(j < size, padded[starts + j], 0).astype(np.uint64) << np.uint64(8 * j)
+        eight = np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+        beyond = (8 - np.minimum(size, 8)).astype(np.uint64) << np.uint64(3)      # no unit is empty
+        head = (eight[starts] << beyond) >> beyond
         while True:
             i = np.searchsorted(self.hash, h)
             i[i == len(self.hash)] = 0
@@ -140,15 +143,22 @@ class WordEncoder:
                 continue
             raw = data.tobytes()
             for tok, new in ((self.tok, np.flatnonzero(~hit & ~simple)),
-                             (self.part if self.simple else None, np.flatnonzero(~hit & simple))):
+                             (self.part, np.flatnonzero(~hit & simple))):
                 if not len(new):
                     continue
-                words = [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())]
-                e = tok.encode(words, is_pretokenized=True, add_special_tokens=False)
-                n = np.bincount(np.array(e.word_ids, np.int64), minlength=len(words))
+                spans = zip(starts[new].tolist(), ends[new].tolist())
+                if tok is self.tok:
+                    words = [raw[a:b].decode() for a, b in spans]
+                    e = tok.encode(words, is_pretokenized=True, add_special_tokens=False)
+                    n, ids = np.bincount(np.array(e.word_ids, np.int64), minlength=len(words)), e.ids
+                else:                                 # the library's model, from the bytes' marks on
+                    marks = raw.decode("latin-1")
+                    words = [marks[a:b] for a, b in spans]
+                    words = [[t.id for t in tok.tokenize(w if w.isascii() else w.translate(_LATIN))] for w in words]
+                    n, ids = np.array([len(w) for w in words]), [i for w in words for i in w]
                 entry = len(self.start) - 1 + np.arange(len(words))
                 self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(n)))
-                self.ids = np.concatenate((self.ids, np.array(e.ids, np.uint32)))
+                self.ids = np.concatenate((self.ids, np.array(ids, np.uint32)))
                 where = np.searchsorted(self.hash, h[new])
                 self.hash = np.insert(self.hash, where, h[new])
                 self.head = np.insert(self.head, where, head[new])
@@ -163,7 +173,7 @@ class WordEncoder:
             whole |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
         data, off = utf8(texts)
         low, starts, ends, simple = self._units(data, off)
-        h, at, back = np.unique(word_hashes(low, starts, ends), return_index=True, return_inverse=True)
+        h, at, back = unique_hashes(word_hashes(low, starts, ends))
         entry = self._learn(h, low, starts[at], ends[at], simple[at])[back]
         n = np.diff(self.start)[entry]
         total = np.concatenate(([0], np.cumsum(n)))
@@ -264,11 +274,23 @@ class Ranges:
         return slot.astype(np.int32)
 
 
-_RAW = "part int, block int, doc_ids array<long>, doc_lens array<long>, ids binary"
+_RAW = "part int, block int, doc_ids array<long>, doc_lens array<long>, ids binary, counts binary"
+
+
+def _narrow(ids: np.ndarray) -> bytes:
+    """Ids in two bytes each, if they fit, else in four."""
+    return ids.astype("<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype(np.uint32)
 
 
 def _tokenized(docs: DataFrame, path: str, end_id: int, key: str, text: str, by_word: bool) -> DataFrame:
-    """Blocks of whole documents in the order of their id: the rows of ``_RAW``."""
+    """Blocks of whole documents in the order of their id: the rows of ``_RAW``.
+
+    Each task adds a row of block -1 with the number of times that it wrote each id.
+    """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"),
                        F.xxhash64(text).alias("tie"))
     ranges = Ranges(rows.select("id", "tie"), shuffle_parts(docs.sparkSession))
@@ -276,10 +298,12 @@ def _tokenized(docs: DataFrame, path: str, end_id: int, key: str, text: str, by_
     def squeeze(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        z = zstandard.ZstdCompressor(level=3)
+        z = zstandard.ZstdCompressor(level=1)
         for b in it:
             part = ranges(b.column(0), b.column(2).to_numpy(), b.column(3).to_numpy())
-            packed = pa.array([z.compress((t.as_py() or "").encode()) for t in b.column(1)], pa.binary())
+            data, off = utf8(b.column(1))
+            data, off = memoryview(data), off.tolist()
+            packed = pa.array([z.compress(data[i:j]) for i, j in zip(off, off[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(part), b.column(0), b.column(2), packed],
                                              names=["part", "id", "tie", "text"])
 
@@ -293,13 +317,20 @@ def _tokenized(docs: DataFrame, path: str, end_id: int, key: str, text: str, by_
         z = zstandard.ZstdDecompressor()
         enc = encoder(path, by_word)
         state = {"part": None, "block": 0, "ids": [], "docs": [], "lens": [], "n": 0}
+        times = np.zeros(1 << 16, np.int64)
 
         def flush():
+            nonlocal times
+            ids = np.concatenate(state["ids"])
+            own = np.bincount(ids)
+            if len(own) > len(times):
+                times = np.concatenate((times, np.zeros(len(own) - len(times), np.int64)))
+            times[:len(own)] += own
             out = pa.RecordBatch.from_arrays(
                 [pa.array([state["part"]], pa.int32()), pa.array([state["block"]], pa.int32()),
                  pa.array([state["docs"]], pa.list_(pa.int64())), pa.array([state["lens"]], pa.list_(pa.int64())),
-                 pa.array([np.concatenate(state["ids"]).astype("<u4").tobytes()], pa.binary())],
-                names=["part", "block", "doc_ids", "doc_lens", "ids"])
+                 pa.array([_narrow(ids)], pa.binary()), pa.nulls(1, pa.binary())],
+                names=["part", "block", "doc_ids", "doc_lens", "ids", "counts"])
             state.update(block=state["block"] + 1, ids=[], docs=[], lens=[], n=0)
             return out
 
@@ -310,17 +341,18 @@ def _tokenized(docs: DataFrame, path: str, end_id: int, key: str, text: str, by_
                 texts, size = [], 0
                 a = row
                 while row < b.num_rows and (not texts or size < 4 << 20):
-                    t = z.decompress(b.column(3)[row].as_py()) if b.column(3)[row].as_py() else b""
-                    texts.append(t)
-                    size += len(t)
+                    texts.append(z.decompress(b.column(3)[row].as_py()))
+                    size += len(texts[-1])
                     row += 1
                 got, off = enc.encode(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+                got = np.insert(got, off[1:], end_id).astype(np.uint32, copy=False)
+                off = (off + np.arange(len(off))).tolist()
                 for i in range(len(texts)):
                     if part_of[a + i] != state["part"]:
                         if state["docs"]:
                             yield flush()
                         state.update(part=part_of[a + i], block=0)
-                    own = np.append(got[off[i]:off[i + 1]], np.uint32(end_id))
+                    own = got[off[i]:off[i + 1]]
                     state["ids"].append(own)
                     state["docs"].append(ids[a + i])
                     state["lens"].append(len(own))
@@ -329,24 +361,27 @@ def _tokenized(docs: DataFrame, path: str, end_id: int, key: str, text: str, by_
                         yield flush()
         if state["docs"]:
             yield flush()
+        at = np.flatnonzero(times)
+        if len(at):
+            both = np.concatenate((at, times[at])).astype("<i8").tobytes()
+            none = pa.nulls(1, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([-1], pa.int32()), pa.array([-1], pa.int32()), none, none, pa.nulls(1, pa.binary()),
+                 pa.array([both], pa.binary())], names=["part", "block", "doc_ids", "doc_lens", "ids", "counts"])
 
     return dealt.mapInArrow(tokenize, _RAW)
 
 
 def _frequencies(raw: DataFrame) -> DataFrame:
-    """symbol, count over all blocks; tasks add up their own first."""
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
+    """symbol, count over all blocks, from what the tasks counted."""
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for x in b.column(0):
-                own = np.bincount(np.frombuffer(x.as_py(), "<u4"))
-                if len(own) > len(total):
-                    total = np.concatenate((total, np.zeros(len(own) - len(total), np.int64)))
-                total[:len(own)] += own
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["symbol", "n"])
+                at, times = np.frombuffer(x.as_py(), "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(times)], names=["symbol", "n"])
 
-    return raw.select("ids").mapInArrow(count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("count"))
+    counted = raw.where("block < 0").select("counts").mapInArrow(rows, "symbol long, n long")
+    return counted.groupBy("symbol").agg(F.sum("n").alias("count"))
 
 
 def _table(spark: SparkSession, path: str):
@@ -370,13 +405,14 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, key: str
         t = table.value
         for b in it:
             for i in range(b.num_rows):               # one block at a time in memory
-                ids = np.frombuffer(b.column(4)[i].as_py(), "<u4")
+                ids = _wide(b.column(4)[i].as_py(), pc.sum(b.column(3)[i].values).as_py())
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([len(ids)], pa.int64()),
                      b.column(2).slice(i, 1), b.column(3).slice(i, 1), pa.array([rans.encode(ids, t)], pa.binary())],
                     names=["part", "block", "n_tokens", "doc_ids", "doc_lens", "payload"])
 
-    raw.mapInArrow(pack, _BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    blocks = raw.where("block >= 0").drop("counts")
+    blocks.mapInArrow(pack, _BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -139,6 +140,26 @@ def test_token_file_deals_hot_ids(spark, hot):
     assert got == again
 
 
+def test_token_file_counts_ids_where_it_makes_them(spark):
+    """The shared table comes from counts of the tokenizing tasks: the ids are not read for it again."""
+    import public_tokenizers
+
+    rows = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("Été aß 1a2!? "), F.col("id") % 7).alias("text"))
+    for end_id in (2, 70_000):                         # ids of two bytes, and beyond them
+        raw = token_file._tokenized(rows, public_tokenizers.path("word_bpe_49k.json"), end_id, "doc_id", "text", True).cache()
+        times = {r["symbol"]: r["count"] for r in token_file._frequencies(raw.drop("ids")).collect()}
+        want = Counter()
+        for r in raw.where("block >= 0").collect():
+            ids = token_file._wide(r.ids, sum(r.doc_lens))
+            assert len(ids) == sum(r.doc_lens) and len(r.ids) == len(ids) * (2 if end_id == 2 else 4)
+            want.update(ids.tolist())
+        assert times == want and times[end_id] == 300
+        out = scratch_path(spark, "tokens")
+        token_file.write(rows, out, public_tokenizers.path("word_bpe_49k.json"), end_id=end_id)
+        got = Counter(i for r in token_file.read_ids(spark, out).collect() for i in r.ids)
+        assert got == want
+
+
 def test_decontamination(odd, none, items):
     rows = decontaminate.decontaminate(odd, items, question_overlap=0.0).collect()
     assert sorted((r.doc_id, r.item_id) for r in rows) == [(1, 1), (1, 1)]
